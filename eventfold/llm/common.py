@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: The white space that separates words in every contract of this subpackage: blank and \x09 to \x0d.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -49,3 +53,41 @@ class Written:
 def crc32_text(column: str):
     """Unsigned CRC-32 of a string's UTF-8 bytes; null: of no bytes."""
     return F.crc32(F.coalesce(F.col(column), F.lit("")).cast("binary"))
+
+
+def map_rows(df: DataFrame, schema: str, start) -> DataFrame:
+    """``df`` through Python, an Arrow batch at a time.
+
+    ``start()`` is called once a task and returns a function from a batch, as a dict of lists, to rows.
+    Arrow keeps null integers as nulls, which pandas would turn into floats.
+    """
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        step = start()
+        for b in batches:
+            yield batch_of(step(b.to_pydict()), types)
+
+    return df.mapInArrow(run, schema)
+
+
+def batch_of(rows, types: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, types, strict=True)], schema=types)
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def map_stream(df: DataFrame, schema: str, make, rows: int = 1000) -> DataFrame:
+    """``df`` through Python as one stream of tuples a partition; ``make`` is a generator function over it."""
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        source = (row for b in batches for row in zip(*b.to_pydict().values(), strict=True))
+        made = make(source)
+        while some := list(islice(made, rows)):
+            yield batch_of(some, types)
+
+    return df.mapInArrow(run, schema)

@@ -25,11 +25,10 @@ import zlib
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import table
+from eventfold.llm.common import ddl, map_rows, table
 
 # The formats' magic numbers.
 MAGIC = {
@@ -190,15 +189,20 @@ def describe(found: list[tuple[str, int, int]], declared: str | None, size: int)
 def sniff_column(df: DataFrame, value: str, declared: str) -> DataFrame:
     """``df`` with media_type and media_feature from the bytes in ``value``, against the type in ``declared``."""
     df = df.drop("media_type", "media_feature")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", media_type string, media_feature string"
+    names = df.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         machine = automaton()
-        for b in batches:
-            said = [describe(sniff(machine, v or b""), d, len(v or b"")) for v, d in zip(b[value], b[declared], strict=True)]
-            yield b.assign(media_type=[x[0] for x in said], media_feature=[x[1] for x in said])
 
-    return df.mapInPandas(run, schema)
+        def run(batch: dict) -> Iterator[tuple]:
+            for row in zip(*batch.values(), strict=True):
+                data, said = (row[names.index(c)] for c in (value, declared))
+                data = bytes(data or b"")
+                yield (*row, *describe(sniff(machine, data), said, len(data)))
+
+        return run
+
+    return map_rows(df, f"{ddl(df)}, media_type string, media_feature string", start)
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,15 +210,16 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("value"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         machine = automaton()
-        for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["value"], strict=True):
-                media = store(bytes(text) + b"\0" * (-len(text) % UNIT or (0 if text else UNIT)))
+
+        def run(batch: dict) -> Iterator[tuple]:
+            for doc, text in zip(batch["doc_id"], batch["value"], strict=True):
+                media = store(text + b"\0" * (-len(text) % UNIT or (0 if text else UNIT)))
                 back = load(media)
                 feature = describe(sniff(machine, media), "octets", len(media))[1]
-                rows.append((doc, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            yield pd.DataFrame(rows, columns=schema.replace(" long", "").replace(" string", "").split(", "))
+                yield doc, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature
+
+        return run
 
-    return docs.mapInPandas(run, schema)
+    return map_rows(docs, schema, start)

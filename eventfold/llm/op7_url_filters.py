@@ -24,12 +24,11 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import table
+from eventfold.llm.common import ddl, map_rows, table
 
 #: Largest index file that is broadcast to the executors.
 BROADCAST_BYTES = 64 << 20
@@ -99,7 +98,7 @@ def candidates(host: str, path: str, path_lengths: list[int]) -> list[str]:
     return [h + p for i in range(len(labels)) if (h := ".".join(labels[i:])) for p in heads]
 
 
-def best_rules(index: DigestIndex, hosts: pd.Series, paths: pd.Series) -> tuple[list, list]:
+def best_rules(index: DigestIndex, hosts: list[str], paths: list[str]) -> tuple[list, list]:
     """Rule and verdict of each (host, path), None where no rule fits; one probe for all candidates of a batch."""
     tried = [candidates(h, p, index.path_lengths) for h, p in zip(hosts, paths, strict=True)]
     flat = [c.encode() for row in tried for c in row]
@@ -125,15 +124,18 @@ def judge_urls(spark: SparkSession, urls: DataFrame, rules, url: str = "url", de
     sent = spark.sparkContext.broadcast(data)
     host, path = host_and_path(url)
     split = urls.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    schema = f"{_ddl(split)}, rule string, verdict string"
+    schema = f"{ddl(split)}, rule string, verdict string"
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         index = DigestIndex(sent.value)
-        for b in batches:
-            found, verdicts = best_rules(index, b["host"], b["path"])
-            yield b.assign(rule=pd.Series(found, b.index, "object"), verdict=pd.Series([v or default for v in verdicts], b.index, "object"))
 
-    return split.mapInPandas(probe, schema)
+        def probe(batch: dict) -> Iterator[tuple]:
+            found, verdicts = best_rules(index, batch["host"], batch["path"])
+            return zip(*batch.values(), found, [v or default for v in verdicts], strict=True)
+
+        return probe
+
+    return map_rows(split, schema, start)
 
 
 def judge_by_join(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT) -> DataFrame:
@@ -159,10 +161,6 @@ def judge_by_join(urls: DataFrame, rules: DataFrame, url: str = "url", default:
     return out.select(*split.columns, F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
     pages = table(spark, sf_dir, "pages", "page_id", "url")

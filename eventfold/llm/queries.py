@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from eventfold.llm.op3_chat_formatting import ORACLE as CHAT_FORMATTING_SQL
+from eventfold.llm.op3_chat_formatting import op3_chat_formatting
 from eventfold.llm.op6_media_columns import op6_media_columns
 from eventfold.llm.op7_url_filters import ORACLE as URL_FILTERS_SQL
 from eventfold.llm.op7_url_filters import op7_url_filters
 
 QUERIES = {
+    "op3_chat_formatting": op3_chat_formatting,
     "op6_media_columns": op6_media_columns,
     "op7_url_filters": op7_url_filters,
 }
 SQL = {
+    "op3_chat_formatting": CHAT_FORMATTING_SQL,
     "op7_url_filters": URL_FILTERS_SQL,
 }

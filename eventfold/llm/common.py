@@ -91,3 +91,16 @@ def map_stream(df: DataFrame, schema: str, make, rows: int = 1000) -> DataFrame:
             yield batch_of(some, types)
 
     return df.mapInArrow(run, schema)
+
+
+class Memo(dict):
+    """What ``make`` returned for the strings seen, emptied when it holds ``most`` of them."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = made = self.make(key)
+        return made

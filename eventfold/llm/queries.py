@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from eventfold.llm.op2_quality_rules import op2_quality_rules
 from eventfold.llm.op3_chat_formatting import ORACLE as CHAT_FORMATTING_SQL
 from eventfold.llm.op3_chat_formatting import op3_chat_formatting
+from eventfold.llm.op4_sentencepiece import op4_sentencepiece
 from eventfold.llm.op6_media_columns import op6_media_columns
 from eventfold.llm.op7_url_filters import ORACLE as URL_FILTERS_SQL
 from eventfold.llm.op7_url_filters import op7_url_filters
+from eventfold.llm.op8_best_fit_packing import op8_best_fit_packing
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_media_columns": op6_media_columns,
     "op7_url_filters": op7_url_filters,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 SQL = {
     "op3_chat_formatting": CHAT_FORMATTING_SQL,

@@ -8,7 +8,7 @@ import uuid
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -104,3 +104,18 @@ class Memo(dict):
             self.clear()
         self[key] = made = self.make(key)
         return made
+
+
+def numbered(df: DataFrame, key: str, deal_by: list[str], order: list[str], name: str, rows: int, bucket_rows: int = 1 << 17) -> DataFrame:
+    """``df``, a written table of ``rows`` rows, with gapless numbers from 0 within ``key`` added.
+
+    Rows are numbered within (key, bucket), buckets being dealt by a hash of ``deal_by``; the buckets'
+    counts, added up in order, give each its first number. So no task holds all rows of a key.
+    """
+    buckets = 1 + rows // bucket_rows
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*deal_by), F.lit(buckets)))
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = dealt.groupBy(key, "_bucket").count().select(key, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    own = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order))
+    out = dealt.withColumn("_own", own).join(firsts, [key, "_bucket"])
+    return out.select(*df.columns, (F.col("_first") + F.col("_own") - 1).alias(name))

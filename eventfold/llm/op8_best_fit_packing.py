@@ -26,17 +26,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from eventfold.llm.common import Memo, Written, map_rows, table
+from eventfold.llm.common import Memo, Written, ddl, map_rows, numbered, table
 
 CAPACITY = 2048
 END_ID = 0
 #: Chunks remembered by a Python worker.
 REMEMBERED = 300_000
-#: Pieces numbered by one task, about.
-BUCKET_ROWS = 1 << 17
 
 _WHOLE = re.compile(r"\s \s|\s \Z")
 
@@ -165,14 +162,7 @@ def pack(pieces: DataFrame) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs = spark.sparkContext.broadcast(plan(counts))
-    buckets = 1 + sum(counts.values()) // BUCKET_ROWS
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    firsts = dealt.groupBy("length", "bucket").count()
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = firsts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    number = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = dealt.withColumn("number", number).join(firsts, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("number") - 1)
-    ranked = ranked.select(*pieces.columns, "rank")
+    ranked = numbered(pieces, "length", ["doc_id", "piece"], ["doc_id", "piece", "ids_crc32"], "rank", sum(counts.values()))
     kept = pieces.columns
 
     def start():
@@ -182,8 +172,7 @@ def pack(pieces: DataFrame) -> DataFrame:
 
         return run
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return map_rows(ranked, f"{schema}, sequence_id long, offset long", start)
+    return map_rows(ranked, f"{ddl(pieces)}, sequence_id long, offset long", start)
 
 
 def pack_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:

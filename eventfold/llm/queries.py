@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from eventfold.llm.op1_sharding import op1_sharding
 from eventfold.llm.op2_quality_rules import op2_quality_rules
 from eventfold.llm.op3_chat_formatting import ORACLE as CHAT_FORMATTING_SQL
 from eventfold.llm.op3_chat_formatting import op3_chat_formatting
@@ -12,6 +13,7 @@ from eventfold.llm.op7_url_filters import op7_url_filters
 from eventfold.llm.op8_best_fit_packing import op8_best_fit_packing
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_sentencepiece": op4_sentencepiece,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from eventfold.llm.op1_sharding import op1_sharding
+from eventfold.llm.op10_toxicity import op10_toxicity
 from eventfold.llm.op2_quality_rules import op2_quality_rules
 from eventfold.llm.op3_chat_formatting import ORACLE as CHAT_FORMATTING_SQL
 from eventfold.llm.op3_chat_formatting import op3_chat_formatting
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_media_columns": op6_media_columns,
     "op7_url_filters": op7_url_filters,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_toxicity": op10_toxicity,
 }
 SQL = {
     "op3_chat_formatting": CHAT_FORMATTING_SQL,

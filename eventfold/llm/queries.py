@@ -8,6 +8,7 @@ from eventfold.llm.op2_quality_rules import op2_quality_rules
 from eventfold.llm.op3_chat_formatting import ORACLE as CHAT_FORMATTING_SQL
 from eventfold.llm.op3_chat_formatting import op3_chat_formatting
 from eventfold.llm.op4_sentencepiece import op4_sentencepiece
+from eventfold.llm.op5_pii import op5_pii
 from eventfold.llm.op6_media_columns import op6_media_columns
 from eventfold.llm.op7_url_filters import ORACLE as URL_FILTERS_SQL
 from eventfold.llm.op7_url_filters import op7_url_filters
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_pii": op5_pii,
     "op6_media_columns": op6_media_columns,
     "op7_url_filters": op7_url_filters,
     "op8_best_fit_packing": op8_best_fit_packing,

@@ -119,3 +119,16 @@ def numbered(df: DataFrame, key: str, deal_by: list[str], order: list[str], name
     own = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order))
     out = dealt.withColumn("_own", own).join(firsts, [key, "_bucket"])
     return out.select(*df.columns, (F.col("_first") + F.col("_own") - 1).alias(name))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, parts: int = 1024) -> DataFrame:
+    """``rows`` with the columns of ``groups``, which has one row, with its number of ``rows``, for each key.
+
+    Groups of more than one part in ``parts`` of all rows, at most that many, are broadcast; the others meet
+    their rows in a shuffle join, where no key is larger than that.
+    """
+    total = groups.agg(F.sum("rows")).first()[0] or 0
+    hot = groups.where(F.col("rows") * parts > total)
+    found = F.broadcast(hot.drop("rows"))
+    cold = groups.where(F.col("rows") * parts <= total).drop("rows")
+    return rows.join(found, key).unionByName(rows.join(found.select(key), key, "left_anti").join(cold, key))

@@ -13,6 +13,7 @@ from eventfold.llm.op6_media_columns import op6_media_columns
 from eventfold.llm.op7_url_filters import ORACLE as URL_FILTERS_SQL
 from eventfold.llm.op7_url_filters import op7_url_filters
 from eventfold.llm.op8_best_fit_packing import op8_best_fit_packing
+from eventfold.llm.op9_jaccard_join import op9_jaccard_join
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -23,6 +24,7 @@ QUERIES = {
     "op6_media_columns": op6_media_columns,
     "op7_url_filters": op7_url_filters,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
 SQL = {

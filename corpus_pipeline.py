@@ -1,11 +1,77 @@
-"""The training-data pipeline."""
+"""The training-data pipeline: five stages, each over all that the one before kept.
 
-from eventfold.llm import queries  # noqa: F401
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's docs. All but the last return the columns of documents.
 
-STAGES = []
+The language model of the first stage is fitted on the documents it is given, its labels are the table
+beside them. Personal data are replaced in the texts by their kind in angle brackets. The last stage
+returns the pieces of the remaining documents and their places in sequences.
+
+Empty inputs pass through all stages; null texts are no toxic documents, but fail the quality rules. Of a
+group of near copies the row with the smallest doc_id stays; repeated rows of it become one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventfold.llm import op2_quality_rules, op5_pii, op8_best_fit_packing, op9_jaccard_join, op10_toxicity
+from eventfold.llm.common import Written, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    learned = op10_toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return op10_toxicity.score(docs.select(*COLUMNS), learned).where("predicted = 0").select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the compression bands keep."""
+    return op2_quality_rules.quality(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents: the one that names the group."""
+    docs = docs.select(*COLUMNS)
+    groups = Written(spark, "near-copies").put(op9_jaccard_join.join_copies(docs), "groups")
+    others = groups.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("other"))
+    others = F.broadcast(others) if others.count() <= op9_jaccard_join.BROADCAST_IDS else others
+    kept = docs.join(others, F.col("doc_id").eqNullSafe(F.col("other")), "left_anti")
+    repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def private_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced and n_chars counted again."""
+    docs = docs.select(*COLUMNS)
+    return op5_pii.redact(docs, op5_pii.learn(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places."""
+    import public_tokenizers
+
+    return op8_best_fit_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("quality_rules", quality_rules),
+    ("near_copies", near_copies),
+    ("private_spans", private_spans),
+    ("packing", packing),
+]
+#: Toxicity and packing have no SQL; the pipeline is tested against its stages' brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages, one after another, over documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    written = Written(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents", *COLUMNS)
+    for name, stage in STAGES:
+        docs = written.put(stage(spark, docs, sf_dir), name)
+    return docs

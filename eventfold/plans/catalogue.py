@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from eventfold.plans import forecast, operations, projection, streams  # noqa: F401
+from eventfold.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -1 +1,52 @@
-"""Queries that fold the delivered log."""
+"""Queries that fold the delivered log, in a batch and as a stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from eventfold.functions.text import line, sha256
+from eventfold.operators import fold as R
+from eventfold.operators import versioned as V
+from eventfold.plans.projection import WITH
+from eventfold.plans.registry import query
+from eventfold.sources.tables import scratch
+from eventfold.streaming.log import read_log, run_fold
+
+
+def delivered(spark, d: str) -> DataFrame:
+    """The records in order of arrival: all base events, then the repeated ones, then those with other content."""
+    rows = V.log(spark, d).where(f"NOT ({V.DROPPED})")
+    parts = []
+    for phase, test, off in ((0, "true", 0), (1, V.REPEATED, 0), (2, V.CONFLICT, 1)):
+        parts.append(rows.where(test).select(F.lit(phase).alias("phase"), "*", (F.col("after_qty") - off).alias("after"), (F.col("dec") + off).alias("asked")))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    tenant, item = F.concat(F.lit("tenant-"), F.col("tenant_no").cast("string")), F.col("item_id").cast("string")
+    return rows.select(
+        F.concat_ws("/", tenant, F.lit("inventory_item"), item).alias("group"), (F.col("phase") * 10**12 + F.col("version")).cast("long").alias("seq"), F.lit(None).cast("string").alias("log_key"), F.col("event_id").cast("string").alias("event_id"),
+        tenant.alias("tenant_id"), F.lit("inventory_item").alias("aggregate_type"), item.alias("aggregate_id"), "version", F.col("before_qty").alias("before"), "after",
+        F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("order_id"), sha256(line(item, "version", "asked", "after")).alias("content_hash"), "phase",
+    )
+
+
+@query("q03b_fold_dispositions", WITH + "SELECT CAST(event_id AS VARCHAR) AS event_id, disposition FROM disp")
+def q03b(spark, d):
+    return R.inbox(R.fold(delivered(spark, d))).select("event_id", "disposition")
+
+
+PROJECTION = WITH + "SELECT 'tenant-' || tenant_no AS tenant_id, CAST(item_id AS VARCHAR) AS item_id, quantity_on_hand, aggregate_version FROM proj"
+
+
+@query("q01b_fold_projection", PROJECTION)
+def q01b(spark, d):
+    return R.inventory(R.fold(delivered(spark, d)))
+
+
+@query("q49_stream_equals_batch_projection", PROJECTION)
+def q49(spark, d):
+    """The records written as a log of three batches, streamed through the stateful fold."""
+    top = scratch(spark, "stream")
+    for phase in range(3):
+        delivered(spark, d).where(F.col("phase") == phase).drop("phase").coalesce(1).write.mode("append").parquet(f"{top}/log")
+    changes = run_fold(read_log(spark, f"{top}/log", R.RECORD), f"{top}/changes", f"{top}/checkpoint")
+    return R.inventory(changes)

@@ -175,7 +175,7 @@ def sniff(machine: ahocorasick.Automaton, value: bytes) -> list[tuple[str, int,
         at = last + 1 - width
         if length := VALIDATORS[kind](value, at):
             found.append((kind.rstrip("79").rstrip("8"), at, length))
-    return sorted(found)
+    return sorted(found, key=lambda x: (x[1], x[0]))
 
 
 def describe(found: list[tuple[str, int, int]], declared: str | None, size: int) -> tuple[str, str]:

@@ -23,9 +23,11 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from eventfold.llm.common import Memo, Written, ddl, map_rows, numbered, table
@@ -33,8 +35,13 @@ from eventfold.llm.common import Memo, Written, ddl, map_rows, numbered, table
 CAPACITY = 2048
 END_ID = 0
 #: Chunks remembered by a Python worker.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
+# The pre-tokenizer's pattern, and the letters by which the model writes bytes: printable ones
+# of Latin-1 for themselves, the others for the letters from U+0100 on.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_BYTE_LETTERS = {b: chr(0x100 + k) for k, b in enumerate(_HIDDEN)}
 _WHOLE = re.compile(r"\s \s|\s \Z")
 
 
@@ -45,16 +52,29 @@ class Tokeniser:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.chunks = Memo(lambda chunk: self.whole(" " + chunk), REMEMBERED)
+        self.model = self.library.model
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.chunks = Memo(lambda chunk: self.chunk(" " + chunk), REMEMBERED)
+        self.marks = Memo(self.word, REMEMBERED // 10)
 
     def whole(self, text: str) -> bytes:
+        """By the library's whole pipeline."""
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        """By the library's model alone, for what its pre-tokenizer would have cut out."""
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        if any(s in chunk for s in self.special):
+            return self.whole(chunk)
+        return b"".join(self.marks[w] if len(w) < 3 else self.word(w) for w in _WORDS.findall(chunk))
+
     def __call__(self, text: str) -> bytes:
         if _WHOLE.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.chunks.__getitem__, rest))
+        return self.chunk(first) + b"".join(map(self.chunks.__getitem__, rest))
 
 
 _LOADED: dict[str, Tokeniser] = {}

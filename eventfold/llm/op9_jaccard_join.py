@@ -324,7 +324,7 @@ def components(links: DataFrame, written: Written, name: str) -> DataFrame:
 def completing_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of nodes of different components in a list that the count vectors do not exclude."""
     info = sets.join(labels, "key", "left").select("node", "n", "counts", F.coalesce("label", "key").alias("label"))
-    members = lists.where(F.size("nodes") > 2).select(F.monotonically_increasing_id().alias("list"), F.explode("nodes").alias("node"))
+    members = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("node"))  # two lists of one hash only add candidates
     named = members.join(info.select("node", "label"), "node")
     mixed = named.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("list")
     rows = members.join(mixed, "list", "left_semi").join(info, "node")
@@ -377,3 +377,21 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size and component."""
     return join_copies(table(spark, sf_dir, "documents", "doc_id", "text"))
 
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+') IF x <> ''] AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS own FROM w
+), d AS (SELECT doc_id, CAST(len(own) AS BIGINT) AS n FROM s),
+t AS (SELECT doc_id, unnest(own) AS shingle FROM s),
+often AS (SELECT shingle FROM t GROUP BY shingle HAVING count(*) > 1),
+u AS (SELECT t.doc_id, t.shingle FROM t JOIN often ON t.shingle = often.shingle),
+k AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM u x JOIN u y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM k JOIN d x ON x.doc_id = a JOIN d y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
+SELECT d.doc_id, d.n AS n_shingles, min(reach.b) AS component_id FROM d JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, d.n
+"""

@@ -13,6 +13,7 @@ from eventfold.llm.op6_media_columns import op6_media_columns
 from eventfold.llm.op7_url_filters import ORACLE as URL_FILTERS_SQL
 from eventfold.llm.op7_url_filters import op7_url_filters
 from eventfold.llm.op8_best_fit_packing import op8_best_fit_packing
+from eventfold.llm.op9_jaccard_join import ORACLE as JACCARD_JOIN_SQL
 from eventfold.llm.op9_jaccard_join import op9_jaccard_join
 
 QUERIES = {
@@ -30,4 +31,5 @@ QUERIES = {
 SQL = {
     "op3_chat_formatting": CHAT_FORMATTING_SQL,
     "op7_url_filters": URL_FILTERS_SQL,
+    "op9_jaccard_join": JACCARD_JOIN_SQL,
 }

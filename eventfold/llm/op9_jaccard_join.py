@@ -265,7 +265,8 @@ def candidate_sets(docs: DataFrame, described: DataFrame, lists: DataFrame) -> D
     """node, key, n, whole set and counts of every node in a list, made again from one text of each."""
     nodes = lists.select(F.explode("nodes").alias("node")).distinct()
     chosen = described.join(nodes, "node", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id")).select("id").distinct()
-    chosen = F.broadcast(chosen) if lists.select(F.sum(F.size("nodes"))).first()[0] <= BROADCAST_IDS else chosen
+    few = (lists.select(F.sum(F.size("nodes"))).first()[0] or 0) <= BROADCAST_IDS
+    chosen = F.broadcast(chosen) if few else chosen
     texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
     def start():
@@ -378,7 +379,6 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_copies(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-
 ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+') IF x <> ''] AS words FROM documents

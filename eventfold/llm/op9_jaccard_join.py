@@ -43,7 +43,7 @@ PERCENT = 75
 #: Share of the hash range whose shingles are marks: over a quarter, so that nearly all prefixes lie within them.
 MARKED = 0.34
 GROUPS = 256
-LEAF = 16
+LEAF = 64
 #: Marks that one task takes, about.
 TASK_MARKS = 1 << 21
 BROADCAST_IDS = 4_000_000
@@ -258,7 +258,7 @@ def common_lists(described: DataFrame) -> DataFrame:
     dealt = map_stream(described.select("n", "node", "marks"), "kind int, bucket int, a binary, b binary", deal, rows=64)
     met = map_stream(dealt.repartition(tasks, "bucket"), "kind int, bucket int, a binary, b binary, c binary", meet, rows=64)
     cut_ = map_stream(met.repartition(tasks, "bucket"), "bucket int, a binary, b binary", cut, rows=64)
-    return map_stream(cut_.repartition(tasks, "bucket"), "nodes array<long>", lists, rows=500)
+    return map_stream(cut_.repartition(tasks, "bucket"), "nodes array<long>", lists, rows=500).distinct()
 
 
 def candidate_sets(docs: DataFrame, described: DataFrame, lists: DataFrame) -> DataFrame:
@@ -298,10 +298,13 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def best_partners(lists: DataFrame) -> DataFrame:
-    """For each node the first node of a list (by id) that it shares most lists with."""
-    pairs = lists.select(F.get("nodes", F.lit(0)).alias("a"), F.explode(F.slice("nodes", F.lit(2), F.size("nodes"))).alias("b"))
-    shared = pairs.groupBy("a", "b").count()
-    return shared.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+    """For each node the pivot that it shares most lists with. A list's pivot is its node that is in most lists: of
+    a text and its edited copies that is the text, as each copy has lost some of its shingles."""
+    members = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("node"))
+    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
+    pivots = members.join(degree, "node").groupBy("list").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
+    shared = members.withColumnRenamed("node", "b").join(pivots, "list").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return shared.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
 
 
 def components(links: DataFrame, written: Written, name: str) -> DataFrame:
@@ -345,14 +348,17 @@ def completing_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame) -> Da
 
 
 def _tree_pairs(held: list[tuple]) -> Iterator[tuple]:
+    """Pairs of a list's nodes. Nodes of its largest component do not ask, as each of the others asks for them."""
     points = np.array([np.frombuffer(r[3], "<u4") for r in held], "i4")
     sizes = np.array([r[2] for r in held])
+    labels = np.unique([r[4] for r in held], return_inverse=True)[1]
+    asks = labels != np.bincount(labels).argmax()
     tree = CountTree(points, sizes)
-    for k, (_, node, n, _, label) in enumerate(held):
-        for rows in tree.partners(points[k], n):
-            for j in rows:
-                if j > k and held[j][4] != label:
-                    yield min(node, held[j][1]), max(node, held[j][1])
+    for k in np.flatnonzero(asks):
+        for rows in tree.partners(points[k], sizes[k]):
+            for j in rows[(labels[rows] != labels[k]) & ((rows > k) | ~asks[rows])]:
+                a, b = held[k][1], held[j][1]
+                yield min(a, b), max(a, b)
 
 
 def join_copies(docs: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ PERCENT = 75
 #: Share of the hash range whose shingles are marks: over a quarter, so that nearly all prefixes lie within them.
 MARKED = 0.34
 GROUPS = 256
-LEAF = 64
+LEAF = 512
 #: Marks that one task takes, about.
 TASK_MARKS = 1 << 21
 BROADCAST_IDS = 4_000_000
@@ -112,7 +112,9 @@ class CountTree:
         own = points[self.rows]
         self.most, self.least_size, self.most_size = own.max(0), sizes[self.rows].min(), sizes[self.rows].max()
         self.parts: list[CountTree] = []
+        self.own = own
         if len(self.rows) > LEAF:
+            self.own = None
             if self.most_size > 2 * self.least_size:
                 order = np.argsort(sizes[self.rows], kind="stable")
             else:
@@ -130,7 +132,7 @@ class CountTree:
             for part in self.parts:
                 yield from part.partners(q, n)
         else:
-            bound = np.minimum(q, self.points[self.rows]).sum(1)
+            bound = np.minimum(q, self.own) @ np.ones(len(q), q.dtype)
             yield self.rows[bound >= needed(n, self.sizes[self.rows])]
 
 
@@ -349,8 +351,9 @@ def completing_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame) -> Da
 
 def _tree_pairs(held: list[tuple]) -> Iterator[tuple]:
     """Pairs of a list's nodes. Nodes of its largest component do not ask, as each of the others asks for them."""
-    points = np.array([np.frombuffer(r[3], "<u4") for r in held], "i4")
     sizes = np.array([r[2] for r in held])
+    exact = "f4" if sizes.max() < 1 << 24 else "f8"  # sums of coordinates are integers that these hold
+    points = np.array([np.frombuffer(r[3], "<u4") for r in held], exact)
     labels = np.unique([r[4] for r in held], return_inverse=True)[1]
     asks = labels != np.bincount(labels).argmax()
     tree = CountTree(points, sizes)

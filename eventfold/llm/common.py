@@ -94,15 +94,19 @@ def map_stream(df: DataFrame, schema: str, make, rows: int = 1000) -> DataFrame:
 
 
 class Memo(dict):
-    """What ``make`` returned for the strings seen, emptied when it holds ``most`` of them."""
+    """What ``make`` returned for strings: the latest ``most`` // 2 of them, and as many that were the latest before."""
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.half, self.before = make, most // 2, {}
 
     def __missing__(self, key: str):
-        if len(self) >= self.most:
+        made = self.before.get(key)
+        if made is None:
+            made = self.make(key)
+        if len(self) >= self.half:
+            self.before = dict(self)
             self.clear()
-        self[key] = made = self.make(key)
+        self[key] = made
         return made
 
 

@@ -23,9 +23,8 @@ import hashlib
 import heapq
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import repeat
 
 import numpy as np
 import regex
@@ -171,8 +170,9 @@ class Encoder:
         if any(kind in (USER_DEFINED, UNUSED) for _, _, kind in pieces) or any(regex.search(f"[^{MARK}]{MARK}", p) for p in self.rank):
             raise ValueError("pieces that cross words, user-defined and unused pieces are not supported")
         order = {p: k for k, p in enumerate(sorted(self.rank, key=self.rank.get))}
-        self.ids = [self.rank[p][1] for p in order]
-        self.widths = [len(p.encode()) for p in order]
+        ids = [self.rank[p][1] for p in order]
+        self.names = [*map(str, ids)]
+        self.packed = [self.pack(i, len(p.encode())) for i, p in zip(ids, order, strict=True)]
         #: Places in that order of two pieces that merge, to the place of what they make: scores fall along it.
         self.pairs = {(order[p[:k]], order[p[k:]]): n for p, n in order.items() for k in range(1, len(p)) if p[:k] in order and p[k:] in order}
         self.order = order
@@ -181,26 +181,32 @@ class Encoder:
             raise ValueError("a piece has a character that is no piece")
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte pieces")
-        self.words = Memo(self._word, REMEMBERED)
+        self.words = Memo(lambda word: self._word(MARK + word), REMEMBERED)
+        self.runs = Memo(self._word, REMEMBERED // 4)
         self.split = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
+    pack = staticmethod(struct.Struct("<ii").pack)
+
     def merge(self, word: str) -> list[int]:
         """Neighbours merge by best score, the leftmost first among equals; pieces as places in ``order``, unknown
         characters as -1 minus their code point."""
-        parts = [self.order.get(c, -1 - ord(c)) for c in word]
+        parts = [*map(self.order.get, word)]
+        if None in parts:
+            parts = [self.order.get(c, -1 - ord(c)) for c in word]
         return self.merge_short(parts) if len(parts) <= SHORT else self.merge_long(parts)
 
     def merge_short(self, parts: list[int]) -> list[int]:
         """Looks for the best pair in a list, which is fastest for words of usual length."""
-        made = [self.pairs.get(x, _NONE) for x in pairwise(parts)]
+        of = self.pairs.get
+        made = [*map(of, zip(parts, parts[1:], strict=False), repeat(_NONE))]
         while made and (best := min(made)) != _NONE:
             k = made.index(best)
-            parts[k : k + 2] = [best]
+            parts[k : k + 2] = (best,)
             del made[k]
             if k:
-                made[k - 1] = self.pairs.get((parts[k - 1], best), _NONE)
+                made[k - 1] = of((parts[k - 1], best), _NONE)
             if k < len(made):
-                made[k] = self.pairs.get((best, parts[k + 1]), _NONE)
+                made[k] = of((best, parts[k + 1]), _NONE)
         return parts
 
     def merge_long(self, parts: list[int]) -> list[int]:
@@ -226,30 +232,41 @@ class Encoder:
             offer(a, after[a])
         return [x for x in parts if x != gone]
 
-    def _word(self, word: str) -> tuple[str, bytes, bytes]:
-        """Ids joined by commas, ids, and the normalised bytes that each piece takes: 0 for a byte before a character's last."""
-        ids, widths = array("i"), array("i")
-        for x in self.merge(word):
+    def _word(self, word: str) -> tuple[str, bytes]:
+        """Ids joined by commas, and of each piece its id and the normalised bytes it takes: 0 for a byte before a
+        character's last."""
+        parts = self.merge(word)
+        if min(parts) >= 0:
+            return ",".join([self.names[x] for x in parts]), b"".join([self.packed[x] for x in parts])
+        names, packed = [], []
+        for x in parts:
             if x >= 0:
-                ids.append(self.ids[x])
-                widths.append(self.widths[x])
+                names.append(self.names[x])
+                packed.append(self.packed[x])
             else:
                 raw = chr(-1 - x).encode()
-                ids.extend(self.bytes[b] for b in raw)
-                widths.extend([0] * (len(raw) - 1) + [len(raw)])
-        return ",".join(map(str, ids)), ids.tobytes(), widths.tobytes()
+                names += [str(self.bytes[b]) for b in raw]
+                packed += [self.pack(self.bytes[b], 0) for b in raw[:-1]] + [self.pack(self.bytes[raw[-1]], len(raw))]
+        return ",".join(names), b"".join(packed)
+
+    def _words(self, normal: str) -> Iterator[tuple[str, bytes]]:
+        """The words of a normalised text, each encoded; most texts have one mark before each word."""
+        if normal[0] == MARK and 2 * MARK not in normal:
+            return map(self.words.__getitem__, normal.split(MARK)[1:])
+        return map(self.runs.__getitem__, self.split.findall(normal))
 
     def encode(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
         """Ids joined by commas, ids, and an array of (begin, end)."""
         normal, source = self.normalise(text)
         if not normal:
             return "", np.zeros(0, "<i4"), np.zeros((0, 2), "<i8")
-        joined, ids, widths = zip(*map(self.words.__getitem__, self.split.findall(normal)), strict=True)
-        ends = np.cumsum(np.frombuffer(b"".join(widths), "i4"))
+        joined, packed = zip(*self._words(normal), strict=True)
+        ids, widths = np.frombuffer(b"".join(packed), "<i4").reshape(-1, 2).T
+        ends = np.cumsum(widths)
         spans = np.empty((len(ends), 2), "<i8")
         spans[:, 1] = source[ends]
         spans[0, 0], spans[1:, 0] = source[0], spans[:-1, 1]
-        return ",".join(joined), np.frombuffer(b"".join(ids), "i4"), spans
+        return ",".join(joined), np.ascontiguousarray(ids), spans
 
 
 _LOADED: dict[str, tuple] = {}

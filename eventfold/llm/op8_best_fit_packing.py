@@ -9,9 +9,9 @@ The rank needs no task to hold a whole length: pieces are numbered within (lengt
 dealt by a hash of the document, and the buckets' counts, added up in order, give each its first rank. A
 length that a third of all pieces have is spread over as many tasks as there are buckets.
 
-Texts are tokenised by blank-separated chunks, remembered between texts of a Python worker. That equals
-tokenising the whole text unless white space is followed by a blank and then by more white space or the
-end; such texts are encoded whole.
+Texts are tokenised with tiktoken on the model file's own merges, which is a pass of native code a text. Its
+ids are the library's if ids follow the order of merges, which is checked when a file is loaded. Any other
+file, texts with a special token's name and texts with very long white space go through the library.
 
 Cases: a null text is an empty one: one piece, the closing id alone. Repeated (doc_id, text) rows are
 packed once each; of equal keys, which row takes which of their places is open, and their places are
@@ -21,28 +21,28 @@ interchangeable. An empty table gives no pieces. Of the input only doc_id and te
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from eventfold.llm.common import Memo, Written, ddl, map_rows, numbered, table
+from eventfold.llm.common import Written, ddl, map_rows, numbered, table
 
 CAPACITY = 2048
 END_ID = 0
-#: Chunks remembered by a Python worker.
-REMEMBERED = 500_000
+#: White space that tiktoken's pattern engine is not given: its stack ends at some hundred thousand.
+LONG_BLANK = 1000
 
 # The pre-tokenizer's pattern, and the letters by which the model writes bytes: printable ones
 # of Latin-1 for themselves, the others for the letters from U+0100 on.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
-_BYTE_LETTERS = {b: chr(0x100 + k) for k, b in enumerate(_HIDDEN)}
-_WHOLE = re.compile(r"\s \s|\s \Z")
+_LETTER_BYTES = {chr(0x100 + k): b for k, b in enumerate(_HIDDEN)} | {chr(b): b for b in range(256) if b not in _HIDDEN}
+_PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_TWO_BLANKS = re.compile(r"\s\s")
 
 
 class Tokeniser:
@@ -52,29 +52,37 @@ class Tokeniser:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.chunks = Memo(lambda chunk: self.chunk(" " + chunk), REMEMBERED)
-        self.marks = Memo(self.word, REMEMBERED // 10)
-
-    def whole(self, text: str) -> bytes:
-        """By the library's whole pipeline."""
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def word(self, word: str) -> bytes:
-        """By the library's model alone, for what its pre-tokenizer would have cut out."""
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
-
-    def chunk(self, chunk: str) -> bytes:
-        if any(s in chunk for s in self.special):
-            return self.whole(chunk)
-        return b"".join(self.marks[w] if len(w) < 3 else self.word(w) for w in _WORDS.findall(chunk))
+        self.fast = self.native(json.loads(self.library.to_str()))
+
+    @staticmethod
+    def native(given: dict):
+        """tiktoken's encoding by the file's merges, None where its ids could differ."""
+        import tiktoken
+
+        model, before = given["model"], given["pre_tokenizer"] or {}
+        options = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+        plain = model["type"] == "BPE" and not any(model.get(o) for o in options) and given["normalizer"] is None
+        if not plain or any(before.get(k) != v for k, v in _PRE_TOKENIZER.items()):
+            return None
+        ids = model["vocab"]
+        ordered = [ids.get(a + b) for a, b in merges] == [*range(256, 256 + len(merges))]
+        if not ordered or sorted(ids[c] for c in _LETTER_BYTES if c in ids) != [*range(256)]:
+            return None
+        ranks = {bytes(map(_LETTER_BYTES.__getitem__, w)): i for w, i in ids.items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("merges", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def unusual(self, text: str) -> bool:
+        """Whether a text has a special token's name, or may have long white space: that would hold two steps of half its length."""
+        return any(x in text for x in self.special) or bool(_TWO_BLANKS.search(text[:: LONG_BLANK // 2]))
 
     def __call__(self, text: str) -> bytes:
-        if _WHOLE.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.chunk(first) + b"".join(map(self.chunks.__getitem__, rest))
+        if self.fast is None or self.unusual(text):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 _LOADED: dict[str, Tokeniser] = {}

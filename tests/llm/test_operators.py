@@ -322,8 +322,11 @@ def test_equal_digests_are_told_apart(monkeypatch):
 
 def test_tokens_equal_the_library():
     own = o8.tokeniser(public.path("byte_bpe_50k.json"))
+    assert own.fast
     r = random.Random(8)
-    texts = [t or "" for t in ODD] + ["".join(r.choice(["a", " the", "'s", " ", "\n", "ß", "日", "😀", "<|endoftext|>", "12", "!?", "\t", "\u3000"]) for _ in range(r.randint(0, 40))) for _ in range(500)]
+    texts = [t or "" for t in ODD] + [" " * 400_000 + "x", "x" + "\n" * 2000]
+    texts += ["".join(chr(c) + f" {chr(c)}1" for c in range(k, k + 4096) if not 0xD800 <= c < 0xE000) for k in range(0, 0x20000, 4096)]
+    texts += ["".join(r.choice(["a", " the", "'s", " ", "\n", "ß", "日", "😀", "<|endoftext|>", "12", "!?", "\t", "\u3000"]) for _ in range(r.randint(0, 40))) for _ in range(500)]
     for t in texts:
         assert own(t) == np.array(own.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t[:50]
 

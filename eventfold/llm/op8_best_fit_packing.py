@@ -42,7 +42,7 @@ _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 _LETTER_BYTES = {chr(0x100 + k): b for k, b in enumerate(_HIDDEN)} | {chr(b): b for b in range(256) if b not in _HIDDEN}
 _PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-_TWO_BLANKS = re.compile(r"\s\s")
+_TWO_BLANKS, _LONG_BLANK = re.compile(r"\s\s"), re.compile(rf"\s{{{LONG_BLANK}}}")
 
 
 class Tokeniser:
@@ -74,8 +74,10 @@ class Tokeniser:
         return tiktoken.Encoding("merges", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def unusual(self, text: str) -> bool:
-        """Whether a text has a special token's name, or may have long white space: that would hold two steps of half its length."""
-        return any(x in text for x in self.special) or bool(_TWO_BLANKS.search(text[:: LONG_BLANK // 2]))
+        """Whether a text has a special token's name or long white space, which would hold two steps of half its length."""
+        if _TWO_BLANKS.search(text[:: LONG_BLANK // 2]) and _LONG_BLANK.search(text):
+            return True
+        return any(x in text for x in self.special)
 
     def __call__(self, text: str) -> bytes:
         if self.fast is None or self.unusual(text):

@@ -1,10 +1,12 @@
 """Quality rules: compression bands.
 
-The zstandard ratio (compressed bytes over raw bytes) of a whole document and of fixed chunks of it tells
-repetitive text (low) and incompressible text (high) from prose. What is normal depends on the length,
-so every length class has limits of its own (``BANDS``); a document is rejected when its whole ratio is
-outside its class's band, or when more than ``BAD_SHARE`` of its chunks' bytes are in chunks outside the
-chunk band. Documents shorter than the smallest class are left to the base rules: their ratio is noise.
+The zstandard ratio (compressed bytes over raw bytes) of a whole document and of parts of it tells
+repetitive text (low) and incompressible text (high) from prose. What is normal depends on the length:
+the lower limit has length classes (``LOWEST``), the upper one runs between measured lengths (``HIGHEST``),
+above prose and below base64. A document is rejected when its whole ratio is outside its limits, or when
+more than ``BAD_SHARE`` of its bytes are in repetitive chunks or incompressible pieces. Chunks and pieces
+are equal parts of the text, so none has a rest that is not judged. Documents shorter than the smallest
+class are left to the base rules: their ratio is noise; below 256 bytes a document is one piece.
 
 The base rules count words, symbols, repeated lines and repeated 8-word windows, exactly: windows are
 compared by ranks of doubled runs (1, 2, 4, then 8 words), so no hash can collide and the cost is
@@ -17,7 +19,9 @@ of the input named like the results are replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import zstandard
@@ -27,13 +31,16 @@ from eventfold.llm.common import BLANKS, ddl, map_rows, table
 
 LEVEL = 3
 CHUNK_BYTES = 4096
-#: (least bytes, lowest ratio, highest ratio) of a whole document. Short texts carry the format's overhead and
-#: little history, long ones repeat their vocabulary.
-BANDS = ((200, 0.30, 0.95), (1000, 0.25, 0.80), (4000, 0.22, 0.72), (32000, 0.18, 0.65))
-#: The same for a chunk of ``CHUNK_BYTES`` and for a last chunk of at least ``LEAST_CHUNK`` bytes.
-CHUNK_BAND = (0.22, 0.85)
-LEAST_CHUNK = 1024
-BAD_SHARE = 0.5
+#: Incompressible pieces are a quarter of the text, between these.
+PIECE_BYTES = (128, 1024)
+#: (least bytes, lowest ratio) of a whole document, and the lowest of a chunk. Short texts carry the format's
+#: overhead and little history, long ones repeat their vocabulary.
+LOWEST = ((200, 0.30), (1000, 0.25), (4000, 0.22), (32000, 0.18))
+LOWEST_CHUNK = 0.22
+#: (bytes, highest ratio) of a document or piece, in between by the logarithm. Prose of sf0.1 is below 0.75, 0.70,
+#: 0.60, 0.53 and 0.49 from 256, 512, 1024, 2048 and 4096 bytes on, base64 at 0.94, 0.85, 0.80, 0.77 and 0.76.
+HIGHEST = ((128, 1.0), (256, 0.89), (512, 0.79), (1024, 0.72), (2048, 0.68), (4096, 0.65), (32768, 0.62))
+BAD_SHARE = 0.2
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 WINDOW = 8
@@ -73,24 +80,35 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     )
 
 
+@lru_cache(1 << 16)
+def highest(size: int) -> float:
+    """The highest ratio of so many bytes of prose."""
+    return float(np.interp(math.log2(max(size, 1)), [math.log2(n) for n, _ in HIGHEST], [r for _, r in HIGHEST]))
+
+
+def parts(text: bytes, size: int) -> list[bytes]:
+    """The text in equal parts of at least ``size`` bytes; a shorter text is one part."""
+    n = max(1, len(text) // size)
+    return [text[k * len(text) // n : (k + 1) * len(text) // n] for k in range(n)]
+
+
 def ratios(text: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """The whole text's ratio, and the share of chunked bytes in chunks outside the chunk band."""
+    """The whole text's ratio, and the share of its bytes in repetitive chunks or incompressible pieces."""
     if not text:
         return 0.0, 0.0
-    whole = len(packer.compress(text)) / len(text)
-    total = bad = 0
-    for k in range(0, len(text), CHUNK_BYTES):
-        chunk = text[k : k + CHUNK_BYTES]
-        if len(chunk) >= LEAST_CHUNK:
-            total += len(chunk)
-            r = len(packer.compress(chunk)) / len(chunk)
-            bad += len(chunk) * (not CHUNK_BAND[0] <= r <= CHUNK_BAND[1])
-    return whole, bad / total if total else 0.0
+    ratio = lambda part: len(packer.compress(part)) / len(part)
+    least, most = PIECE_BYTES
+    size, bad = min(most, max(least, len(text) // 4)), 0
+    for chunk in parts(text, CHUNK_BYTES):
+        bad += len(chunk) * (ratio(chunk) < LOWEST_CHUNK)
+    for piece in parts(text, size):
+        bad += len(piece) * (ratio(piece) > highest(len(piece)))
+    return ratio(text), min(1.0, bad / len(text))
 
 
 def within_bands(size: int, whole: float, bad_share: float) -> bool:
-    low, high = next(((a, b) for least, a, b in reversed(BANDS) if size >= least), (0.0, float("inf")))
-    return low <= whole <= high and bad_share <= BAD_SHARE
+    low = next((a for least, a in reversed(LOWEST) if size >= least), None)
+    return low is None or low <= whole <= highest(size) and bad_share <= BAD_SHARE
 
 
 def judge(text: str | None, packer: zstandard.ZstdCompressor) -> tuple:

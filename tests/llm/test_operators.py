@@ -1,5 +1,6 @@
 """The ten operators on small inputs: against brute force, the libraries, SQL, and in odd cases."""
 
+import base64
 import hashlib
 import os
 import random
@@ -121,6 +122,24 @@ def test_quality_verdicts(docs):
     assert o2.quality(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("size", [300, 800, 1024, 2048, 4096, 24_000, 40_000])
+def test_incompressible_texts_and_mixtures_are_not_kept(size):
+    r, packer = random.Random(size), o2.zstandard.ZstdCompressor(level=o2.LEVEL)
+    base64_lines = lambda n: "\n".join(base64.b64encode(r.randbytes(57)).decode() for _ in range(n // 76 + 1))[:n]
+    base64_run = lambda n: base64.b64encode(r.randbytes(n)).decode()[:n]
+    letters = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ", k=n))
+    printable = lambda n: "".join(chr(r.randrange(32, 127)) for _ in range(n))
+    words = ["".join(r.choices("etaoinshrdlucmfw", k=r.randint(2, 9))) for _ in range(900)]
+    weights = [1 / (k + 1) for k in range(900)]
+    text = lambda n: " ".join(r.choices(words, weights, k=n))[:n]
+    inside = lambda t: o2.within_bands(len(t.encode()), *o2.ratios(t.encode(), packer))
+    assert inside(text(size))
+    for junk in (base64_lines, base64_run, letters, printable):
+        assert not inside(junk(size)), junk(60)
+        part = size * 45 // 100
+        assert not inside(text(size - part) + junk(part)) and not inside(junk(part) + text(size - part)), junk(60)
+
+
 # 3
 
 

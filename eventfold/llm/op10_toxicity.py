@@ -2,10 +2,12 @@
 
 Language model: character trigrams, counted over all documents; every task adds up its own counts, the
 sums are at most ``len(ALPHABET) ** 3`` rows whatever the input. Deobfuscation: a suspicious token (digits
-or symbols inside letters, letters repeated three times, single letters in a row) is a lattice in which a
-character may stand for itself or a look-alike, a repetition or a separator may be nothing, and single
-letters may start a word; Viterbi decoding finds the best path under the language model. Scoring works
-on the restored words.
+or symbols among letters or at the ends, only look-alikes, a letter twice in a row) is a lattice in which a
+character may stand for itself or a look-alike, and a repetition or a separator may be nothing; Viterbi
+decoding finds the best path under the language model. Up to ``EDGE_SIGNS`` look-alikes at each end are read
+as letters and as marks. Neighbouring pieces of at most ``PIECE`` characters, with any white space and
+separators between them, are one lattice in which each letter may start a word. Scoring takes the worst of
+a token's raw and restored words.
 
 Score: words and their first four and five letters are features. Of each, the different texts and the
 different preceding words in toxic and in clean labelled documents are counted; the smaller count speaks
@@ -41,6 +43,7 @@ SIGNIFICANCE = 0.01
 FLOOR = 0.02
 THRESHOLD = 0.3
 HELD_OUT, FOLDS = 2, 4
+EDGE_SIGNS, PIECE = 3, 3
 REMEMBERED = 300_000
 
 # Symbols of the language model (a blank, letters, and one for all others) and look-alikes.
@@ -59,7 +62,11 @@ _INDEX = {c: k for k, c in enumerate(ALPHABET)}
 _EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$|([^\w])\1{2,}$")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_] |[@$!|] ){3,}(?:[^\W_]|[@$!|])(?!\S)")
+_DOUBLE = re.compile(r"(.)\1")
+_WORD = re.compile(r"\w")
+_PIECES = re.compile(r"(?<!\S)\S{1,5}(?:\s+\S{1,5})+(?!\S)")
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LOOKS) + "·«»„“”‘’…"
+_SIGNS = "!|+(¡"
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -106,6 +113,7 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
+        self.runs = Memo(self.run, REMEMBERED)
 
     def options(self, text: str, k: int, spaced: bool) -> list[tuple[str, float]]:
         """What the character at k may have been, with its cost: some letters, or nothing."""
@@ -146,9 +154,49 @@ class Restorer:
             return self.decode(bare) if _TRIPLE.search(bare) else bare
         return self.decode(bare) if any(c.isalpha() for c in bare) else ""
 
+    def words(self, token: str) -> tuple[str, ...]:
+        """What a token may mean: ``word``, and its restored forms with look-alikes at its ends as letters and as marks."""
+        low = token.lower()
+        if _PLAIN.fullmatch(low) and not _DOUBLE.search(low):
+            return (low,)
+        found = {self.word(token): None}
+        first = _WORD.search(low)
+        if first:
+            start, stop = first.start(), len(low) - _WORD.search(low[::-1]).start()
+            heads = ["", *(low[k:start] for k in range(start - 1, max(start - EDGE_SIGNS, 0) - 1, -1) if low[k] in LOOKS)]
+            tails = ["", *(low[stop:k] for k in range(stop + 1, min(stop + EDGE_SIGNS, len(low)) + 1) if low[k - 1] in LOOKS)]
+            for text in (head + low[start:stop] + tail for head in heads for tail in tails):
+                if _PLAIN.fullmatch(text):
+                    found[text] = None
+                if not _PLAIN.fullmatch(text) or _DOUBLE.search(text):
+                    found[self.decode(text)] = None
+        elif any(c in LOOKS for c in low):
+            found[self.decode(low)] = None
+        return tuple(w for w in found if w)
+
+    def run(self, text: str) -> tuple[str, ...]:
+        """Words restored from neighbouring pieces that are not pieces themselves."""
+        groups: list[list[str]] = [[]]
+        for token in text.lower().split():
+            piece = token.strip(_MARKS)
+            piece = piece.strip(_SIGNS) or piece
+            if 0 < len(piece) <= PIECE and all(c.isalpha() or c in LOOKS for c in piece):
+                groups[-1].append(piece)
+            elif piece:
+                groups.append([])
+        found: dict[str, None] = {}
+        for group in groups:
+            lattices = {"".join(group)} if len(group) > 1 and any(c.isalpha() for p in group for c in p) else set()
+            singles = "".join(p if len(p) == 1 else " " for p in group).split(" ")
+            for lattice in lattices | {x for x in singles if len(x) > 2}:
+                if len(lattice) > 2:
+                    found |= dict.fromkeys(self.decode(lattice, spaced=True).split())
+        pieces = {p for group in groups for p in group}
+        return tuple(w for w in found if len(w) > 2 and w not in pieces)
+
     def spaced(self, text: str) -> list[str]:
-        """Words restored from single letters in a row."""
-        return [w for m in _SPACED.finditer(text) for w in self.decode(m[0].lower().replace(" ", ""), spaced=True).split()]
+        """Words restored from short pieces in a row."""
+        return [w for m in _PIECES.finditer(text) for w in (self.runs[m[0]] if len(m[0]) < 64 else self.run(m[0]))]
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -181,16 +229,17 @@ def _support(docs: DataFrame, sent, wanted) -> dict[str, tuple[int, int]]:
 
     def pairs(rows: Iterator[tuple]) -> Iterator[tuple]:
         restorer = Restorer(sent.value)
-        words = Memo(restorer.word, REMEMBERED)
+        words = Memo(restorer.words, REMEMBERED)
         only = wanted and wanted.value
         for (text,) in rows:
             before, seen, own = "", set(), xxhash.xxh64_intdigest(text or "") >> 1
             for token in [*(text or "").split(), *restorer.spaced(text or "")]:
-                word = words[token]
-                for f in features(word):
-                    if not only or f in only:
-                        seen.add((f, xxhash.xxh64_intdigest(before) >> 1))
-                before = word
+                context, found = xxhash.xxh64_intdigest(before) >> 1, words[token]
+                for word in found:
+                    for f in features(word):
+                        if not only or f in only:
+                            seen.add((f, context))
+                before = found[0] if found else ""
             for f, context in seen:
                 yield f, context, own
 
@@ -240,7 +289,7 @@ def score(docs: DataFrame, learned: Toxicity) -> DataFrame:
     def start():
         bounds, restorer = sent.value.bounds, Restorer(sent.value.model)
         best = lambda word: max((bounds.get(f, 0.0) for f in features(word)), default=0.0)
-        tokens = Memo(lambda token: best(restorer.word(token)), REMEMBERED)
+        tokens = Memo(lambda token: max(map(best, restorer.words(token)), default=0.0), REMEMBERED)
 
         def run(batch: dict) -> Iterator[tuple]:
             for row in zip(*batch.values(), strict=True):

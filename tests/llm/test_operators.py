@@ -475,6 +475,17 @@ def test_deobfuscation(spark, toxic):
     assert {r["doc_id"]: r["predicted"] for r in o10.score(df, toxic[2]).collect()} == {1: 1, 2: 1, 3: 0}
 
 
+OBFUSCATED = ["!diot", "idio+", "|diot", "(!diot)", "!diot!", "iidiott", "mmoronn", "1d107", "m0r0n!", "+p@thetic", "i\td\ti\to\tt", "i\nd\ni\no\nt", "i  d  i  o  t", "i. d. i. o. t.", "i - d - i - o - t", "i d i o t!", "id iot", "id\tiot", "mo ron", "m 0 r 0 n"]
+
+
+def test_every_obfuscation_reaches_the_lattice(spark, toxic):
+    texts = [f"{prose(1, 20)} {x} {prose(2, 20)}" for x in OBFUSCATED] + [prose(k, 60) + " 12 345! (5417) +1 kaann" for k in range(40)]
+    rows = o10.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), toxic[2]).collect()
+    assert [OBFUSCATED[r["doc_id"]] for r in rows if r["doc_id"] < len(OBFUSCATED) and not r["predicted"]] == []
+    assert [r["doc_id"] for r in rows if r["doc_id"] >= len(OBFUSCATED) and r["predicted"]] == []
+    assert o10.Restorer(toxic[2].model).words("5417")
+
+
 def test_no_labels_and_no_rows(spark, toxic):
     docs, labels, _ = toxic
     learned = o10.fit(docs.limit(5), labels.where("false"))

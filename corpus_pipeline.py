@@ -8,7 +8,8 @@ beside them. Personal data are replaced in the texts by their kind in angle brac
 returns the pieces of the remaining documents and their places in sequences.
 
 Empty inputs pass through all stages; null texts are no toxic documents, but fail the quality rules. Of a
-group of near copies the row with the smallest doc_id stays; repeated rows of it become one.
+group of near copies one row stays: the one with the smallest doc_id, of equal ones that with the smallest
+hash of its text; null doc_ids come last.
 """
 
 from __future__ import annotations
@@ -34,14 +35,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one that names the group."""
-    docs = docs.select(*COLUMNS)
-    groups = Written(spark, "near-copies").put(op9_jaccard_join.join_copies(docs), "groups")
-    others = groups.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("other"))
+    """One row of each group of linked rows, and all rows without words.
+
+    Rows get ids of their own for the join, so null and repeated doc_ids are rows like others. Of each group the
+    smallest row by (doc_id, hash of the text) stays, null doc_ids last.
+    """
+    written = Written(spark, "near-copies")
+    rows = written.put(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = op9_jaccard_join.join_copies(rows.select(F.col("_row").alias("doc_id"), "text"))
+    groups = written.put(found.where("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
+    members = written.put(rows.select("_row", "doc_id", F.sha2("text", 256).alias("_text")).join(groups, "_row"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_text", "_row")).alias("first")
+    stay = members.groupBy("_group").agg(first).select(F.col("first._row").alias("_row"))
+    others = written.put(members.select("_row").join(stay, "_row", "left_anti"), "others")
     others = F.broadcast(others) if others.count() <= op9_jaccard_join.BROADCAST_IDS else others
-    kept = docs.join(others, F.col("doc_id").eqNullSafe(F.col("other")), "left_anti")
-    repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    return rows.join(others, "_row", "left_anti").select(*COLUMNS)
 
 
 def private_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +72,7 @@ STAGES = [
     ("private_spans", private_spans),
     ("packing", packing),
 ]
-#: Toxicity and packing have no SQL; the pipeline is tested against its stages' brute-force versions.
+#: Toxicity and packing have no SQL; the near copies are tested against brute force.
 ORACLE_SQL = None
 
 

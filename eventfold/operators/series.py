@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventfold.functions.text import joined, line, ordered_hash, sha256
+from eventfold.functions.text import line, ordered_hash, sha256
 
 SERIES = ("tenant_id", "item_id")
 HORIZON = 7
@@ -97,8 +97,7 @@ def feature_snapshot(rows: DataFrame, header: dict, reasons: tuple[str, ...] = (
     names = ("contract", "status", "tenant", "dataset", "features", "history", "projection", "max_recorded_at", "cutoff", "applied")
     head = [F.lit(str(header[n])) for n in names]
     tail = "".join(f"reason\t{r}\n" for r in sorted({r.strip() for r in reasons} - {""}))
-    body = F.coalesce(joined(line(*FEATURE_LINE), *ORDER), F.lit(""))
-    summed = rows.agg(sha256(F.concat(line(*head), body, F.lit(tail))).alias("checksum"))
+    summed = ordered_hash(rows, [], line(*FEATURE_LINE), *ORDER, head="\t".join(str(header[n]) for n in names) + "\n", tail=tail)
     return summed.withColumn("snapshot_id", sha256(line(head[0], *head[2:], "checksum")))
 
 

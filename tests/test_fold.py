@@ -1,10 +1,12 @@
 """Delivery orders of the fold, lineage, rebuilds, queue transitions, access."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from eventfold.functions.text import line, ordered_hash
 from eventfold.operators import access, outbox, replay
 from eventfold.operators import fold as R
 from eventfold.operators import predictions as P
@@ -114,3 +116,11 @@ def test_prediction_persistence(spark):
     stored = spark.createDataFrame([("a", 0.5, "x", "1"), ("b", 0.5, "x", "1")], kind)
     new = spark.createDataFrame([("a", 0.5, "y", "2"), ("b", 0.6, "x", "1"), ("c", 0.1, "x", "1")], kind)
     assert {r["prediction_id"]: r["effect"] for r in P.persist(stored, new).collect()} == {"a": "keep", "b": "conflict", "c": "append"}
+
+
+def test_a_checksum_holds_no_group_as_one_array(spark):
+    rows = spark.range(20000).selectExpr("id % 2 AS g", "id", "repeat('x', 200) AS t").repartition(3)
+    found = ordered_hash(rows, ["g"], line("id", "t"), "id")
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    want = {g: hashlib.sha256("".join(f"{k}\t{'x' * 200}\n" for k in range(g, 20000, 2)).encode()).hexdigest() for g in (0, 1)}
+    assert {r["g"]: r["checksum"] for r in found.collect()} == want

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
@@ -23,8 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the setting is absent, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one where it is not set and all runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return found or os.path.join(tempfile.gettempdir(), "eventfold-shared")
 
 
@@ -55,22 +58,54 @@ def crc32_text(column: str):
     return F.crc32(F.coalesce(F.col(column), F.lit("")).cast("binary"))
 
 
+#: Bytes of a batch, about, that are Python objects at a time.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``SLICE_BYTES``, none empty."""
+    for b in batches:
+        rows = max(1, b.num_rows * SLICE_BYTES // max(b.nbytes, SLICE_BYTES))
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on, with the next stage's tables
+
+
 def map_rows(df: DataFrame, schema: str, start) -> DataFrame:
-    """``df`` through Python, an Arrow batch at a time.
+    """``df`` through Python, a part of an Arrow batch at a time.
 
-    ``start()`` is called once a task and returns a function from a batch, as a dict of lists, to rows.
+    ``start()`` is called once a task and returns a function from a part, as a dict of lists, to rows.
     Arrow keeps null integers as nulls, which pandas would turn into floats.
     """
     types = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         step = start()
-        for b in batches:
+        for b in slices(batches):
             yield batch_of(step(b.to_pydict()), types)
 
     return df.mapInArrow(run, schema)
 
 
+def add_columns(df: DataFrame, reads: list[str], added: str, start) -> DataFrame:
+    """``df`` with columns added that ``start()``'s function makes from the columns ``reads``, a row for each row.
+
+    Only these become Python objects; all other columns pass through as they came.
+    """
+    schema = StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
+    types, more = to_arrow_schema(schema), to_arrow_schema(StructType.fromDDL(added))
+    at = [df.columns.index(c) for c in reads]
+
+    def run(batches):
+        step = start()
+        for b in slices(batches):
+            made = batch_of(step(*(b.column(k).to_pylist() for k in at)), more)
+            kept = [c.cast(t.type) for c, t in zip(b.columns, types, strict=False)]
+            yield pa.RecordBatch.from_arrays([*kept, *made.columns], schema=types)
+
+    return df.mapInArrow(run, schema)
+
+
 def batch_of(rows, types: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, types, strict=True)], schema=types)
@@ -85,7 +120,7 @@ def map_stream(df: DataFrame, schema: str, make, rows: int = 1000) -> DataFrame:
     types = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        source = (row for b in batches for row in zip(*b.to_pydict().values(), strict=True))
+        source = (row for b in slices(batches) for row in zip(*b.to_pydict().values(), strict=True))
         made = make(source)
         while some := list(islice(made, rows)):
             yield batch_of(some, types)

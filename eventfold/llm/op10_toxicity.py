@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import Memo, ddl, map_rows, map_stream, table
+from eventfold.llm.common import Memo, add_columns, map_stream, table
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 LEAST_SUPPORT = 4
@@ -44,7 +44,7 @@ FLOOR = 0.02
 THRESHOLD = 0.3
 HELD_OUT, FOLDS = 2, 4
 EDGE_SIGNS, PIECE = 3, 3
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 # Symbols of the language model (a blank, letters, and one for all others) and look-alikes.
 ALPHABET = " abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
@@ -58,6 +58,7 @@ _CODE = np.full(1 << 16, OTHER, "u1")
 for _k, _c in enumerate(ALPHABET):
     _CODE[ord(_c)] = _k
 _CODE[[9, 10, 11, 12, 13]] = 0
+_PAIRS = SYMBOLS * SYMBOLS
 _INDEX = {c: k for k, c in enumerate(ALPHABET)}
 _EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$|([^\w])\1{2,}$")
 _PLAIN = re.compile(r"[^\W\d_]+")
@@ -67,6 +68,7 @@ _WORD = re.compile(r"\w")
 _PIECES = re.compile(r"(?<!\S)\S{1,5}(?:\s+\S{1,5})+(?!\S)")
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LOOKS) + "·«»„“”‘’…"
 _SIGNS = "!|+(¡"
+_BARE_MARKS = ".,;:?\"'-)[]{}<>/\\·«»„“”‘’…"
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -112,38 +114,53 @@ class Restorer:
     """Viterbi decoding of suspicious tokens."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
+        self.model = model.ravel().tolist()
+        self.choices: dict[tuple[str, bool, bool], list] = {}
+        self.decoded = Memo(lambda text: self.best_path(text, False), REMEMBERED)
+        self.decoded_spaced = Memo(lambda text: self.best_path(text, True), REMEMBERED)
+        self.short = Memo(self.piece, REMEMBERED)
         self.runs = Memo(self.run, REMEMBERED)
 
-    def options(self, text: str, k: int, spaced: bool) -> list[tuple[str, float]]:
-        """What the character at k may have been, with its cost: some letters, or nothing."""
-        c = text[k]
-        out = [(c, 0.0)] if c in _INDEX else [(x, COST["look"]) for x in LOOKS.get(c, "")]
-        if k and c == text[k - 1]:
-            out.append(("", COST["repeat"]))
+    def options(self, c: str, again: bool, spaced: bool) -> list[tuple[list[int], float]]:
+        """What a character may have been, with its cost: some letters, or nothing. ``again``: it repeats the one before."""
+        out = [([_INDEX[c]], 0.0)] if c in _INDEX else [([_INDEX[x]], COST["look"]) for x in LOOKS.get(c, "")]
+        starts = [([0, *x], cost + COST["start"]) for x, cost in out] if spaced else []
+        if again:
+            out.append(([], COST["repeat"]))
         if c in SEPARATORS or not out:
-            out.append(("", COST["separator"]))
-        return out + [(" " + x, cost + COST["start"]) for x, cost in out if x] if spaced and k else out
+            out.append(([], COST["separator"]))
+        return out + starts
 
     def decode(self, text: str, spaced: bool = False) -> str:
-        """The best path; a state is the last two symbols, steps link back to the ones before."""
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(OTHER, 0): (0.0, None)}
-        for k in range(len(text)):
-            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for letters, cost in self.options(text, k, spaced):
-                for (a, b), (score, path) in states.items():
+        if len(text) >= 64:  # not worth a place in memory
+            return self.best_path(text, spaced)
+        return (self.decoded_spaced if spaced else self.decoded)[text]
+
+    def best_path(self, text: str, spaced: bool) -> str:
+        """The best path; a state is the last two symbols as one number, steps link back to the ones before."""
+        model, last = self.model, ""
+        states: dict[int, tuple[float, tuple | None]] = {OTHER * SYMBOLS: (0.0, None)}
+        for k, c in enumerate(text):
+            key = c, c == last, spaced and k > 0
+            options = self.choices.get(key)
+            if options is None:
+                options = self.choices[key] = self.options(*key)
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for letters, cost in options:
+                for ab, (score, path) in states.items():
                     score -= cost
                     for x in letters:
-                        c = _INDEX[x]
-                        score += self.model[a][b][c]
-                        a, b, path = b, c, (x, path)
-                    if (a, b) not in after or score > after[a, b][0]:
-                        after[a, b] = score, path
-            states = after
-        path = max((score + self.model[a][b][0], i, path) for i, ((a, b), (score, path)) in enumerate(states.items()))[2]
+                        at = ab * SYMBOLS + x
+                        score += model[at]
+                        ab, path = at % _PAIRS, (x, path)
+                    old = after.get(ab)
+                    if old is None or score > old[0]:
+                        after[ab] = score, path
+            states, last = after, c
+        path = max((score + model[ab * SYMBOLS], -i, path) for i, (ab, (score, path)) in enumerate(states.items()))[2]
         out = []
         while path:
-            out.append(path[0])
+            out.append(ALPHABET[path[0]])
             path = path[1]
         return "".join(reversed(out))
 
@@ -157,8 +174,12 @@ class Restorer:
     def words(self, token: str) -> tuple[str, ...]:
         """What a token may mean: ``word``, and its restored forms with look-alikes at its ends as letters and as marks."""
         low = token.lower()
-        if _PLAIN.fullmatch(low) and not _DOUBLE.search(low):
-            return (low,)
+        bare = low.strip(_BARE_MARKS)  # marks that can stand for no letter
+        if _PLAIN.fullmatch(bare):
+            if not _DOUBLE.search(bare):
+                return (bare,)
+            own = self.decode(bare)
+            return (bare,) if own == bare else (own, bare) if _TRIPLE.search(bare) else (bare, own)
         found = {self.word(token): None}
         first = _WORD.search(low)
         if first:
@@ -174,16 +195,24 @@ class Restorer:
             found[self.decode(low)] = None
         return tuple(w for w in found if w)
 
+    @staticmethod
+    def piece(token: str) -> str | None:
+        """A short piece without marks; empty for marks alone, None for anything else."""
+        piece = token.strip(_MARKS)
+        piece = piece.strip(_SIGNS) or piece
+        return piece if len(piece) <= PIECE and all(c.isalpha() or c in LOOKS for c in piece) else None
+
     def run(self, text: str) -> tuple[str, ...]:
         """Words restored from neighbouring pieces that are not pieces themselves."""
         groups: list[list[str]] = [[]]
         for token in text.lower().split():
-            piece = token.strip(_MARKS)
-            piece = piece.strip(_SIGNS) or piece
-            if 0 < len(piece) <= PIECE and all(c.isalpha() or c in LOOKS for c in piece):
+            piece = self.short[token]
+            if piece:
                 groups[-1].append(piece)
-            elif piece:
+            elif piece is None:
                 groups.append([])
+        if len(groups) == 1 and len(groups[0]) < 2:
+            return ()
         found: dict[str, None] = {}
         for group in groups:
             lattices = {"".join(group)} if len(group) > 1 and any(c.isalpha() for p in group for c in p) else set()
@@ -284,28 +313,26 @@ def score(docs: DataFrame, learned: Toxicity) -> DataFrame:
     """``docs`` with score and predicted added."""
     docs = docs.drop("score", "predicted")
     sent = docs.sparkSession.sparkContext.broadcast(learned)
-    at = docs.columns.index("text")
 
     def start():
         bounds, restorer = sent.value.bounds, Restorer(sent.value.model)
         best = lambda word: max((bounds.get(f, 0.0) for f in features(word)), default=0.0)
         tokens = Memo(lambda token: max(map(best, restorer.words(token)), default=0.0), REMEMBERED)
 
-        def run(batch: dict) -> Iterator[tuple]:
-            for row in zip(*batch.values(), strict=True):
-                text = row[at] or ""
-                clean = 1.0
+        def run(texts: list[str | None]) -> Iterator[tuple]:
+            for text in texts:
+                text, clean = text or "", 1.0
                 for token in set(text.split()):
                     if p := tokens[token]:
                         clean *= 1 - p
                 for word in restorer.spaced(text):
                     clean *= 1 - best(word)
                 value = max(FLOOR, 1 - clean)
-                yield *row, value, int(value >= THRESHOLD)
+                yield value, int(value >= THRESHOLD)
 
         return run
 
-    return map_rows(docs, f"{ddl(docs)}, score double, predicted int", start)
+    return add_columns(docs, ["text"], "score double, predicted int", start)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     placed = digests.join(named, "key").unionByName(digests.join(named, "key", "left_anti").join(light, "key"))
     placed = written.put(placed.select("doc_id", "size", "text_crc32", "shard"), "placed")
     written.drop("digests", "groups")
-    return numbered(placed, "shard", ["doc_id"], ["doc_id", "text_crc32", "size"], "slot", n_rows)
+    return numbered(placed, "shard", ["doc_id", "text_crc32"], ["doc_id", "text_crc32", "size"], "slot", n_rows)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,7 @@ repetitive text (low) and incompressible text (high) from prose. What is normal
 the lower limit has length classes (``LOWEST``), the upper one runs between measured lengths (``HIGHEST``),
 above prose and below base64. A document is rejected when its whole ratio is outside its limits, or when
 more than ``BAD_SHARE`` of its bytes are in repetitive chunks or incompressible pieces. Chunks and pieces
-are equal parts of the text, so none has a rest that is not judged. Documents shorter than the smallest
-class are left to the base rules: their ratio is noise; below 256 bytes a document is one piece.
+are equal parts of the text, so none has a rest that is not judged; below 256 bytes a document is one piece.
 
 The base rules count words, symbols, repeated lines and repeated 8-word windows, exactly: windows are
 compared by ranks of doubled runs (1, 2, 4, then 8 words), so no hash can collide and the cost is
@@ -20,14 +19,13 @@ of the input named like the results are replaced.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from eventfold.llm.common import BLANKS, ddl, map_rows, table
+from eventfold.llm.common import BLANKS, add_columns, table
 
 LEVEL = 3
 CHUNK_BYTES = 4096
@@ -35,11 +33,13 @@ CHUNK_BYTES = 4096
 PIECE_BYTES = (128, 1024)
 #: (least bytes, lowest ratio) of a whole document, and the lowest of a chunk. Short texts carry the format's
 #: overhead and little history, long ones repeat their vocabulary.
-LOWEST = ((200, 0.30), (1000, 0.25), (4000, 0.22), (32000, 0.18))
+LOWEST = ((0, 0.55), (64, 0.45), (100, 0.35), (200, 0.30), (1000, 0.25), (4000, 0.22), (32000, 0.18))
 LOWEST_CHUNK = 0.22
 #: (bytes, highest ratio) of a document or piece, in between by the logarithm. Prose of sf0.1 is below 0.75, 0.70,
-#: 0.60, 0.53 and 0.49 from 256, 512, 1024, 2048 and 4096 bytes on, base64 at 0.94, 0.85, 0.80, 0.77 and 0.76.
-HIGHEST = ((128, 1.0), (256, 0.89), (512, 0.79), (1024, 0.72), (2048, 0.68), (4096, 0.65), (32768, 0.62))
+#: 0.60, 0.53 and 0.49 from 256, 512, 1024, 2048 and 4096 bytes on, base64 at 0.94, 0.85, 0.80, 0.77 and 0.76. From
+#: 96, 128 and 160 bytes on, 99.9 % of prose is below 1.02, 0.92 and 0.85, base64 above 1.02, 0.97 and 0.94. Fewer than
+#: 90 bytes the format stores as they are, prose and noise alike, so only the lower limit tells anything there.
+HIGHEST = ((90, 1.25), (100, 1.03), (128, 0.96), (160, 0.93), (200, 0.91), (256, 0.89), (512, 0.79), (1024, 0.72), (2048, 0.68), (4096, 0.65), (32768, 0.62))
 BAD_SHARE = 0.2
 LEAST_WORDS = 20
 MOST_REPEATED = 30
@@ -107,8 +107,8 @@ def ratios(text: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float]
 
 
 def within_bands(size: int, whole: float, bad_share: float) -> bool:
-    low = next((a for least, a in reversed(LOWEST) if size >= least), None)
-    return low is None or low <= whole <= highest(size) and bad_share <= BAD_SHARE
+    low = next(a for least, a in reversed(LOWEST) if size >= least)
+    return low <= whole <= highest(size) and bad_share <= BAD_SHARE
 
 
 def judge(text: str | None, packer: zstandard.ZstdCompressor) -> tuple:
@@ -123,18 +123,12 @@ def judge(text: str | None, packer: zstandard.ZstdCompressor) -> tuple:
 def quality(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the results added."""
     df = df.drop(*(c.split()[0] for c in RESULTS.split(", ")))
-    at = df.columns.index(text)
 
     def start():
         packer = zstandard.ZstdCompressor(level=LEVEL)
+        return lambda texts: (judge(t, packer) for t in texts)
 
-        def run(batch: dict) -> Iterator[tuple]:
-            for row in zip(*batch.values(), strict=True):
-                yield *row, *judge(row[at], packer)
-
-        return run
-
-    return map_rows(df, f"{ddl(df)}, {RESULTS}", start)
+    return add_columns(df, [text], RESULTS, start)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,11 +25,12 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from eventfold.llm.common import Written, ddl, map_rows, numbered, table
+from eventfold.llm.common import Written, add_columns, map_rows, numbered, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -49,11 +50,18 @@ class Tokeniser:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        self.special = [t["content"] for t in given["added_tokens"]]
+        self.fast = self.native(given)
+
+    @cached_property
+    def library(self):
+        """The library's tokenizer, only loaded for a text or file that needs it."""
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.fast = self.native(json.loads(self.library.to_str()))
+        return Tokenizer.from_file(self.path)
 
     @staticmethod
     def native(given: dict):
@@ -192,17 +200,15 @@ def pack(pieces: DataFrame) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs = spark.sparkContext.broadcast(plan(counts))
-    ranked = numbered(pieces, "length", ["doc_id", "piece"], ["doc_id", "piece", "ids_crc32"], "rank", sum(counts.values()))
-    kept = pieces.columns
+    ranked = numbered(pieces, "length", ["doc_id", "piece", "ids_crc32"], ["doc_id", "piece", "ids_crc32"], "rank", sum(counts.values()))
 
     def start():
-        def run(batch: dict) -> Iterator[tuple]:
-            sequences, offsets = places(runs.value, np.array(batch["length"], "i8"), np.array(batch["rank"], "i8"))
-            return zip(*(batch[c] for c in kept), sequences.tolist(), offsets.tolist(), strict=True)
+        def run(lengths: list[int], ranks: list[int]) -> Iterator[tuple]:
+            return zip(*(x.tolist() for x in places(runs.value, np.array(lengths, "i8"), np.array(ranks, "i8"))), strict=True)
 
         return run
 
-    return map_rows(ranked, f"{ddl(pieces)}, sequence_id long, offset long", start)
+    return add_columns(ranked, ["length", "rank"], "sequence_id long, offset long", start).drop("rank")
 
 
 def pack_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:

@@ -9,14 +9,19 @@ link when 100 * |A and B| >= 75 * |A or B|; the result is each document's compon
    common order. The order is by frequency among the marks, so passages that many documents share come
    last. A mark of one node alone can lead nowhere and is dropped as soon as marks meet by hash. What is left
    are short lists of nodes with a common mark. Marks travel as packed arrays, a few rows per task.
-3. Spanning round: every node is verified against the node it shares most lists with. The links found
-   join copies of one text into a component without looking at all pairs of a group.
-4. Completing round: in each list that still holds several components, the nodes' count vectors (shingles
-   hashed into ``GROUPS`` groups, counted) are packed into an R-tree. A tree node keeps the coordinates' maxima
-   and the least set size; the sum of coordinate minima with a query bounds the overlap from above, for tree nodes and for
-   points. Pairs of different components that the bound cannot exclude are verified on their whole sets.
-   So no link between components is lost, and pairs inside one component are never formed.
-5. Components of all links, by repeated minima of neighbours and pointer jumping over written tables.
+3. Families: a list's pivot is its node that is in most lists. All lists of one pivot are one family, its distinct
+   nodes, so that copies of a long text, which share hundreds of lists, meet once and not in each of them.
+4. Spanning round: every node is verified against the pivot it shares most lists with. The links found join copies
+   of one text into a component without looking at all pairs of a group.
+5. Completing round: a family that still holds several components is one task's, with its nodes' sets. Their count
+   vectors (shingles hashed into ``GROUPS`` groups, counted) are packed into an R-tree. A tree node keeps the
+   coordinates' maxima and the least set size; the sum of coordinate minima with a query bounds the overlap from
+   above, for tree nodes and for points. Pairs of different components that the bound cannot exclude are verified
+   there on their whole sets, the likeliest first, and a link joins its components at once. So no link between
+   components is lost, pairs inside one are never looked at, and a family gives fewer links than it has nodes. Nodes
+   of its largest component do not ask, as each of the others asks for them. Nodes of a family beyond ``BLOCK`` are
+   dealt to several tasks, one for each block of asking and block of asked nodes.
+6. Components of all links, by repeated minima of neighbours and pointer jumping over written tables.
 
 Sets, not samples of them, decide every link. Sets of candidate nodes are made again from their texts; the
 ids of those texts are broadcast up to ``BROADCAST_IDS``, beyond that they meet by a shuffle join.
@@ -43,7 +48,11 @@ PERCENT = 75
 #: Share of the hash range whose shingles are marks: over a quarter, so that nearly all prefixes lie within them.
 MARKED = 0.34
 GROUPS = 256
-LEAF = 512
+LEAF = 64
+#: Nodes of a family in one block, and pairs verified at a time.
+BLOCK, AT_ONCE = 1024, 64
+#: Nodes in one row of a list.
+ROW_NODES = 1 << 16
 #: Marks that one task takes, about.
 TASK_MARKS = 1 << 21
 BROADCAST_IDS = 4_000_000
@@ -93,6 +102,17 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def linked_ones(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of some sets, none empty, link with a set."""
+    if not others:
+        return np.zeros(0, bool)
+    sizes = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    hit = a[np.minimum(np.searchsorted(a, flat), len(a) - 1)] == flat
+    both = np.add.reduceat(hit.astype("i8"), np.cumsum(sizes) - sizes)
+    return 100 * both >= PERCENT * (len(a) + sizes - both)
+
+
 def counts_of(own: np.ndarray) -> np.ndarray:
     """The set's point: how many of its shingles fall into each group."""
     return np.bincount((own >> np.uint64(8)).astype("u8") % np.uint64(GROUPS), minlength=GROUPS)
@@ -122,8 +142,8 @@ class CountTree:
             half = len(order) // 2
             self.parts = [CountTree(points, sizes, self.rows[x]) for x in (order[:half], order[half:])]
 
-    def partners(self, q: np.ndarray, n: int) -> Iterator[np.ndarray]:
-        """Rows whose overlap with the query may be enough."""
+    def partners(self, q: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows whose overlap with the query may be enough, and its bound."""
         if self.most_size * 100 < PERCENT * n or self.least_size * PERCENT > 100 * n:
             return
         if np.minimum(q, self.most).sum() < needed(n, max(self.least_size, PERCENT * n / 100)):
@@ -133,7 +153,8 @@ class CountTree:
                 yield from part.partners(q, n)
         else:
             bound = np.minimum(q, self.own) @ np.ones(len(q), q.dtype)
-            yield self.rows[bound >= needed(n, self.sizes[self.rows])]
+            enough = bound >= needed(n, self.sizes[self.rows])
+            yield self.rows[enough], bound[enough]
 
 
 def _packed(values: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple]:
@@ -166,7 +187,8 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def common_lists(described: DataFrame) -> DataFrame:
-    """Lists of nodes that share a mark of their prefixes, each list of one task's once."""
+    """Lists (list, nodes) of nodes that share a mark of their prefixes, equal ones once. A long one has several rows; two
+    of one name only add candidates."""
     total = described.agg(F.sum(F.octet_length("marks")) / 8).first()[0] or 0
     tasks = 1 + int(total) // TASK_MARKS
     parts = 4 * tasks
@@ -253,21 +275,22 @@ def common_lists(described: DataFrame) -> DataFrame:
         edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
         seen = set()
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if b - a > 1 and (name := xxhash.xxh3_128_digest(v[a:b].tobytes())) not in seen:
+            if b - a > 1 and (name := xxhash.xxh3_64_intdigest(v[a:b].tobytes()) - (1 << 63)) not in seen:
                 seen.add(name)
-                yield (v[a:b].tolist(),)
+                for k in range(a, b, ROW_NODES):
+                    yield name, v[k : min(k + ROW_NODES, b)].tolist()
 
     dealt = map_stream(described.select("n", "node", "marks"), "kind int, bucket int, a binary, b binary", deal, rows=64)
     met = map_stream(dealt.repartition(tasks, "bucket"), "kind int, bucket int, a binary, b binary, c binary", meet, rows=64)
     cut_ = map_stream(met.repartition(tasks, "bucket"), "bucket int, a binary, b binary", cut, rows=64)
-    return map_stream(cut_.repartition(tasks, "bucket"), "nodes array<long>", lists, rows=500).distinct()
+    return map_stream(cut_.repartition(tasks, "bucket"), "list long, nodes array<long>", lists, rows=500).distinct()
 
 
-def candidate_sets(docs: DataFrame, described: DataFrame, lists: DataFrame) -> DataFrame:
-    """node, key, n, whole set and counts of every node in a list, made again from one text of each."""
-    nodes = lists.select(F.explode("nodes").alias("node")).distinct()
-    chosen = described.join(nodes, "node", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id")).select("id").distinct()
-    few = (lists.select(F.sum(F.size("nodes"))).first()[0] or 0) <= BROADCAST_IDS
+def candidate_sets(docs: DataFrame, ids: DataFrame, members: DataFrame) -> DataFrame:
+    """node, key, n and the whole set of every node in a family, made again from one text of each."""
+    nodes = members.select("node").distinct()
+    chosen = ids.join(nodes, "node", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    few = members.count() <= BROADCAST_IDS
     chosen = F.broadcast(chosen) if few else chosen
     texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
@@ -276,11 +299,11 @@ def candidate_sets(docs: DataFrame, described: DataFrame, lists: DataFrame) -> D
             for text in batch["text"]:
                 if len(own := shingles(text)):
                     key = digest(own)
-                    yield node_of(key), key, len(own), own.tobytes(), counts_of(own).astype("<u4").tobytes()
+                    yield node_of(key), key, len(own), own.tobytes()
 
         return run
 
-    return map_rows(texts, "node long, key binary, n long, own binary, counts binary", start).dropDuplicates(["key"])
+    return map_rows(texts, "node long, key binary, n long, own binary", start).dropDuplicates(["key"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -299,14 +322,31 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_rows(both, "key_a binary, key_b binary", start)
 
 
-def best_partners(lists: DataFrame) -> DataFrame:
-    """For each node the pivot that it shares most lists with. A list's pivot is its node that is in most lists: of
-    a text and its edited copies that is the text, as each copy has lost some of its shingles."""
-    members = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("node"))
+def families(lists: DataFrame) -> DataFrame:
+    """Nodes (family, node, n) with the number of lists that they share with the pivot by which the family is named.
+
+    The pivot is the list's node that is in most lists: of a text and its edited copies that is the text, as each copy
+    has lost some of its shingles."""
+    members = lists.select("list", F.explode("nodes").alias("node")).distinct()
     degree = members.groupBy("node").agg(F.count("*").alias("degree"))
-    pivots = members.join(degree, "node").groupBy("list").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
-    shared = members.withColumnRenamed("node", "b").join(pivots, "list").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return shared.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    pivots = members.join(degree, "node").groupBy("list").agg(F.max_by("node", F.struct("degree", "node")).alias("family"))
+    return members.join(pivots, "list").groupBy("family", "node").agg(F.count("*").alias("n"))
+
+
+def partners(members: DataFrame) -> DataFrame:
+    """(a, b): for each node b the pivot a that it shares most lists with."""
+    others = members.where("family <> node").groupBy("node").agg(F.max_by("family", F.struct("n", "family")).alias("a"))
+    return others.select("a", F.col("node").alias("b"))
+
+
+def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (family, node, key, label, asks, n_asks, size) of the families with several components. Nodes outside the
+    component that most of a family's nodes have ask. ``labels``: node, key, label."""
+    named = members.select("family", "node").join(labels, "node")
+    per = named.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family")
+    per = per.agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("parts"))
+    per = per.where("parts > 1").select("family", "top", "size", (F.col("size") - F.col("most")).alias("n_asks"))
+    return named.join(per, "family").withColumn("asks", F.col("label") != F.col("top")).drop("top")
 
 
 def components(links: DataFrame, written: Written, name: str) -> DataFrame:
@@ -327,41 +367,53 @@ def components(links: DataFrame, written: Written, name: str) -> DataFrame:
     return labels
 
 
-def completing_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components in a list that the count vectors do not exclude."""
-    info = sets.join(labels, "key", "left").select("node", "n", "counts", F.coalesce("label", "key").alias("label"))
-    members = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("node"))  # two lists of one hash only add candidates
-    named = members.join(info.select("node", "label"), "node")
-    mixed = named.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("list")
-    rows = members.join(mixed, "list", "left_semi").join(info, "node")
-    rows = rows.repartition("list").sortWithinPartitions("list", "node").select("list", "node", "n", "counts", "label")
+def completing_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (key_a, key_b) that join the components of each family as far as its nodes link; ``members`` as from ``mixed``."""
+    here = "struct({} AS i, {} AS j, {} AS asking, {} AS asked)"
+    deal = f"""CASE WHEN size < {BLOCK} THEN array({here.format("0L", "0L", "asks", "true")})
+      ELSE concat(transform(sequence(0L, size div {BLOCK}), k -> {here.format("own_i", "k", "true", "false")}), transform(sequence(0L, n_asks div {BLOCK}), k -> {here.format("k", "own_j", "false", "true")})) END"""
+    own = {"own_i": F.expr(f"pmod(xxhash64(node), n_asks div {BLOCK} + 1)"), "own_j": F.expr(f"pmod(xxhash64(node), size div {BLOCK} + 1)")}
+    dealt = members.withColumns(own).select("family", "node", "key", "label", "asks", F.explode(F.expr(deal)).alias("d"))
+    dealt = dealt.select("family", "d.*", "node", "label", "asks", "key").where("asked OR asks")
+    rows = dealt.join(sets.select("key", "own"), "key").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node", "key", "asking")
 
-    def pairs(stream: Iterator[tuple]) -> Iterator[tuple]:
+    def links(stream: Iterator[tuple]) -> Iterator[tuple]:
         held: list[tuple] = []
         for row in stream:
-            if held and row[0] != held[0][0]:
-                yield from _tree_pairs(held)
+            if held and row[:3] != held[0][:3]:
+                yield from block_links([r[3:] for r in held])
                 held = []
             held.append(row)
         if held:
-            yield from _tree_pairs(held)
+            yield from block_links([r[3:] for r in held])
+
+    return map_stream(rows.select("family", "i", "j", "node", "label", "asks", "asking", "asked", "key", "own"), "key_a binary, key_b binary", links).distinct()
 
-    return map_stream(rows, "a long, b long", pairs).distinct()
 
+def block_links(held: list[tuple]) -> Iterator[tuple]:
+    """Links of rows (node, label, asks, asking, asked, key, own), each joining two components.
 
-def _tree_pairs(held: list[tuple]) -> Iterator[tuple]:
-    """Pairs of a list's nodes. Nodes of its largest component do not ask, as each of the others asks for them."""
-    sizes = np.array([r[2] for r in held])
+    Two nodes that both ask meet where the smaller one asks."""
+    node, label, asks, asking, asked, key, own = zip(*held, strict=True)
+    own = [np.frombuffer(x, "u8") for x in own]
+    sizes, node, asks, asked = np.array([len(x) for x in own]), np.array(node), np.array(asks), np.array(asked)
+    if not asked.any() or not any(asking):
+        return
+    labels = np.unique(label, return_inverse=True)[1]
     exact = "f4" if sizes.max() < 1 << 24 else "f8"  # sums of coordinates are integers that these hold
-    points = np.array([np.frombuffer(r[3], "<u4") for r in held], exact)
-    labels = np.unique([r[4] for r in held], return_inverse=True)[1]
-    asks = labels != np.bincount(labels).argmax()
-    tree = CountTree(points, sizes)
-    for k in np.flatnonzero(asks):
-        for rows in tree.partners(points[k], sizes[k]):
-            for j in rows[(labels[rows] != labels[k]) & ((rows > k) | ~asks[rows])]:
-                a, b = held[k][1], held[j][1]
-                yield min(a, b), max(a, b)
+    points = np.array([counts_of(x) for x in own], exact)
+    tree = CountTree(points, sizes, np.flatnonzero(asked))
+    for k in np.flatnonzero(asking):
+        for rows, bound in tree.partners(points[k], sizes[k]):
+            open_ = ~asks[rows] | (node[rows] > node[k])
+            rows = rows[open_][np.argsort(-bound[open_] / (sizes[rows[open_]] + sizes[k]), kind="stable")]
+            for at in range(0, len(rows), AT_ONCE):
+                some = rows[at : at + AT_ONCE]
+                some = some[labels[some] != labels[k]]
+                for j in some[linked_ones(own[k], [own[j] for j in some])]:
+                    if labels[j] != labels[k]:
+                        labels[labels == labels[j]] = labels[k]
+                        yield key[k], key[j]
 
 
 def join_copies(docs: DataFrame) -> DataFrame:
@@ -369,17 +421,22 @@ def join_copies(docs: DataFrame) -> DataFrame:
     written = Written(docs.sparkSession, "jaccard")
     described = written.put(describe(docs), "described")
     lists = written.put(common_lists(described), "lists")
-    sets = written.put(candidate_sets(docs, described, lists), "sets")
-    first = written.put(verify(best_partners(lists), sets), "first")
+    ids = written.put(described.drop("marks"), "ids")
+    written.drop("described")
+    members = written.put(families(lists), "families")
+    written.drop("lists")
+    sets = written.put(candidate_sets(docs, ids, members), "sets")
+    first = written.put(verify(partners(members), sets), "first")
     labels = components(first, written, "spanning")
-    more = written.put(verify(completing_pairs(lists, sets, labels), sets), "more")
+    labels = sets.select("key", "node").join(labels, "key", "left").select("node", "key", F.coalesce("label", "key").alias("label"))
+    more = written.put(completing_links(mixed(members, labels), sets), "more")
     labels = components(first.union(more), written, "all")
-    keys = described.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).join(labels, "key", "left")
+    keys = ids.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).join(labels, "key", "left")
     lows = keys.where("label IS NOT NULL").groupBy("label").agg(F.min("low").alias("component"))
     groups = keys.join(lows, "label", "left").select("key", "rows", F.coalesce("component", "low").alias("component"))
     groups = written.put(groups, "groups")
-    written.drop("lists", "sets", "first", "more")
-    out = join_groups(described.select("doc_id", "n", "key"), groups, "key")
+    written.drop("families", "sets", "first", "more")
+    out = join_groups(ids.select("doc_id", "n", "key"), groups, "key")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 

@@ -3,12 +3,13 @@
 An Aho-Corasick automaton over magic numbers runs once over a value's bytes; every hit is handed to its
 format's validator, which confirms the structure and computes the true length from the format's own
 fields. A value whose first confirmed medium starts at byte 0 gets that type, whatever was declared;
-confirmed media that start later are carved (type, start, length). A hit that fails its validator, or
-that lies inside a confirmed medium's own header, is not reported.
+confirmed media that start later, also inside others, are carved (type, start, length). A hit that fails its
+validator is not reported.
 
-Formats: wav (RIFF/WAVE, chunk sizes), png (chunk walk to IEND), gif (block walk to the trailer), jpeg
-(marker walk to EOI), pdf (%PDF- to the last %%EOF), zip (end-of-central-directory), gzip (header
-fields), flac and ogg (header fields; length to the end of the value).
+Formats: wav (RIFF/WAVE, chunk sizes), png (chunk walk to IEND, checksums), gif (block walk to the trailer), jpeg
+(marker walk to EOI), pdf (%PDF- to the last %%EOF), zip (central directory walked to its end record), gzip (one member
+inflated and its checksum), ogg (pages of a stream walked to its last), flac (metadata blocks walked to a frame's
+sync code; the format has no length, so it is reported as unknown, ``?``).
 
 ``store`` keeps any bytes losslessly as 8-bit mono samples of a WAV file, ``load`` reads them back.
 
@@ -19,16 +20,19 @@ table gives no rows; columns of the input named like the results are replaced.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import ddl, map_rows, table
+from eventfold.llm.common import add_columns, map_rows, table
 
 # The formats' magic numbers.
 MAGIC = {
@@ -38,6 +42,8 @@ MAGIC = {
 SAMPLE_RATE = 8000
 UNIT = 64
 HEADER = 44
+#: Compressed bytes that a gzip check is fed at a time, and bytes that it makes of them at a time.
+FED, MADE = 1 << 16, 1 << 20
 
 
 def store(payload: bytes) -> bytes:
@@ -58,6 +64,25 @@ def load(media: bytes) -> bytes:
     raise ValueError("no data chunk")
 
 
+class Value:
+    """A value's bytes, and places in them that validators of many hits need, looked for once."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    @cached_property
+    def last_eof(self) -> int:
+        return self.data.rfind(b"%%EOF")
+
+    @cached_property
+    def zip_ends(self) -> list[int]:
+        return [m.start() for m in re.finditer(rb"PK\x05\x06", self.data)]
+
+
+#: The length of a medium whose format does not tell it.
+UNKNOWN = -1
+
+
 def _wav(b: bytes, at: int) -> int:
     if len(b) < at + 12 or b[at + 8 : at + 12] != b"WAVE":
         return 0
@@ -114,7 +139,7 @@ def _jpeg(b: bytes, at: int) -> int:
         if mark == 0xD9:
             return k + 2 - at
         size = struct.unpack_from(">H", b, k + 2)[0]
-        if size < 2:
+        if size < 2 or mark == 0xD8:
             return 0
         k += 2 + size
         if mark == 0xDA:  # entropy-coded data up to the next real marker
@@ -125,41 +150,80 @@ def _jpeg(b: bytes, at: int) -> int:
     return k + 2 - at if b[k : k + 2] == b"\xff\xd9" else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.rfind(b"%%EOF", at)
-    return end + 5 - at if b[at + 5 : at + 6].isdigit() and end > 0 else 0
+def _pdf(v: Value, at: int) -> int:
+    return v.last_eof + 5 - at if v.data[at + 5 : at + 6].isdigit() and v.last_eof > at else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
+def _zip(v: Value, at: int) -> int:
+    """The first end record whose directory starts and ends where it says, with as many entries."""
+    b = v.data
+    next_ = bisect.bisect(v.zip_ends, at)
+    end = v.zip_ends[next_] if next_ < len(v.zip_ends) else len(b)
+    if end + 22 > len(b):
         return 0
-    size, start = struct.unpack_from("<II", b, end + 12)
-    return end + 22 + struct.unpack_from("<H", b, end + 20)[0] - at if start + size == end - at else 0
+    entries, size, start, comment = struct.unpack_from("<HIIH", b, end + 10)
+    k = at + start
+    if k + size != end or end + 22 + comment > len(b):
+        return 0
+    for _ in range(entries):
+        if b[k : k + 4] != b"PK\x01\x02" or k + 46 > end:
+            return 0
+        k += 46 + sum(struct.unpack_from("<HHH", b, k + 28))
+    return end + 22 + comment - at if k == end else 0
 
 
 def _gzip(b: bytes, at: int) -> int:
     if len(b) < at + 18 or b[at + 3] & 0xE0:
         return 0
-    inflate = zlib.decompressobj(31)
+    inflate, view = zlib.decompressobj(31), memoryview(b)
     try:
-        inflate.decompress(b[at:])
+        for k in range(at, len(b), FED):
+            part = view[k : k + FED]
+            while len(part) and not inflate.eof:
+                inflate.decompress(part, MADE)
+                part = inflate.unconsumed_tail
+            if inflate.eof:
+                return k + len(view[k : k + FED]) - len(inflate.unused_data) - at
+        while inflate.decompress(b"", MADE):
+            pass
     except zlib.error:
         return 0
     return len(b) - at - len(inflate.unused_data) if inflate.eof else 0
 
 
 def _flac(b: bytes, at: int) -> int:
-    return len(b) - at if b[at + 4 : at + 5] in (b"\0", b"\x80") and b[at + 5 : at + 8] == b"\0\0\x22" else 0
+    k, first = at + 4, True
+    while k + 4 <= len(b):
+        kind, size = b[k] & 0x7F, int.from_bytes(b[k + 1 : k + 4])
+        if kind == 127 or first != (kind == 0) or first and size != 34:
+            return 0
+        last, k, first = b[k] & 0x80, k + 4 + size, False
+        if last:
+            return UNKNOWN if b[k : k + 1] == b"\xff" and b[k + 1 : k + 2] in (b"\xf8", b"\xf9") else 0
+    return 0
 
 
 def _ogg(b: bytes, at: int) -> int:
-    return len(b) - at if len(b) >= at + 27 and b[at + 5] & 0xF8 == 0 and len(b) >= at + 27 + b[at + 26] else 0
+    """From the first page of a stream (its flag) over pages of the same stream in sequence to the last one (its flag)."""
+    k, number, serial = at, 0, b[at + 14 : at + 18]
+    while k + 27 <= len(b) and b[k : k + 5] == b"OggS\0":
+        flags, segments = b[k + 5], b[k + 26]
+        if flags & 0xF8 or bool(flags & 2) != (number == 0) or b[k + 14 : k + 18] != serial or int.from_bytes(b[k + 18 : k + 22], "little") != number:
+            return 0
+        k, number = k + 27 + segments + sum(b[k + 27 : k + 27 + segments]), number + 1
+        if k > len(b):
+            return 0
+        if flags & 4:
+            return k - at
+    return 0
 
 
 VALIDATORS = {"wav": _wav, "png": _png, "gif87": _gif, "gif89": _gif, "jpeg": _jpeg, "pdf": _pdf, "zip": _zip, "gzip": _gzip, "flac": _flac, "ogg": _ogg}
 
 
+WHOLE = ("pdf", "zip")  # validators that take a ``Value``
+
+
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for kind, magic in MAGIC.items():
@@ -170,10 +234,10 @@ def automaton() -> ahocorasick.Automaton:
 
 def sniff(machine: ahocorasick.Automaton, value: bytes) -> list[tuple[str, int, int]]:
     """Confirmed media as (type, start, length), by start."""
-    found = []
+    found, whole = [], Value(value)
     for last, (kind, width) in machine.iter(value.decode("latin-1")):
         at = last + 1 - width
-        if length := VALIDATORS[kind](value, at):
+        if length := VALIDATORS[kind](whole if kind in WHOLE else value, at):
             found.append((kind.rstrip("79").rstrip("8"), at, length))
     return sorted(found, key=lambda x: (x[1], x[0]))
 
@@ -182,27 +246,25 @@ def describe(found: list[tuple[str, int, int]], declared: str | None, size: int)
     """The corrected type, and a line with type, declared type, length confirmed, and all carved media."""
     kind = next((k for k, at, _ in found if at == 0), "unknown")
     whole = next((n for _, at, n in found if at == 0), 0)
-    carved = ",".join(f"{k}@{at}+{n}" for k, at, n in found if at)
-    return kind, f"type={kind};declared={declared or 'none'};length={whole}/{size};carved={carved}"
+    length = lambda n: "?" if n == UNKNOWN else n
+    carved = ",".join(f"{k}@{at}+{length(n)}" for k, at, n in found if at)
+    return kind, f"type={kind};declared={declared or 'none'};length={length(whole)}/{size};carved={carved}"
 
 
 def sniff_column(df: DataFrame, value: str, declared: str) -> DataFrame:
     """``df`` with media_type and media_feature from the bytes in ``value``, against the type in ``declared``."""
     df = df.drop("media_type", "media_feature")
-    names = df.columns
 
     def start():
         machine = automaton()
 
-        def run(batch: dict) -> Iterator[tuple]:
-            for row in zip(*batch.values(), strict=True):
-                data, said = (row[names.index(c)] for c in (value, declared))
-                data = bytes(data or b"")
-                yield (*row, *describe(sniff(machine, data), said, len(data)))
+        def one(data, said) -> tuple[str, str]:
+            data = bytes(data or b"")
+            return describe(sniff(machine, data), said, len(data))
 
-        return run
+        return lambda values, types: map(one, values, types)
 
-    return map_rows(df, f"{ddl(df)}, media_type string, media_feature string", start)
+    return add_columns(df, [value, declared], "media_type string, media_feature string", start)
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,21 @@
 """URL filters over a sorted digest array.
 
 A rule list becomes one file: the rules' 64-bit xxhash digests in ascending order, the ends of the
-rules' strings, their verdicts, and the strings themselves. A task maps the file into memory and
-probes it with a vectorised binary search; a hit counts only when the stored full string equals the
-probed one, so a collision of digests cannot decide anything.
+rules' strings, their verdicts, the numbers of labels of their hosts and the lengths of their paths, and the
+strings themselves. A worker maps the file into memory and probes it with a vectorised binary search; a hit
+counts only when the stored full string equals the probed one, so a collision of digests cannot decide anything.
+A url's candidates are the host's suffixes of as many labels, and the path's prefixes of such a length, as
+rules have.
 
-The list is broadcast while its file is at most ``BROADCAST_BYTES``; a larger list takes the other
-way, ``judge_by_join``, where candidates and rules meet in an equi-join on the digest and the full
-strings are compared after it.
+The list is broadcast while its file is at most ``BROADCAST_BYTES``. A larger one, ``judge_by_shards``, is cut by
+ranges of the digest into files of about ``SHARD_RULES`` rules, each of which is mapped by the task that the
+candidates of its range go to. Both ways find the same.
 
 Cases: a null url, or one without ``://``, has empty host and path, fits no rule and gets the
 default verdict. An empty table gives no rows, an empty rule list lets every url have the default.
-Repeated rows and equal urls are judged alike. Columns of the input named like the results are
-replaced. Ties cannot occur: rules are unique strings, and of two rules that fit, the longer wins;
-for equal lengths the smaller string does.
+Repeated rows and equal urls are judged alike. A rule given with both verdicts blocks. Columns of the input named
+like the results are replaced. Ties cannot occur: rules are unique strings, and of two rules that fit, the longer
+(in UTF-8) wins; for equal lengths the greater string does.
 """
 
 from __future__ import annotations
@@ -22,16 +24,19 @@ import mmap
 import os
 import tempfile
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import ddl, map_rows, table
+from eventfold.llm.common import Written, add_columns, join_groups, map_rows, map_stream, table
 
 #: Largest index file that is broadcast to the executors.
 BROADCAST_BYTES = 64 << 20
+#: Rules in a shard of a larger list, at most twice as many, and candidates probed at a time.
+SHARD_RULES, PROBED = 1 << 18, 20_000
 #: The rule list of the registered query: (verdict, rule).
 RULES = (
     ("allow", "com/"),
@@ -44,16 +49,26 @@ DEFAULT = "allow"
 
 
 def build_index(rules) -> bytes:
-    """The index file's bytes: count, digests (sorted), ends of strings, verdicts, strings."""
-    unique = {rule: verdict == "allow" for verdict, rule in rules}
+    """The index file's bytes from pairs (verdict, rule): numbers of rules, label counts and path lengths, then digests
+    (sorted), ends of strings, label counts, path lengths, verdicts, strings."""
+    unique: dict[str, bool] = {}
+    for verdict, rule in rules:
+        unique[rule] = unique.get(rule, True) and verdict == "allow"
     rows = sorted((xxhash.xxh64_intdigest(rule.encode()), rule.encode(), allow) for rule, allow in unique.items())
-    ends = np.cumsum([len(r[1]) for r in rows], dtype="<i8") if rows else np.zeros(0, "<i8")
+    labels, paths = (np.array(sorted(set(x)), "<i8") for x in zip(*map(shape, unique), strict=True)) if unique else (np.zeros(0, "<i8"),) * 2
     return b"".join([
-        np.int64(len(rows)).tobytes(), np.array([r[0] for r in rows], "<u8").tobytes(), ends.tobytes(),
+        np.array([len(rows), len(labels), len(paths)], "<i8").tobytes(), np.array([r[0] for r in rows], "<u8").tobytes(),
+        np.cumsum([len(r[1]) for r in rows], dtype="<i8").tobytes() if rows else b"", labels.tobytes(), paths.tobytes(),
         np.array([r[2] for r in rows], "u1").tobytes(), b"".join(r[1] for r in rows),
     ])
 
 
+def shape(rule: str) -> tuple[int, int]:
+    """Labels of a rule's host, and characters of its path."""
+    host, _, path = rule.partition("/")
+    return host.count(".") + 1, len(path) + 1
+
+
 class DigestIndex:
     """A memory-mapped index file."""
 
@@ -62,14 +77,14 @@ class DigestIndex:
             f.write(data)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        n = int(np.frombuffer(self.map, "<i8", 1)[0])
-        self.keys = np.frombuffer(self.map, "<u8", n, 8)
-        self.ends = np.frombuffer(self.map, "<i8", n, 8 + 8 * n)
-        self.allow = np.frombuffer(self.map, "u1", n, 8 + 16 * n)
-        self.base = 8 + 17 * n
-        strings = [self.string(i) for i in range(n)]
-        #: Lengths of the rules' paths: the only prefixes of a path that can be a rule's.
-        self.path_lengths = sorted({len(s.decode().partition("/")[2]) + 1 for s in strings})
+        n, labels, paths = (int(x) for x in np.frombuffer(self.map, "<i8", 3))
+        self.keys = np.frombuffer(self.map, "<u8", n, 24)
+        self.ends = np.frombuffer(self.map, "<i8", n, 24 + 8 * n)
+        self.labels = np.frombuffer(self.map, "<i8", labels, 24 + 16 * n).tolist()
+        self.path_lengths = np.frombuffer(self.map, "<i8", paths, 24 + 16 * n + 8 * labels).tolist()
+        at = 24 + 16 * n + 8 * (labels + paths)
+        self.allow = np.frombuffer(self.map, "u1", n, at)
+        self.base = at + n
 
     def string(self, i: int) -> bytes:
         return self.map[self.base + (int(self.ends[i - 1]) if i else 0) : self.base + int(self.ends[i])]
@@ -84,6 +99,18 @@ class DigestIndex:
         return found
 
 
+_MAPPED: dict[int, DigestIndex] = {}
+
+
+def mapped(data: bytes) -> DigestIndex:
+    """The index of a file's bytes, the latest one kept for the worker's next task."""
+    key = xxhash.xxh3_64_intdigest(data)
+    if key not in _MAPPED:
+        _MAPPED.clear()
+        _MAPPED[key] = DigestIndex(data)
+    return _MAPPED[key]
+
+
 def host_and_path(url: str):
     """Columns for the host (A-Z lower-cased) and the path of a url column; empty for null or without ``://``."""
     rest = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -91,16 +118,19 @@ def host_and_path(url: str):
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(url, rest, 2), F.lit(""))
 
 
-def candidates(host: str, path: str, path_lengths: list[int]) -> list[str]:
+def candidates(host: str, path: str, labels: list[int], path_lengths: list[int]) -> list[str]:
     """Every string that a fitting rule can have: a suffix of the host by labels, then a prefix of the path."""
-    labels = host.split(".")
+    if not host:
+        return []
+    own = host.rsplit(".", labels[-1]) if labels else []
+    tails = [host if k == len(own) else ".".join(own[len(own) - k :]) for k in labels if k <= len(own)]
     heads = [path[:k] for k in path_lengths if len(path) >= k]
-    return [h + p for i in range(len(labels)) if (h := ".".join(labels[i:])) for p in heads]
+    return [h + p for h in tails for p in heads]
 
 
 def best_rules(index: DigestIndex, hosts: list[str], paths: list[str]) -> tuple[list, list]:
     """Rule and verdict of each (host, path), None where no rule fits; one probe for all candidates of a batch."""
-    tried = [candidates(h, p, index.path_lengths) for h, p in zip(hosts, paths, strict=True)]
+    tried = [candidates(h, p, index.labels, index.path_lengths) for h, p in zip(hosts, paths, strict=True)]
     flat = [c.encode() for row in tried for c in row]
     hits, k = index.find(flat), 0
     rules, verdicts = [], []
@@ -112,53 +142,79 @@ def best_rules(index: DigestIndex, hosts: list[str], paths: list[str]) -> tuple[
     return rules, verdicts
 
 
+def _split(urls: DataFrame, url: str) -> DataFrame:
+    host, path = host_and_path(url)
+    return urls.withColumns({"_host": host, "_path": path}).drop("host", "path", "rule", "verdict").withColumnsRenamed({"_host": "host", "_path": "path"})
+
+
 def judge_urls(spark: SparkSession, urls: DataFrame, rules, url: str = "url", default: str = DEFAULT) -> DataFrame:
     """``urls`` with host, path, rule and verdict added.
 
     ``rules``: pairs (verdict, rule); a list here is what a driver can hold. A list whose index file is
-    over ``BROADCAST_BYTES`` goes through ``judge_by_join`` instead of a broadcast.
+    over ``BROADCAST_BYTES`` goes through ``judge_by_shards`` instead of a broadcast.
     """
     data = build_index(rules)
     if len(data) > BROADCAST_BYTES:
-        return judge_by_join(urls, spark.createDataFrame([(v, r) for v, r in rules], "verdict string, rule string"), url, default)
+        return judge_by_shards(urls, spark.createDataFrame([(v, r) for v, r in rules], "verdict string, rule string"), url, default)
     sent = spark.sparkContext.broadcast(data)
-    host, path = host_and_path(url)
-    split = urls.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    schema = f"{ddl(split)}, rule string, verdict string"
 
     def start():
-        index = DigestIndex(sent.value)
+        index = mapped(sent.value)
 
-        def probe(batch: dict) -> Iterator[tuple]:
-            found, verdicts = best_rules(index, batch["host"], batch["path"])
-            return zip(*batch.values(), found, [v or default for v in verdicts], strict=True)
+        def probe(hosts: list[str], paths: list[str]) -> Iterator[tuple]:
+            found, verdicts = best_rules(index, hosts, paths)
+            return zip(found, [v or default for v in verdicts], strict=True)
 
         return probe
 
-    return map_rows(split, schema, start)
+    return add_columns(_split(urls, url), ["host", "path"], "rule string, verdict string", start)
 
 
-def judge_by_join(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT) -> DataFrame:
-    """The same for a rule list of any size, a DataFrame (verdict, rule): candidates meet rules on the digest.
+def judge_by_shards(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT) -> DataFrame:
+    """The same for a rule list of any size, a DataFrame (verdict, rule), cut by ranges of the digest.
 
-    Only distinct (host, path) pairs are expanded, so a host with a third of all pages costs its paths.
+    Only distinct (host, path) pairs are expanded and probed, so a host with a third of all pages costs its paths.
+    In a task a shard's file comes first and its candidates stream after it.
     """
-    host, path = host_and_path(url)
-    split = urls.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    rules = rules.groupBy("rule").agg(F.max("verdict").alias("rule_verdict"))
-    lengths = F.broadcast(rules.select((F.length("rule") - F.instr("rule", "/") + 1).alias("k")).distinct())
-    pairs = split.select("host", "path").distinct()
-    tails = F.expr("filter(transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 1000), '.')), h -> h != '')")
-    tried = (
-        pairs.join(lengths, F.length("path") >= F.col("k"))
-        .select("host", "path", F.explode(tails).alias("tail"), F.substring("path", F.lit(1), F.col("k")).alias("head"))
-        .select("host", "path", F.concat("tail", "head").alias("candidate"))
-        .withColumn("digest", F.xxhash64("candidate"))
-    )
-    hit = tried.join(rules.withColumn("digest", F.xxhash64("rule")), "digest").where("candidate = rule")
-    best = hit.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), "rule")).alias("best"))
-    out = split.join(best, ["host", "path"], "left")
-    return out.select(*split.columns, F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    written = Written(urls.sparkSession, "urls")
+    shapes = rules.select((F.size(F.split(F.substring_index("rule", "/", 1), "[.]"))).alias("l"), (F.length("rule") - F.instr("rule", "/") + 1).alias("p"))
+    found = shapes.agg(F.sort_array(F.collect_set("l")).alias("l"), F.sort_array(F.collect_set("p")).alias("p"), F.count("*").alias("n")).first()
+    labels, paths, width = found["l"], found["p"], max(0, (found["n"] // SHARD_RULES).bit_length())
+    shard_of = lambda text: xxhash.xxh64_intdigest(text.encode()) >> (64 - width) if width else 0
+
+    def ranged(batch: dict) -> Iterator[tuple]:
+        return ((shard_of(r), v, r) for v, r in zip(batch["verdict"], batch["rule"], strict=True))
+
+    def indexes(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for shard, own in groupby(rows, lambda r: r[0]):
+            yield shard, 0, build_index(r[1:] for r in own), None, None, None
+
+    def expand(batch: dict) -> Iterator[tuple]:
+        for host, path in zip(batch["host"], batch["path"], strict=True):
+            for c in candidates(host, path, labels, paths):
+                yield shard_of(c), 1, None, host, path, c
+
+    def probe(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for _, own in groupby(rows, lambda r: r[0]):
+            first = next(own)
+            if first[1]:
+                continue  # a range without rules
+            index = DigestIndex(first[2])
+            while some := list(islice(own, PROBED)):
+                for k, (*_, host, path, c) in zip(index.find([r[5].encode() for r in some]), some, strict=True):
+                    if k >= 0:
+                        yield host, path, c, "allow" if index.allow[k] else "block"
+
+    split = _split(urls, url)
+    kinds = "shard long, kind int, data binary, host string, path string, candidate string"
+    files = map_stream(map_rows(rules.select("verdict", "rule"), "shard long, verdict string, rule string", lambda: ranged).repartition("shard").sortWithinPartitions("shard"), kinds, indexes, rows=1)
+    pairs = written.put(split.groupBy("host", "path").agg(F.count("*").alias("rows")), "pairs")
+    tried = map_rows(pairs.select("host", "path"), kinds, lambda: expand)
+    hits = map_stream(files.unionByName(tried).repartition("shard").sortWithinPartitions("shard", "kind"), "host string, path string, rule string, verdict string", probe)
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.octet_length("rule"), "rule")).alias("best"))
+    whole = lambda df: df.withColumn("_url", F.concat(F.length("host").cast("string"), F.lit(":"), "host", "path"))
+    groups = whole(pairs.join(best, ["host", "path"], "left")).select("_url", "rows", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return join_groups(whole(split), written.put(groups, "groups"), "_url").select(*split.columns, "rule", "verdict")
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,15 @@ def test_incompressible_texts_and_mixtures_are_not_kept(size):
         assert not inside(text(size - part) + junk(part)) and not inside(junk(part) + text(size - part)), junk(60)
 
 
+@pytest.mark.parametrize("size", [48, 70, 100, 140, 180])
+def test_short_texts_have_bands_too(size):
+    r, packer = random.Random(size), o2.zstandard.ZstdCompressor(level=o2.LEVEL)
+    inside = lambda t: o2.within_bands(len(t.encode()), *o2.ratios(t.encode(), packer))
+    assert inside(prose(size, 60)[:size]) and not inside(("spam " * 60)[:size])
+    if size > 100:
+        assert not inside(base64.b64encode(r.randbytes(size)).decode()[:size])
+
+
 # 3
 
 
@@ -153,7 +162,30 @@ def test_locate_finds_texts_and_rewrites():
     found = o3.locate(o3.render, turns)
     assert found.rewrites == 0 and [o3.unescape(found.output[a:b]) for a, b in found.texts] == [t for _, t in turns]
     rewriting = lambda turns: f"<{len(turns)}>" + "".join(t for _, t in turns)
-    assert o3.locate(rewriting, turns).rewrites == 3
+    found = o3.locate(rewriting, turns)
+    assert found.rewrites == 3 and [found.output[a:b] for a, b in found.texts] == [t for _, t in turns]
+
+
+def test_hostile_templates_and_roles():
+    r = random.Random(3)
+    bits = ["\ue000", "\ue001", "<s>", "[INST]", "\\", "x", "\n", " "]
+    for _ in range(100):
+        turns = [("".join(r.choices(bits, k=r.randint(0, 5))), "".join(r.choices(bits, k=r.randint(0, 9)))) for _ in range(r.randint(1, 40))]
+        want = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
+        for template in (o3.INSTRUCT, o3.Template(o3.render)):
+            added = list(o3.pieces(template, turns))
+            assert "".join(x[0] for x in added) == o3.render(turns) and [o3.unescape(t[a:b]) for t, a, b in added] == [t for _, t in turns]
+        assert o3.digest(1, turns)[2] == want
+    turns = [("user", f"t{k}") for k in range(5)]
+    started = o3.Template(lambda turns: "<s>" + o3.render(turns), 1)
+    assert "".join(x[0] for x in o3.pieces(started, turns)) == started.render(turns)
+    dropping, repeating = (lambda turns: "".join(role for role, _ in turns)), (lambda turns: "".join(t + t for _, t in turns))
+    growing, counting = (lambda turns: "x" * len(turns) + ">" + "".join(t for _, t in turns)), (lambda turns: "".join(f"{k}:{t}" for k, (_, t) in enumerate(turns)))
+    for template in (o3.Template(dropping), o3.Template(repeating, 1), o3.Template(growing, 1), o3.Template(counting, 1)):
+        with pytest.raises(ValueError, match="template"):
+            list(o3.pieces(template, turns))
+    added = list(o3.pieces(o3.Template(growing), turns))
+    assert "".join(x[0] for x in added) == growing(turns) and [t[a:b] for t, a, b in added] == [t for _, t in turns]
 
 
 def test_long_and_odd_conversations(spark, monkeypatch):
@@ -163,8 +195,11 @@ def test_long_and_odd_conversations(spark, monkeypatch):
     said = "".join(f"t{k}" for k in range(1, 50, 2))
     assert found[1]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest() and found[1]["n_turns"] == 50
     assert found[2]["turns_sha256"] == hashlib.sha256(b"\n\nassistant\nx\n").hexdigest() and found[None]["n_turns"] == 1
-    cut = list(o3.samples(iter([(1, "user", f"{k}") for k in range(o3.SAMPLE_TURNS + 2)])))
-    assert [x[1] for x in cut] == [0, 1] and "".join(x[2] for x in cut) == o3.render([("user", f"{k}") for k in range(o3.SAMPLE_TURNS + 2)])
+    whole = o3.render([("assistant" if k % 2 else "user", f"t{k}") for k in range(50)])
+    monkeypatch.setattr(o3, "PART_CHARS", 100)
+    parts = sorted((r["start"], r["formatted"], r["loss_spans"]) for r in o3.format_conversations(df).where("conv_id = 1").collect())
+    assert len(parts) > 5 and "".join(x[1] for x in parts) == whole
+    assert "".join(whole[a:b] for x in parts for a, b in x[2]) == said
     assert o3.format_conversations(df.where("false")).count() == 0
 
 
@@ -253,7 +288,7 @@ def test_base_spans_equal_brute_force(spark):
     r = random.Random(5)
     bits = ["1", "2", "55", ".", "-", " ", "@", "a", "b", "+", "(", ")", "%", "é", "😀", "4111111111111111", "a@b.c", "1.2.3.4", "_", "+1 (202) 555-0147"]
     texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 60))) for _ in range(1500)] + ["1" * 20000, "a" * 30000 + "@", "1-" * 20000 + "1", "a@b" + ".c" * 20000, "+1" + " " * 30000 + "23456789", None]
-    found = o5.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), []).select("doc_id", o5.written("base_spans").alias("s")).collect()
+    found = o5.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {}).select("doc_id", o5.written("base_spans").alias("s")).collect()
     for row in found:
         t = texts[row["doc_id"]] or ""
         want = sorted((m.start(), no, m.end(), k) for no, (k, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, t) if passes(k, m[0]))
@@ -269,11 +304,38 @@ def test_weak_supervision_accepts_secrets_and_leaves_words(spark):
     spans = {x["doc_id"]: x["spans"] for x in o5.find_spans(df, accepted).select("doc_id", o5.written("spans").alias("spans")).collect()}
     assert all(spans[k].startswith("secret:20:60") for k in range(40)) and not any(spans[k] for k in range(40, 80))
     assert o5.redact(df, accepted).where("doc_id = 0").first()["text"] == 'some words token = "<secret>" and more'
-    assert o5.learn(df.where("false")) == []
+    assert o5.learn(df.where("false")) == {"secret": [], "name": []}
+
+
+def test_names_by_gazetteer_and_context(spark):
+    rows = [f"we wrote to Mrs {a} {b}{k} yesterday".replace(str(k), "") for k in range(40) for a, b in [(("Anna", "Klaus")[k % 2], "Mi" + "abcdefgh"[k % 8] + "er")]]
+    rows += ["Erthnt Ontiat was here. The End came", "Then Reties Onher went"] * 20
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = {x["doc_id"]: x["spans"] for x in o5.find_spans(df, o5.learn(df)).select("doc_id", o5.written("spans").alias("spans")).collect()}
+    assert all("name:" in spans[k] for k in range(40)) and not any(spans[k] for k in range(40, 80)), spans
+
+
+def test_texts_of_very_many_matches(spark):
+    n = 20_000
+    text = " ".join(f"a{k}@b.com x1y2z3w4{k:05d}" for k in range(n // 2)) + " end"
+    df = spark.createDataFrame([(1, text), (2, "no")], "doc_id long, text string")
+    accepted = {"secret": ["8|mixed|many|blank", "8|mixed|some|blank", "8|mixed|one|blank"]}
+    found = o5.find_spans(df, accepted).where("doc_id = 1").select(o5.written("spans").alias("s")).first()["s"]
+    want = sorted((m.start(), m.end(), k) for k, p in (("email", PATTERNS["email"]), ("secret", r"x1y2z3w4\d+")) for m in re.finditer(p, text))
+    assert found == ",".join(f"{k}:{a}:{b}" for a, b, k in want)
+    assert o5.redact(df, accepted).where("doc_id = 1").first()["text"] == "<email> <secret> " * (n // 2) + "end"
+
+
+def test_running_equals_accumulation(spark):
+    r = random.Random(3)
+    rows = [[r.randint(0, 99) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 128, 1000)]
+    df = spark.createDataFrame([(x,) for x in rows], "v array<int>").select("v", o5.running(F.col("v"), lambda a, b: a + b).alias("s"), o5.running(F.col("v"), F.greatest).alias("m"))
+    for x in df.collect():
+        assert x["s"] == [sum(x["v"][: k + 1]) for k in range(len(x["v"]))] and x["m"] == [max(x["v"][: k + 1]) for k in range(len(x["v"]))]
 
 
 def test_spans_run_no_python(docs):
-    plan = o5.find_spans(docs, ["40|hex|many|sign"])._jdf.queryExecution().toString()
+    plan = o5.find_spans(docs, {"secret": ["40|hex|many|sign"]})._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
@@ -301,6 +363,31 @@ def test_store_is_lossless_and_media_are_carved():
     assert o6.sniff(o6.automaton(), png[:-1]) == []
 
 
+def test_validators_confirm_structure_and_length():
+    import gzip
+    import io
+    import zipfile
+
+    machine = o6.automaton()
+    zipped = io.BytesIO()
+    with zipfile.ZipFile(zipped, "w") as z:
+        z.writestr("a", "hello")
+        z.writestr("b/c", b"x" * 5000)
+    zipped = zipped.getvalue()
+    page = lambda number, flags, body, serial=b"abcd": b"OggS\0" + bytes([flags]) + b"\0" * 8 + serial + number.to_bytes(4, "little") + b"\0" * 4 + bytes([1, len(body)]) + body
+    ogg = page(0, 2, b"head") + page(1, 0, b"more") + page(2, 4, b"end")
+    flac = b"fLaC" + b"\x00\0\0\x22" + b"\0" * 34 + b"\x84\0\0\x04abcd" + b"\xff\xf8data"
+    big = gzip.compress(bytes(range(256)) * 20000)
+    pdf = b"%PDF-1.4 text %%EOF"
+    for kind, data in (("zip", zipped), ("ogg", ogg), ("gzip", big), ("pdf", pdf)):
+        assert (kind, 2, len(data)) in o6.sniff(machine, b"--" + data + b"tail"), kind
+    assert o6.sniff(machine, flac) == [("flac", 0, o6.UNKNOWN)] and "length=?/" in o6.describe(o6.sniff(machine, flac), None, len(flac))[1]
+    broken = [zipped.replace(b"PK\x01\x02", b"PK\x01\x03"), ogg[:-4], page(0, 2, b"a") + page(2, 4, b"b"), flac[:-6], b"fLaC\0\0\0\x22", big[:-1], b"%PDF-x %%EOF"]
+    assert [o6.sniff(machine, x) for x in broken] == [[]] * len(broken)
+    for hostile in (b"%PDF-1" * 200_000, b"PK\x03\x04" * 200_000, b"\x1f\x8b\x08" * 100_000, b"\xff\xd8\xff" * 100_000, b"OggS\0\2" * 50_000):
+        assert o6.sniff(machine, hostile) == []
+
+
 def test_sniff_frame(spark):
     df = spark.createDataFrame([(1, bytearray(o6.store(b"x")), "png", None), (2, None, None, 5)], "id long, value binary, declared string, media_type long")
     rows = {r["id"]: r for r in o6.sniff_column(df, "value", "declared").collect()}
@@ -320,14 +407,37 @@ def brute_url(url):
     return (host, path, *(max(fits)[1:] if fits else (None, "allow")))
 
 
-def test_urls_by_broadcast_and_by_join(spark):
+def test_urls_by_broadcast_and_by_shards(spark):
     df = spark.createDataFrame(list(enumerate(URLS)) + [(3, URLS[3])], "page_id long, url string").withColumn("rule", F.lit("clash"))
     want = sorted(repr((k, *brute_url(u))) for k, u in [*enumerate(URLS), (3, URLS[3])])
     columns = ("page_id", "host", "path", "rule", "verdict")
     assert sorted(repr(tuple(r)) for r in o7.judge_urls(spark, df, o7.RULES).select(*columns).collect()) == want
     rules = spark.createDataFrame(list(o7.RULES), "verdict string, rule string")
-    assert sorted(repr(tuple(r)) for r in o7.judge_by_join(df, rules).select(*columns).collect()) == want
-    assert o7.judge_urls(spark, df.where("false"), []).count() == 0
+    assert sorted(repr(tuple(r)) for r in o7.judge_by_shards(df, rules).select(*columns).collect()) == want
+    assert o7.judge_urls(spark, df.where("false"), []).count() == 0 == o7.judge_by_shards(df.where("false"), rules).count()
+    assert {r["rule"] for r in o7.judge_by_shards(df, rules.where("false")).collect()} == {None}
+
+
+def test_both_ways_agree_on_many_rules_and_odd_urls(spark, monkeypatch):
+    r = random.Random(7)
+    label = lambda: "".join(r.choice("abä日") for _ in range(r.randint(1, 2)))
+    rule = lambda: ".".join(label() for _ in range(r.randint(1, 3))) + "/" + r.choice(["", "a", "ä/", "日a", "a/b/"])
+    rules = [(r.choice(["allow", "block"]), rule()) for _ in range(3000)]
+    urls = [f"http://{'.'.join(label() for _ in range(r.randint(1, 4)))}/{r.choice(['', 'a', 'ä/x', '日ab', 'a/b/c'])}" for _ in range(2000)]
+    urls += ["http://" + "a." * 100_000 + "b/a", "http://" + "." * 5000, "http://a/" + "a" * 100_000] + [urls[0]] * 500
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    columns = ("page_id", "host", "path", "rule", "verdict")
+    want = sorted(map(tuple, o7.judge_urls(spark, df, rules).select(*columns).collect()))
+    assert sum(x[3] is not None for x in want) > 1000 and len({v for v, x in rules if (v == "block") and ("allow", x) in rules}) == 1
+    monkeypatch.setattr(o7, "SHARD_RULES", 50)
+    monkeypatch.setattr(o7, "PROBED", 64)
+    assert sorted(map(tuple, o7.judge_by_shards(df, spark.createDataFrame(rules, "verdict string, rule string")).select(*columns).collect())) == want
+    best = {}
+    for v, x in rules:
+        best[x] = "block" if v == "block" else best.get(x, "allow")
+    for _, host, path, found, verdict in want[::17]:
+        fits = [(len(x.encode()), x) for x in best for h, _, p in [x.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)] if len(host) < 1000 else None
+        assert fits is None or (found, verdict) == ((max(fits)[1], best[max(fits)[1]]) if fits else (None, "allow"))
 
 
 def test_equal_digests_are_told_apart(monkeypatch):
@@ -429,13 +539,49 @@ def test_components_equal_brute_force(spark, docs):
     assert o9.join_copies(path.where("false")).count() == 0
 
 
+def test_blocks_and_inner_nodes_find_every_link():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**63, 60).astype("u8")
+    sets = [np.unique(np.concatenate([r.choice(base, 60 - k % 30, replace=False), r.integers(0, 2**63, k % 30).astype("u8")])) for k in range(700)]
+    labels = [bytes([k % 251, k % 7]) for k in range(700)]
+    rows = [(k, lab, True, True, True, k.to_bytes(2, "big"), s.tobytes()) for k, (s, lab) in enumerate(zip(sets, labels, strict=True))]
+    assert o9.CountTree(np.array([o9.counts_of(s) for s in sets], "f4"), np.array([len(s) for s in sets])).parts
+
+    def groups(links):
+        part = {lab: lab for lab in labels}
+
+        def find(x):
+            while part[x] != x:
+                x = part[x]
+            return x
+
+        for a, b in links:
+            part[find(labels[a])] = find(labels[b])
+        return [find(lab) for lab in labels]
+
+    brute = groups((a, b) for a in range(700) for b in range(a) if o9.linked(sets[a], sets[b]))
+    found = [(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in o9.block_links(rows)]
+    own = groups(found)
+    assert all(o9.linked(sets[a], sets[b]) for a, b in found) and len(found) < 700
+    assert len(set(zip(own, brute, strict=True))) == len(set(own)) == len(set(brute)) > 1
+
+
+def test_dealt_families_give_the_same_components(spark, monkeypatch):
+    base = prose(77, 100).split()
+    texts = [" ".join([*base[: 100 - k % 40], *prose(1000 + k, k % 40).split()]) for k in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, o9.join_copies(df).collect()))
+    monkeypatch.setattr(o9, "BLOCK", 10)
+    assert sorted(map(tuple, o9.join_copies(df).collect())) == want
+
+
 def test_count_tree_excludes_no_link():
     r = np.random.default_rng(11)
     base = [np.unique(r.integers(0, 2**63, n).astype("u8")) for n in r.integers(3, 300, 40)]
     sets = [np.unique(np.concatenate([b[: max(1, int(len(b) * f))], r.integers(0, 2**63, int(len(b) * g)).astype("u8")])) for b in base for f, g in ((1, 0), (0.9, 0.05), (0.8, 0), (0.7, 0.4), (1, 0.3))]
     tree = o9.CountTree(np.array([o9.counts_of(s) for s in sets], "i4"), np.array([len(s) for s in sets]))
     for a, s in enumerate(sets):
-        found = {int(x) for rows in tree.partners(o9.counts_of(s), len(s)) for x in rows}
+        found = {int(x) for rows, _ in tree.partners(o9.counts_of(s), len(s)) for x in rows}
         assert {b for b, t in enumerate(sets) if o9.linked(s, t)} <= found
         assert len(found) < len(sets)
 

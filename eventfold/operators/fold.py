@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RECORD = "group string, seq long, log_key string, event_id string, tenant_id string, aggregate_type string, aggregate_id string, version long, before long, after long, parent_id string, order_id string, content_hash string"
-CHANGES = "group string, seq long, event_id string, disposition string, tenant_id string, aggregate_type string, aggregate_id string, quantity long, version long, parent_id string, order_id string, expected_version long, received_version long"
+CHANGES = "group string, seq long, event_id string, disposition string, tenant_id string, aggregate_type string, aggregate_id string, quantity long, version long, parent_id string, order_id string, expected_version long, received_version long, own boolean"
 TERMINAL = ("quarantined_conflict", "quarantined_mismatch", "quarantined_stale", "quarantined_transition", "quarantined_invalid")
 
 
@@ -43,11 +43,23 @@ class Group:
     def __init__(self) -> None:
         self.inbox: dict[str, list] = {}  # event_id: [state, hash]
         self.items: dict[str, list] = {}  # aggregate key: [quantity, version] or for a hop [version, event_id]
-        self.waiting: dict[str, dict[int, Record]] = {}  # aggregate key: version: record
+        self.waiting: dict[str, dict[int, list[Record]]] = {}  # aggregate key: version: records in order of arrival
         self.edges: set[tuple] = set()
 
+    def load(self, r: Record, disposition: str) -> None:
+        """State that is there before any delivery: an inbox row with its record, or an aggregate's ``projection``."""
+        key = f"{r.tenant_id}/{r.aggregate_type}/{r.aggregate_id}"
+        if disposition == "projection":
+            self.items[key] = [r.after, r.version] if r.aggregate_type == "inventory_item" else [r.version, r.event_id]
+            self.edges |= self._edges(r)
+            return
+        self.inbox[r.event_id] = [disposition, r.content_hash]
+        if disposition == "quarantined_gap" and r.aggregate_type == "inventory_item":
+            self.waiting.setdefault(key, {}).setdefault(r.version, []).append(r)
+
     def deliver(self, r: Record) -> Iterator[tuple]:
-        """What a record changes: rows of ``CHANGES``, the last state of an event or aggregate winning."""
+        """What a record changes: rows of ``CHANGES``, the last state of an event or aggregate winning. The first is the
+        record's own result, those of waiting records that it lets in follow."""
         key = f"{r.tenant_id}/{r.aggregate_type}/{r.aggregate_id}"
         if r.log_key is not None and r.log_key != key:
             self.inbox[r.event_id] = ["quarantined_mismatch", r.content_hash]
@@ -78,7 +90,9 @@ class Group:
         now = self.items.get(key)
         expected = now[1] + 1 if now else 1
         if r.version > expected:
-            self.waiting.setdefault(key, {})[r.version] = r
+            held = self.waiting.setdefault(key, {}).setdefault(r.version, [])
+            if all(w.event_id != r.event_id for w in held):
+                held.append(r)
             return self._change(r, "quarantined_gap", expected)
         if r.version < expected:
             return self._change(r, "quarantined_stale", expected)
@@ -96,31 +110,41 @@ class Group:
             return self._change(r, "quarantined_invalid")
         if r.version != 1:
             return self._change(r, "quarantined_gap", now[0] + 1 if now else 1)
-        edges = {(r.tenant_id, r.aggregate_type, what, value) for what, value in (("parent", r.parent_id), ("order", r.order_id)) if value is not None}
+        edges = self._edges(r)
         if edges & self.edges:
             return self._change(r, "quarantined_invalid")
         self.edges |= edges
         self.items[key] = [1, r.event_id]
         return self._change(r, "applied")
 
+    @staticmethod
+    def _edges(r: Record) -> set[tuple]:
+        return {(r.tenant_id, r.aggregate_type, what, value) for what, value in (("parent", r.parent_id), ("order", r.order_id)) if value is not None}
+
     def _drain(self, key: str, after: Record) -> Iterator[tuple]:
-        """Waiting versions that have become next, lowest first."""
+        """Waiting versions that have become next, lowest first. Of several records of a version the first to arrive is
+        tried; the others keep waiting, for the next record that is applied or a duplicate."""
         waiting = self.waiting.get(key, {})
-        while key in self.items and after.aggregate_type == "inventory_item" and (r := waiting.pop(self.items[key][1] + 1, None)):
+        while key in self.items and after.aggregate_type == "inventory_item" and (held := waiting.get(self.items[key][1] + 1)):
+            r = held.pop(0)
+            if not held:
+                del waiting[r.version]
             change = self._apply(key, r)
             self.inbox[r.event_id][0] = change[3]
-            yield change[:1] + (after.seq,) + change[2:]
+            yield change[0], after.seq, *change[2:-1], False
             if change[3] != "applied":
                 return
 
     def _forget(self, key: str, r: Record) -> None:
         """A conflict on an open gap is terminal: its version is not taken up again."""
         waiting = self.waiting.get(key, {})
-        for version in [v for v, w in waiting.items() if w.event_id == r.event_id]:
-            del waiting[version]
+        for version, held in list(waiting.items()):
+            waiting[version] = [w for w in held if w.event_id != r.event_id]
+            if not waiting[version]:
+                del waiting[version]
 
     def _change(self, r: Record, disposition: str, expected: int | None = None, quantity: int | None = None) -> tuple:
-        return r.group, r.seq, r.event_id, disposition, r.tenant_id, r.aggregate_type, r.aggregate_id, quantity, r.version, r.parent_id, r.order_id, expected, r.version if expected is not None else None
+        return r.group, r.seq, r.event_id, disposition, r.tenant_id, r.aggregate_type, r.aggregate_id, quantity, r.version, r.parent_id, r.order_id, expected, r.version if expected is not None else None, True
 
 
 def _records(rows: pd.DataFrame) -> Iterator[Record]:
@@ -149,12 +173,14 @@ def with_groups(rows: DataFrame) -> DataFrame:
     shared = rows.select("event_id", "group").distinct()
     many = shared.groupBy("event_id").count().where("count > 1").select("event_id")
     shared = shared.join(many, "event_id", "left_semi").withColumn("to", F.col("group")).cache()
-    before = None
-    while (total := shared.agg(F.sum(F.xxhash64("to", "group") % 1_000_003)).first()[0]) not in (None, before):
-        before = total
+    changed = shared.limit(1).count()
+    while changed:
         least = shared.groupBy("event_id").agg(F.min("to").alias("low"))
-        by_group = shared.join(least, "event_id").groupBy("group").agg(F.min("low").alias("to"))
-        shared = shared.drop("to").join(by_group, "group").select("event_id", "group", "to").cache()
+        by_group = shared.join(least, "event_id").groupBy("group").agg(F.min("low").alias("new"))
+        after = shared.join(by_group, "group").select("event_id", "group", F.col("to").alias("was"), F.col("new").alias("to")).cache()
+        changed = after.where("to <> was").count()
+        shared.unpersist()
+        shared = after
     names = shared.select("group", "to").distinct()
     return rows.join(names, "group", "left").withColumn("group", F.coalesce("to", "group")).drop("to")
 

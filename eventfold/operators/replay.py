@@ -28,17 +28,17 @@ def lineage_checksum(hops: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def rebuild(records: DataFrame, tenant_id: str) -> tuple[DataFrame, DataFrame]:
-    """Projection, and one row of status and counts, of a tenant's records folded from nothing. The result is written
+    """Projection, and one row of status and counts of deliveries, of a tenant's records folded from nothing. The result is written
     beside the old one by the caller; nothing is changed in place."""
     changes = fold(with_groups(scoped(records, tenant_id)))
-    states = inbox(changes)
-    quarantined = F.count_if(F.col("disposition").startswith("quarantined") & (F.col("disposition") != "quarantined_gap"))
-    counts = states.agg(
-        F.count_if(F.col("disposition") == "applied").alias("applied"), F.count_if(F.col("disposition") == "duplicate_noop").alias("duplicate_noop"),
-        quarantined.alias("quarantined"), F.count_if(F.col("disposition") == "quarantined_gap").alias("gaps"), F.count("*").alias("events"),
+    own, state = changes.where("own"), F.col("disposition")
+    counts = own.agg(
+        F.count_if(state == "applied").alias("applied"), F.count_if(state == "duplicate_noop").alias("duplicate_noop"),
+        F.count_if(state.startswith("quarantined") & (state != "quarantined_gap")).alias("quarantined"), F.count("*").alias("records"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
     )
-    complete = (F.col("events") > 0) & (F.col("quarantined") == 0) & (F.col("gaps") == 0)
-    return inventory(changes), counts.withColumn("status", F.when(complete, "complete").otherwise("incomplete"))
+    left = inbox(changes).agg(F.count_if(state == "quarantined_gap").alias("gaps"), F.count_if(state.startswith("quarantined") & (state != "quarantined_gap")).alias("ended"))
+    complete = (F.col("records") > 0) & (F.col("quarantined") + F.col("ended") + F.col("gaps") == 0)
+    return inventory(changes), counts.crossJoin(F.broadcast(left)).withColumn("status", F.when(complete, "complete").otherwise("incomplete")).drop("ended")  # one row each
 
 
 def compare(projection: DataFrame, replayed: DataFrame) -> DataFrame:

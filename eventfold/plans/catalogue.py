@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventfold.plans import forecast, operations, projection, streams  # noqa: F401
+from eventfold.plans import forecast, operations, processing, projection, streams  # noqa: F401
 from eventfold.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

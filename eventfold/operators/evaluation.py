@@ -20,16 +20,38 @@ def score_problem() -> Column:
     return F.when(F.isnan(s), "not a number").when(s.between(0, 1) | s.isNull(), None).otherwise("out of range")
 
 
+SLICES = 4096
+
+
+def ranked_by_score(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Scored rows with rank and hits, the labels up to it, by falling score and then row_id.
+
+    No task holds all rows of a group: rows are ranked among equal scores with the same beginning of the row_id; the
+    numbers of those sets, added up within a slice of the scores and over the slices, say where each begins.
+    """
+    rows = rows.where("score IS NOT NULL").withColumns({"_slice": F.floor(F.col("score") * SLICES), "_head": F.substring("row_id", 1, 2)})
+    sets = rows.groupBy(*by, "_slice", "score", "_head").agg(F.count("*").alias("n"), F.sum("label").alias("h"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = before(Window.partitionBy(*by, "_slice").orderBy(F.desc("score"), "_head"))
+    sets = sets.withColumns({"_n": F.coalesce(F.sum("n").over(inside), F.lit(0)), "_h": F.coalesce(F.sum("h").over(inside), F.lit(0))})
+    slices = sets.groupBy(*by, "_slice").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+    above = before(Window.partitionBy(*by).orderBy(F.desc("_slice")))
+    slices = slices.select(*by, "_slice", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_sn"), F.coalesce(F.sum("h").over(above), F.lit(0)).alias("_sh"))
+    firsts = sets.join(slices, [*by, "_slice"]).select(*by, "_slice", "score", "_head", (F.col("_n") + F.col("_sn")).alias("_n"), (F.col("_h") + F.col("_sh")).alias("_h"))
+    own = Window.partitionBy(*by, "_slice", "score", "_head").orderBy("row_id")
+    ranked = rows.withColumns({"rank": F.row_number().over(own), "hits": F.sum("label").over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    ranked = ranked.join(firsts, [*by, "_slice", "score", "_head"])
+    return ranked.withColumns({"rank": F.col("rank") + F.col("_n"), "hits": F.col("hits") + F.col("_h")}).drop("_slice", "_head", "_n", "_h")
+
+
 def evaluate(rows: DataFrame, by: tuple[str, ...] = ("split",)) -> DataFrame:
     """n, predicted, abstained, positives, ap, brier, coverage and the reason why a metric is undefined.
 
     Average precision is not interpolated; ties of score go by row_id.
     """
-    order = Window.partitionBy(*by, F.col("score").isNull()).orderBy(F.col("score").desc(), "row_id")
-    ranked = rows.withColumn("rank", F.row_number().over(order))
-    hits = F.sum("label").over(order.rowsBetween(Window.unboundedPreceding, 0))
     scored = F.col("score").isNotNull()
-    ranked = ranked.withColumn("gain", F.when(scored & (F.col("label") == 1), hits / F.col("rank")))
+    ranked = ranked_by_score(rows, by).select(*by, "row_id", "label", "score", F.when(F.col("label") == 1, F.col("hits") / F.col("rank")).alias("gain"))
+    ranked = ranked.unionByName(rows.where("score IS NULL").select(*by, "row_id", "label", "score", F.lit(None).cast("double").alias("gain")))
     out = ranked.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_if(scored).alias("predicted"), F.count_if(~scored).alias("abstained"), F.sum("label").cast("long").alias("positives"),
         (F.sum("gain") / F.count_if(scored & (F.col("label") == 1))).alias("_ap"), F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("_brier"),

@@ -6,9 +6,13 @@ partitioning and order, so one shuffle and one sort serve all columns of a query
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventfold.functions.stream import map_stream
 from eventfold.functions.text import line, ordered_hash, sha256
 
 SERIES = ("tenant_id", "item_id")
@@ -66,9 +70,22 @@ def split_dates(labelled: DataFrame, splits=SPLITS) -> DataFrame:
 
 
 def with_history_hash(history: DataFrame) -> DataFrame:
-    """SHA-256 of the lines (date, quantity) of the series up to the row's date."""
-    lines = F.collect_list(line("as_of_date", "quantity_on_hand")).over(Window.partitionBy(*SERIES).orderBy(_days()).rowsBetween(Window.unboundedPreceding, 0))
-    return history.withColumn("history_hash", sha256(F.array_join(lines, "")))
+    """SHA-256 of the lines (date, quantity) of the series up to the row's date: one ordered pass, in which the hash of a
+    series goes from row to row. Rows of a date take the order of their lines."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in history.schema)
+    at = [history.columns.index(c) for c in SERIES]
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        key = digest = None
+        for *row, text in rows:
+            if digest is None or [row[k] for k in at] != key:
+                key, digest = [row[k] for k in at], hashlib.sha256()
+            digest.update(text.encode())
+            yield *row, digest.hexdigest()
+
+    lines = history.withColumn("_line", line("as_of_date", "quantity_on_hand"))
+    ordered = lines.repartition(*SERIES).sortWithinPartitions(*SERIES, "as_of_date", "_line")
+    return map_stream(ordered, f"{schema}, history_hash string", run)
 
 
 def row_id(protocol: str = PROTOCOL) -> Column:
@@ -118,7 +135,7 @@ def runtime_seasonal_naive(horizon: int = HORIZON) -> Column:
     there and none has; else null."""
     frame = _range(1 - horizon, 0)
     first_zero = F.min(F.when(F.col("quantity_on_hand") == 0, _days())).over(frame)
-    days = F.collect_list(_days()).over(frame)
+    days = F.collect_list(F.when(F.col("quantity_on_hand").isNotNull(), _days())).over(frame)
     upto = F.size(F.filter(days, lambda d: d <= first_zero))
     start = _days() - (horizon - 1)
     return F.when(first_zero.isNotNull() & (upto == first_zero - start + 1), 1.0).when(first_zero.isNull() & (F.size(days) == horizon), 0.0)

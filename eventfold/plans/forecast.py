@@ -5,7 +5,7 @@ The series are each user's numbers of events on the 30 days that the events tabl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventfold.functions.text import line, sha256
@@ -128,12 +128,14 @@ def q31(spark, d):
     return examples(spark, d).withColumn("score", S.seasonal_naive()).select("row_id", "split", "score")
 
 
-@query("q32_runtime_seasonal_naive", f"""WITH {DATASET_SQL}, f AS (SELECT row_id, item_id, as_of_date, quantity_on_hand FROM ex WHERE date_diff('day', DATE '{START}', as_of_date) % 11 <> 3),
-steps AS (SELECT a.row_id, o.o, b.quantity_on_hand AS q FROM f a CROSS JOIN (SELECT unnest(range(0, 7)) AS o) o LEFT JOIN f b ON b.item_id = a.item_id AND b.as_of_date = a.as_of_date - 6 + CAST(o.o AS INTEGER)),
+@query("q32_runtime_seasonal_naive", f"""WITH {DATASET_SQL}, f AS (SELECT row_id, item_id, as_of_date, quantity_on_hand FROM ex),
+steps AS (SELECT a.row_id, o.o, b.quantity_on_hand AS q FROM f a CROSS JOIN (SELECT unnest(range(0, 7)) AS o) o LEFT JOIN f b ON b.item_id = a.item_id AND b.as_of_date = a.as_of_date - 6 + CAST(o.o AS INTEGER) AND date_diff('day', DATE '{START}', b.as_of_date) % 11 <> 3),
 ends AS (SELECT row_id, min(o) FILTER (q = 0) AS zero, min(o) FILTER (q IS NULL) AS hole FROM steps GROUP BY row_id)
 SELECT row_id, CASE WHEN zero IS NOT NULL AND (hole IS NULL OR zero < hole) THEN 1.0::DOUBLE WHEN zero IS NULL AND hole IS NULL THEN 0.0::DOUBLE END AS score FROM ends""")
 def q32(spark, d):
-    rows = examples(spark, d).where(F.datediff("as_of_date", F.lit(START).cast("date")) % 11 != 3)
+    """Every example is scored; on every eleventh day nothing is known."""
+    known = F.datediff("as_of_date", F.lit(START).cast("date")) % 11 != 3
+    rows = examples(spark, d).withColumn("quantity_on_hand", F.when(known, F.col("quantity_on_hand")))
     return rows.withColumn("score", S.runtime_seasonal_naive()).select("row_id", "score")
 
 
@@ -167,11 +169,12 @@ def q37(spark, d):
 
 @query("q38_candidate_promotion", f"WITH {MODEL_SQL}, {BEST_SQL} SELECT c.split, b.model AS baseline, coalesce(c.ap > b.ap AND c.brier <= b.brier, FALSE) AS promoted FROM result c LEFT JOIN best b ON b.split = c.split WHERE c.model = 'bucket_rate'")
 def q38(spark, d):
-    """Both sides are one row a split, taken from the one evaluation."""
-    all_ = results(spark, d)
-    base = E.best(all_.where("model <> 'bucket_rate'")).select("split", F.col("model").alias("baseline"), "ap", "brier")
-    own = all_.where("model = 'bucket_rate'").select("split", F.col("ap").alias("candidate_ap"), F.col("brier").alias("candidate_brier"))
-    return own.join(F.broadcast(base), "split", "left").select("split", "baseline", E.promoted().alias("promoted"))
+    """Both sides of a split are taken from its rows in one aggregation."""
+    candidate = F.col("model") == "bucket_rate"
+    own = F.max(F.when(candidate, F.struct(F.col("ap").alias("candidate_ap"), F.col("brier").alias("candidate_brier")))).alias("own")
+    base = F.min(F.when(~candidate & E.qualifies(), F.struct(-F.col("ap"), "brier", -F.col("coverage"), F.col("model").alias("baseline"), "ap"))).alias("base")
+    sides = results(spark, d).groupBy("split").agg(own, base).where("own IS NOT NULL").select("split", "own.*", "base.baseline", "base.ap", "base.brier")
+    return sides.select("split", "baseline", E.promoted().alias("promoted"))
 
 
 PRED_SQL = f"""pred AS (SELECT event_id AS prediction_id, 'tenant-' || (user_id % 4) AS tenant_id, CAST(user_id AS VARCHAR) AS item_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS observation_date, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS recorded_at,
@@ -198,12 +201,15 @@ def q40(spark, d):
 
 
 @query("q41_prediction_conflicts", """WITH pred AS (SELECT event_id % 2000 AS prediction_id, CASE WHEN event_id < 2000 THEN 0 ELSE event_id % 7 END AS content, event_id FROM events),
-stored AS (SELECT prediction_id, content FROM pred WHERE event_id < 1000), new AS (SELECT prediction_id, min(content) AS content FROM pred WHERE event_id >= 1000 AND event_id < 4000 GROUP BY prediction_id)
+first AS (SELECT prediction_id, min(event_id) AS event_id FROM pred GROUP BY prediction_id), stored AS (SELECT pred.prediction_id, content FROM pred JOIN first USING (event_id) WHERE pred.prediction_id % 5 <> 0),
+new AS (SELECT pred.prediction_id, min(content) AS content FROM pred JOIN first USING (prediction_id) WHERE pred.event_id > first.event_id OR pred.prediction_id % 5 = 0 GROUP BY pred.prediction_id)
 SELECT new.prediction_id, CASE WHEN stored.prediction_id IS NULL THEN 'append' WHEN stored.content = new.content THEN 'keep' ELSE 'conflict' END AS effect FROM new LEFT JOIN stored USING (prediction_id)""")
 def q41(spark, d):
+    """Each prediction's first delivery is stored, but for every fifth, of which nothing is; all later deliveries are new."""
     rows = table(spark, d, "events").select("event_id", (F.col("event_id") % 2000).alias("prediction_id"), F.when(F.col("event_id") < 2000, 0).otherwise(F.col("event_id") % 7).alias("content"))
+    rows = rows.withColumn("stored", (F.col("event_id") == F.min("event_id").over(Window.partitionBy("prediction_id"))) & (F.col("prediction_id") % 5 != 0))
     own = ["prediction_id", "content"]
-    return P.persist(rows.where("event_id < 1000").select(own), rows.where("event_id >= 1000 AND event_id < 4000").select(own)).select("prediction_id", "effect")
+    return P.persist(rows.where("stored").select(own), rows.where("NOT stored").select(own)).select("prediction_id", "effect")
 
 
 @query("q42_freshness_status", f"""WITH {PRED_SQL}, cur AS (SELECT DISTINCT tenant_id, item_id, observation_date, snapshot_id FROM pred WHERE prediction_id % 2 = 0)

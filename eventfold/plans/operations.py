@@ -114,13 +114,13 @@ def q43(spark, d):
     return access.allowed(spark, assigned).select(F.col("principal_id").alias("c_custkey"), F.col("tenant_id").alias("scope"), "resource", "action")
 
 
-@query("q44_audit_timeline", "SELECT event_id, user_id % 4 AS tenant_no, 'principal-' || user_id AS principal_id, CASE WHEN event_type = 'error' THEN 'deny' ELSE 'allow' END AS outcome, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS recorded_at FROM events WHERE user_id % 4 = 1 ORDER BY ts, event_id")
+@query("q44_audit_timeline", "SELECT event_id, user_id % 4 AS tenant_no, 'principal-' || user_id AS principal_id, CASE WHEN event_type = 'error' THEN 'deny' ELSE 'allow' END AS outcome, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS recorded_at FROM events ORDER BY tenant_no, ts, event_id")
 def q44(spark, d):
-    rows = table(spark, d, "events").where("user_id % 4 = 1").select(
+    rows = table(spark, d, "events").select(
         "event_id", (F.col("user_id") % 4).alias("tenant_no"), F.concat(F.lit("principal-"), F.col("user_id").cast("string")).alias("principal_id"),
         F.when(F.col("event_type") == "error", "deny").otherwise("allow").alias("outcome"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("recorded_at"), "ts",
     )
-    return rows.orderBy("ts", "event_id").drop("ts")
+    return rows.orderBy("tenant_no", "ts", "event_id").drop("ts")
 
 
 KINDS, OUTCOMES = ("view", "click", "purchase", "signup", "error", "retry"), ("ok", "slow", "failed")

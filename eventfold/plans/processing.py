@@ -9,10 +9,11 @@ from eventfold.functions import canon
 from eventfold.functions.text import line, sha256
 from eventfold.operators import fold as R
 from eventfold.operators import process as N
+from eventfold.operators import reads as D
 from eventfold.operators import source as S
 from eventfold.operators import validation as C
 from eventfold.operators import versioned as V
-from eventfold.plans.forecast import DATASET_SQL, PROTOCOL, examples
+from eventfold.plans.forecast import DATASET_SQL, PROTOCOL, SPLITS, daily, examples
 from eventfold.plans.registry import query
 from eventfold.sources.tables import table
 
@@ -264,3 +265,54 @@ def q67(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("string").alias("content"))
     stored = rows.where("o_orderkey % 3 <> 0").withColumn("content", F.when(F.col("o_orderkey") % 7 == 0, "other").otherwise(F.col("content")))
     return C.accepted_again(stored, rows, "o_orderkey", "content").select("o_orderkey", "effect")
+
+
+@query("q68_counter_families", """WITH e AS (SELECT CASE user_id % 3 WHEN 0 THEN 'publish' WHEN 1 THEN 'processing' ELSE 'http' END AS family, CASE event_id % 5 WHEN 0 THEN 'published' WHEN 1 THEN 'applied' WHEN 2 THEN '2xx' WHEN 3 THEN 'failure' ELSE 'nonsense' END AS outcome FROM events)
+SELECT family, outcome, (SELECT count(*) FROM e WHERE e.family = a.family AND e.outcome = a.outcome) AS n FROM (VALUES """ + ", ".join(f"('{f}', '{o}')" for f, v in D.COUNTERS.items() for o in v) + """) a(family, outcome)""")
+def q68(spark, d):
+    k = F.col("event_id") % 5
+    outcome = F.when(k == 0, "published").when(k == 1, "applied").when(k == 2, "2xx").when(k == 3, "failure").otherwise("nonsense")
+    family = F.when(F.col("user_id") % 3 == 0, "publish").when(F.col("user_id") % 3 == 1, "processing").otherwise("http")
+    return D.counters(table(spark, d, "events").select(family.alias("family"), outcome.alias("outcome")))
+
+
+@query("q69_effect_counts_json", """SELECT tenant_no, '{' || string_agg('"' || event_type || '":' || n, ',' ORDER BY event_type) || '}' AS effects FROM (SELECT user_id % 4 AS tenant_no, event_type, count(*) AS n FROM events GROUP BY ALL) x GROUP BY tenant_no""")
+def q69(spark, d):
+    return D.effects_json(table(spark, d, "events").select((F.col("user_id") % 4).alias("tenant_no"), "event_type"), "tenant_no", "event_type")
+
+
+@query("q70_assignment_lists", """SELECT CASE WHEN c_custkey % 5 <> 0 THEN 'p' || c_custkey END AS principal_id, CASE WHEN c_custkey % 5 <> 0 THEN 'tenant-' || (c_custkey % 3) END AS tenant_id, CASE WHEN c_custkey % 5 <> 0 THEN 'ops_reader' END AS role_id,
+  CASE WHEN c_custkey % 5 = 0 THEN 'not an assignment: p' || c_custkey || '||ops_reader' END AS problem FROM customer""")
+def q70(spark, d):
+    key = F.col("c_custkey")
+    entry = F.concat(F.lit(" p"), key.cast("string"), F.lit("|"), F.when(key % 5 != 0, F.concat(F.lit("tenant-"), (key % 3).cast("string"))).otherwise(""), F.lit("|ops_reader ,"))
+    return D.assignments(table(spark, d, "customer").select(entry.alias("value")))
+
+
+@query("q71_session_freshness", """SELECT o_orderkey, o_orderkey % 9 <> 0 AND o_orderdate > TIMESTAMP '1997-01-01 00:00:00' AS fresh, greatest(0, CAST(epoch(TIMESTAMP '1997-01-01 00:00:00') - epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT)) AS age FROM orders""")
+def q71(spark, d):
+    now = F.lit("1997-01-01 00:00:00").cast("timestamp")
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("expires_at"), F.when(F.col("o_orderkey") % 9 != 0, "p").otherwise(" ").alias("principal_id"), F.lit("t").alias("tenant_id"))
+    return rows.select("o_orderkey", D.fresh_session(now).alias("fresh"), D.age_seconds(now, F.col("expires_at")).alias("age"))
+
+
+@query("q72_strict_artifacts", """SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'not an object' WHEN c_custkey % 7 = 0 THEN 'other members' WHEN c_custkey % 5 = 0 THEN 'type of a member' END AS problem, CASE WHEN c_custkey % 11 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 THEN c_custkey END AS n FROM customer""")
+def q72(spark, d):
+    key = F.col("c_custkey")
+    text = F.concat(F.lit('{"id":"x","n":'), F.when(key % 5 == 0, '"a"').otherwise(key.cast("string")), F.when(key % 7 == 0, ',"more":1}').otherwise("}"))
+    rows = table(spark, d, "customer").select("c_custkey", F.when(key % 11 == 0, "[1").otherwise(text).alias("value"))
+    return D.strict_artifact(rows, "id string, n long").select("c_custkey", "problem", "n")
+
+
+@query("q73_snapshot_at_cutoff", f"""WITH {DATASET_SQL.replace("), hist AS (", " WHERE g.d <= DATE '2024-01-20'), hist AS (", 1)} SELECT row_id, item_id, CAST(as_of_date AS VARCHAR) AS as_of_date, history_hash FROM ex""")
+def q73(spark, d):
+    rows = D.snapshot_rows(daily(spark, d), "2024-01-20", PROTOCOL, SPLITS)
+    return rows.select("row_id", "item_id", F.col("as_of_date").cast("string").alias("as_of_date"), "history_hash")
+
+
+@query("q74_lineage_chain_fold", "SELECT range AS chain, 'applied' AS disposition, CAST(4 AS BIGINT) AS n FROM range(1000)")
+def q74(spark, d):
+    """Generated chains, delivered in the order of their ids, all of which apply whatever their parents' order."""
+    rows = D.lineage_events(spark, 1000).withColumns({"seq": F.xxhash64("event_id"), "log_key": F.lit(None).cast("string"), "before": F.lit(None).cast("long"), "after": F.lit(None).cast("long")})
+    states = R.inbox(R.fold(R.with_groups(rows))).withColumn("chain", F.substring_index("event_id", "-", -1).cast("long"))
+    return states.groupBy("chain", "disposition").agg(F.count("*").alias("n"))

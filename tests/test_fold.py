@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventfold.functions.text import line, ordered_hash
-from eventfold.operators import access, outbox, replay
+from eventfold.operators import access, outbox, reads, replay, validation
 from eventfold.operators import fold as R
 from eventfold.operators import predictions as P
 
@@ -54,6 +54,12 @@ def test_hops_are_unique_and_not_taken_up_again():
     assert done == {"a": "applied", "b": "quarantined_invalid", "c": "applied", "d": "quarantined_invalid", "e": "quarantined_gap", "f": "applied"}
 
 
+def test_events_waiting_for_one_version_are_all_kept():
+    x, y = record("x", 2, before=5), record("y", 2)
+    done, group = states([x, y, record("a", 1), record("a", 1)])
+    assert done == {"x": "quarantined_transition", "y": "applied", "a": "duplicate_noop"} and list(group.items.values()) == [[8, 2]]
+
+
 def frame(spark, records):
     return spark.createDataFrame([tuple(r._replace(seq=k)) for k, r in enumerate(records)], R.RECORD)
 
@@ -72,6 +78,8 @@ def test_batch_fold_trace_and_rebuild(spark):
     assert status.first()["status"] == "complete" and replay.compare(R.inventory(changes), projection).count() == 0
     assert replay.inventory_checksum(projection).first() == replay.inventory_checksum(R.inventory(changes)).first()
     assert replay.rebuild(frame(spark, [record("v3", 3)]), "t1")[1].first()["status"] == "incomplete"
+    counts = replay.rebuild(frame(spark, [record("v1", 1), record("v1", 1)]), "t1")[1].first()
+    assert (counts["applied"], counts["duplicate_noop"], counts["records"], counts["status"]) == (1, 1, 2, "complete")
     with pytest.raises(ValueError, match="tenant"):
         replay.scoped(rows, " ")
 
@@ -124,3 +132,23 @@ def test_a_checksum_holds_no_group_as_one_array(spark):
     assert "collect_list" not in found._jdf.queryExecution().toString()
     want = {g: hashlib.sha256("".join(f"{k}\t{'x' * 200}\n" for k in range(g, 20000, 2)).encode()).hexdigest() for g in (0, 1)}
     assert {r["g"]: r["checksum"] for r in found.collect()} == want
+
+
+def test_keyed_log_and_point_reads(spark, tmp_path):
+    rows = frame(spark, [record(f"{i}-{v}", v, item=f"i{i}") for i in range(20) for v in (2, 1, 3)])
+    reads.write_keyed(rows, str(tmp_path / "log"), 4)
+    back = spark.read.parquet(str(tmp_path / "log"))
+    assert back.count() == 60 and back.groupBy("key").agg(F.count_distinct("partition").alias("n")).where("n > 1").count() == 0
+    assert reads.point(rows, "t1", aggregate_id="i3", version=2).first()["event_id"] == "3-2" and reads.point(rows, "t2", version=1).count() == 0
+    snapshot = reads.insufficient_snapshot(spark, dict.fromkeys(("contract", "tenant", "dataset", "features", "history", "projection", "max_recorded_at", "cutoff", "applied"), "x"), "odd", (" b", "a", "a"))
+    assert snapshot.count() == 1 and snapshot.first()["status"] == "incomplete"
+
+
+def test_records_and_their_rules(spark):
+    good = ("id1", "t", "i", "stock", "2024-01-05", "2024-01-05", 7, "candidate", "predicted", 0.5, 0.4, 0.6, None)
+    change = lambda **c: tuple(c.get(n, v) for n, v in zip(names, good, strict=True))
+    names = "prediction_id tenant_id item_id target observation_date source_cutoff_date horizon_days predictor status score lower upper abstention_reason".split()
+    rows = [good, change(prediction_id="b", item_id=" "), change(prediction_id="c", observation_date="2024-13-01"), change(prediction_id="d", score=float("nan")), change(prediction_id="e", status="abstained"), change(prediction_id="f", source_cutoff_date="2024-01-06"), change(prediction_id="g", lower=0.55)]
+    schema = ", ".join(f"{n} {'int' if n == 'horizon_days' else 'double' if n in ('score', 'lower', 'upper') else 'string'}" for n in names)
+    found = validation.record_problems(spark.createDataFrame(rows, schema), "stock", F.col("prediction_id")).collect()
+    assert {r["prediction_id"]: r["problem"] for r in found} == {"b": "identity or target", "c": "observation date", "d": "score", "e": "abstained state", "f": "source cutoff", "g": "uncertainty bounds"}

@@ -31,7 +31,7 @@ def predictions_in_order(rows: DataFrame, tenant_id: str) -> DataFrame:
 def assignments(texts: DataFrame, column: str = "value") -> DataFrame:
     """(principal_id, tenant_id, role_id, problem) of lists ``principal|tenant|role, ...``; empty entries are skipped."""
     entries = texts.select(F.explode(F.split(column, ",")).alias("entry")).select(F.trim("entry").alias("entry")).where("entry <> ''")
-    parts = F.transform(F.split("entry", r"\|"), F.trim)
+    parts = F.transform(F.split("entry", r"\|"), lambda x: F.trim(x))
     rows = entries.withColumn("p", parts)
     wrong = (F.size("p") != 3) | F.exists("p", lambda x: x == "")
     part = lambda k: F.when(~wrong, F.get("p", F.lit(k)))

@@ -44,6 +44,8 @@ FLOOR = 0.02
 THRESHOLD = 0.3
 HELD_OUT, FOLDS = 2, 4
 EDGE_SIGNS, PIECE = 3, 3
+#: Characters of a token that can be a piece with marks around it.
+TOKEN = 5
 REMEMBERED = 150_000
 
 # Symbols of the language model (a blank, letters, and one for all others) and look-alikes.
@@ -65,7 +67,6 @@ _PLAIN = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
 _WORD = re.compile(r"\w")
-_PIECES = re.compile(r"(?<!\S)\S{1,5}(?:\s+\S{1,5})+(?!\S)")
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LOOKS) + "·«»„“”‘’…"
 _SIGNS = "!|+(¡"
 _BARE_MARKS = ".,;:?\"'-)[]{}<>/\\·«»„“”‘’…"
@@ -119,7 +120,7 @@ class Restorer:
         self.decoded = Memo(lambda text: self.best_path(text, False), REMEMBERED)
         self.decoded_spaced = Memo(lambda text: self.best_path(text, True), REMEMBERED)
         self.short = Memo(self.piece, REMEMBERED)
-        self.runs = Memo(self.run, REMEMBERED)
+        self.groups = Memo(self.restored, REMEMBERED)
 
     def options(self, c: str, again: bool, spaced: bool) -> list[tuple[list[int], float]]:
         """What a character may have been, with its cost: some letters, or nothing. ``again``: it repeats the one before."""
@@ -202,30 +203,44 @@ class Restorer:
         piece = piece.strip(_SIGNS) or piece
         return piece if len(piece) <= PIECE and all(c.isalpha() or c in LOOKS for c in piece) else None
 
-    def run(self, text: str) -> tuple[str, ...]:
-        """Words restored from neighbouring pieces that are not pieces themselves."""
-        groups: list[list[str]] = [[]]
-        for token in text.lower().split():
-            piece = self.short[token]
-            if piece:
-                groups[-1].append(piece)
-            elif piece is None:
-                groups.append([])
-        if len(groups) == 1 and len(groups[0]) < 2:
-            return ()
+    def restored(self, group: str) -> tuple[str, ...]:
+        """Words restored from neighbouring pieces, blanks between them, that are not pieces themselves."""
+        pieces = group.split(" ")
+        lattices = {"".join(pieces)} if any(c.isalpha() for c in group) else set()
+        singles = "".join(p if len(p) == 1 else " " for p in pieces).split(" ")
         found: dict[str, None] = {}
-        for group in groups:
-            lattices = {"".join(group)} if len(group) > 1 and any(c.isalpha() for p in group for c in p) else set()
-            singles = "".join(p if len(p) == 1 else " " for p in group).split(" ")
-            for lattice in lattices | {x for x in singles if len(x) > 2}:
-                if len(lattice) > 2:
-                    found |= dict.fromkeys(self.decode(lattice, spaced=True).split())
-        pieces = {p for group in groups for p in group}
+        for lattice in lattices | {x for x in singles if len(x) > 2}:
+            if len(lattice) > 2:
+                found |= dict.fromkeys(self.decode(lattice, spaced=True).split())
         return tuple(w for w in found if len(w) > 2 and w not in pieces)
 
     def spaced(self, text: str) -> list[str]:
-        """Words restored from short pieces in a row."""
-        return [w for m in _PIECES.finditer(text) for w in (self.runs[m[0]] if len(m[0]) < 64 else self.run(m[0]))]
+        """Words restored from short pieces in a row; marks alone do not end a row, any other token does."""
+        out: list[str] = []
+        row: list[str] = []
+        short = self.short
+        for token in [*text.lower().split(), "......"]:
+            piece = short[token] if len(token) <= TOKEN else None
+            if piece:
+                row.append(piece)
+            elif piece is None:
+                if len(row) > 1:
+                    group = " ".join(row)
+                    out += self.groups[group] if len(group) < 64 else self.restored(group)
+                row = []
+        return out
+
+
+_LATEST: dict[bytes, Restorer] = {}
+
+
+def restorer_of(model: np.ndarray) -> Restorer:
+    """The worker's restorer of a model; that of the latest model stays, with what it remembers, for the next task."""
+    key = xxhash.xxh3_128_digest(model.tobytes())
+    if key not in _LATEST:
+        _LATEST.clear()
+        _LATEST[key] = Restorer(model)
+    return _LATEST[key]
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -257,7 +272,7 @@ def _support(docs: DataFrame, sent, wanted) -> dict[str, tuple[int, int]]:
     """Smaller and larger of the numbers of texts and of preceding words of each feature; of wanted ones only, if given."""
 
     def pairs(rows: Iterator[tuple]) -> Iterator[tuple]:
-        restorer = Restorer(sent.value)
+        restorer = restorer_of(sent.value)
         words = Memo(restorer.words, REMEMBERED)
         only = wanted and wanted.value
         for (text,) in rows:
@@ -315,7 +330,7 @@ def score(docs: DataFrame, learned: Toxicity) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(learned)
 
     def start():
-        bounds, restorer = sent.value.bounds, Restorer(sent.value.model)
+        bounds, restorer = sent.value.bounds, restorer_of(sent.value.model)
         best = lambda word: max((bounds.get(f, 0.0) for f in features(word)), default=0.0)
         tokens = Memo(lambda token: max(map(best, restorer.words(token)), default=0.0), REMEMBERED)
 

@@ -92,9 +92,12 @@ def row_id(protocol: str = PROTOCOL) -> Column:
     return sha256(line(F.lit(protocol), "tenant_id", "item_id", "as_of_date"))
 
 
-def dataset(history: DataFrame, protocol: str = PROTOCOL, splits=SPLITS, horizon: int = HORIZON) -> DataFrame:
-    """Labelled rows with identity, split, cutoff and history hash, and their quantity."""
-    rows = with_labels(with_history_hash(normalised(history)), horizon)
+def dataset(history: DataFrame, protocol: str = PROTOCOL, splits=SPLITS, horizon: int = HORIZON, hashed: bool = True) -> DataFrame:
+    """Labelled rows with identity, split, cutoff and history hash, and their quantity. Where nothing needs the hash, it is
+    null without ``hashed`` and costs no pass."""
+    history = normalised(history)
+    history = with_history_hash(history) if hashed else history.withColumn("history_hash", F.lit(None).cast("string"))
+    rows = with_labels(history, horizon)
     rows = rows.join(F.broadcast(split_dates(rows, splits)), "as_of_date").where("split IS NOT NULL")
     return rows.select(row_id(protocol).alias("row_id"), *SERIES, "as_of_date", "label", "split", F.col("as_of_date").alias("source_cutoff_date"), "history_hash", "quantity_on_hand")
 

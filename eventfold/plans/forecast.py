@@ -58,8 +58,8 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tenant_id", "item_id", "as_of_date", F.coalesce(F.try_element_at("by_day", F.col("as_of_date")), F.lit(0)).cast("long").alias("quantity_on_hand"))
 
 
-def examples(spark: SparkSession, d: str) -> DataFrame:
-    return S.dataset(daily(spark, d), PROTOCOL, SPLITS)
+def examples(spark: SparkSession, d: str, hashed: bool = False) -> DataFrame:
+    return S.dataset(daily(spark, d), PROTOCOL, SPLITS, hashed=hashed)
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -110,12 +110,12 @@ def q27(spark, d):
 
 @query("q28_dataset_checksum", f"WITH {DATASET_SQL} SELECT tenant_id, sha256(string_agg(row_id || chr(9) || tenant_id || chr(9) || item_id || chr(9) || CAST(as_of_date AS VARCHAR) || chr(9) || label || chr(9) || split || chr(9) || CAST(as_of_date AS VARCHAR) || chr(9) || history_hash || chr(10), '' ORDER BY item_id, as_of_date)) AS checksum FROM ex GROUP BY tenant_id")
 def q28(spark, d):
-    return S.dataset_checksum(examples(spark, d), ("tenant_id",))
+    return S.dataset_checksum(examples(spark, d, hashed=True), ("tenant_id",))
 
 
 @query("q29_feature_rows", f"WITH {DATASET_SQL} SELECT row_id, tenant_id, item_id, CAST(as_of_date AS VARCHAR) AS as_of_date, split, quantity_on_hand, history_hash FROM ex")
 def q29(spark, d):
-    return examples(spark, d).select("row_id", "tenant_id", "item_id", _date(), "split", "quantity_on_hand", "history_hash")
+    return examples(spark, d, hashed=True).select("row_id", "tenant_id", "item_id", _date(), "split", "quantity_on_hand", "history_hash")
 
 
 @query("q30_moving_average_baseline", f"WITH {MODEL_SQL} SELECT row_id, split, round(score, 9) AS score FROM ma")

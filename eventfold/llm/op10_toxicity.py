@@ -7,7 +7,8 @@ character may stand for itself or a look-alike, and a repetition or a separator
 decoding finds the best path under the language model. Up to ``EDGE_SIGNS`` look-alikes at each end are read
 as letters and as marks. Neighbouring pieces of at most ``PIECE`` characters, with any white space and
 separators between them, are one lattice in which each letter may start a word. Scoring takes the worst of
-a token's raw and restored words.
+a token's raw and restored words; a lattice none of whose paths begins a word as a kept feature does has nothing
+to add to a score, and its best path is not looked for then.
 
 Score: words and their first four and five letters are features. Of each, the different texts and the
 different preceding words in toxic and in clean labelled documents are counted; the smaller count speaks
@@ -112,10 +113,16 @@ def language_model(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
 
 
 class Restorer:
-    """Viterbi decoding of suspicious tokens."""
+    """Viterbi decoding of suspicious tokens.
 
-    def __init__(self, model: np.ndarray):
+    ``wanted``: features, if words without any of them are of no use; lattices that cannot spell the first three letters
+    of one are then restored to nothing.
+    """
+
+    def __init__(self, model: np.ndarray, wanted: frozenset[str] | None = None):
         self.model = model.ravel().tolist()
+        self.starts = None if wanted is None else {f[:n] for f in wanted for n in (1, 2, 3)}
+        self.letters: dict[tuple[str, bool], tuple[str, bool]] = {}
         self.choices: dict[tuple[str, bool, bool], list] = {}
         self.decoded = Memo(lambda text: self.best_path(text, False), REMEMBERED)
         self.decoded_spaced = Memo(lambda text: self.best_path(text, True), REMEMBERED)
@@ -132,6 +139,27 @@ class Restorer:
             out.append(([], COST["separator"]))
         return out + starts
 
+    def spells(self, text: str, spaced: bool) -> bool:
+        """Whether some path has a word, at the start or, if ``spaced``, anywhere, that begins as a wanted feature does."""
+        begun, last = {""}, ""
+        for c in text:
+            key = c, c == last
+            if key not in self.letters:
+                options = self.options(*key, False)
+                self.letters[key] = "".join(ALPHABET[x] for letters, _ in options for x in letters), any(not letters for letters, _ in options)
+            letters, nothing = self.letters[key]
+            after = {p + x for p in begun for x in letters} & self.starts
+            if any(len(p) == 3 for p in after):
+                return True
+            if nothing:
+                after |= begun
+            if spaced:
+                after.add("")
+            elif not after:
+                return False
+            begun, last = after, c
+        return False
+
     def decode(self, text: str, spaced: bool = False) -> str:
         if len(text) >= 64:  # not worth a place in memory
             return self.best_path(text, spaced)
@@ -139,6 +167,8 @@ class Restorer:
 
     def best_path(self, text: str, spaced: bool) -> str:
         """The best path; a state is the last two symbols as one number, steps link back to the ones before."""
+        if self.starts is not None and not self.spells(text, spaced):
+            return ""
         model, last = self.model, ""
         states: dict[int, tuple[float, tuple | None]] = {OTHER * SYMBOLS: (0.0, None)}
         for k, c in enumerate(text):
@@ -234,12 +264,12 @@ class Restorer:
 _LATEST: dict[bytes, Restorer] = {}
 
 
-def restorer_of(model: np.ndarray) -> Restorer:
-    """The worker's restorer of a model; that of the latest model stays, with what it remembers, for the next task."""
-    key = xxhash.xxh3_128_digest(model.tobytes())
+def restorer_of(model: np.ndarray, wanted: frozenset[str] | None = None) -> Restorer:
+    """The worker's restorer of a model; the latest one stays, with what it remembers, for the next task."""
+    key = xxhash.xxh3_128_digest(model.tobytes() + repr(wanted and sorted(wanted)).encode("utf-8", "surrogatepass"))
     if key not in _LATEST:
         _LATEST.clear()
-        _LATEST[key] = Restorer(model)
+        _LATEST[key] = Restorer(model, wanted)
     return _LATEST[key]
 
 
@@ -330,8 +360,9 @@ def score(docs: DataFrame, learned: Toxicity) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(learned)
 
     def start():
-        bounds, restorer = sent.value.bounds, restorer_of(sent.value.model)
-        best = lambda word: max((bounds.get(f, 0.0) for f in features(word)), default=0.0)
+        bounds, get = sent.value.bounds, sent.value.bounds.get
+        restorer = restorer_of(sent.value.model, frozenset(bounds))
+        best = lambda word: max(get(word + "$", 0.0), get(word[:4], 0.0), get(word[:5], 0.0)) if len(word) > 2 else 0.0
         tokens = Memo(lambda token: max(map(best, restorer.words(token)), default=0.0), REMEMBERED)
 
         def run(texts: list[str | None]) -> Iterator[tuple]:

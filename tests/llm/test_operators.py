@@ -637,3 +637,25 @@ def test_no_labels_and_no_rows(spark, toxic):
     learned = o10.fit(docs.limit(5), labels.where("false"))
     assert learned.bounds == {} and o10.score(docs.where("false"), learned).count() == 0
     assert o10.fit(docs.where("false"), labels).bounds == {}
+
+
+def test_a_lattice_that_reaches_no_feature_is_the_only_one_left_out():
+    rng = random.Random(10)
+    said = ["idiot", "clown", "rash", "letter", "book", "the"]
+    total = sum(np.bincount(o10.trigrams(w), minlength=o10.SYMBOLS**3) for w in said)
+    model = o10.language_model(total.astype("f8"))
+    wanted = frozenset(f for w in ("idiot", "clown", "the") for f in o10.features(w))
+    every, some = o10.Restorer(model), o10.Restorer(model, wanted)
+    looks = {v[0]: k for k, v in o10.LOOKS.items()}
+
+    def hidden(word: str) -> str:
+        return "".join(rng.choice([c, c * 2, looks.get(c, c), c + rng.choice(".-_*")]) for c in word)
+
+    has = lambda words: sorted({w for w in words if wanted & set(o10.features(w))})
+    for _ in range(600):
+        token = rng.choice("!(1. x").strip() + hidden(rng.choice(said)) + rng.choice(["", "!", "ee", "9"])
+        assert has(every.words(token)) == has(some.words(token)), token
+        row = " ".join(hidden(c)[:2] for c in rng.choice(said) + rng.choice(said))
+        assert has(every.spaced(row)) == has(some.spaced(row)), row
+    assert some.decode("1d!0t") == every.decode("1d!0t") == "idiot"
+    assert o10.Restorer(model, frozenset()).decode("1d!0t") == ""

@@ -14,6 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder of the cluster; in the temporary one where none is set, as in tests."""
+    """A new path in the shared folder of the cluster; in the temporary one where none is set and all runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{found or os.path.join(tempfile.gettempdir(), 'eventfold-shared')}/{what}-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -128,6 +129,18 @@ def map_stream(df: DataFrame, schema: str, make, rows: int = 1000) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def mixed(x):
+    """Unsigned 64-bit numbers (numpy) spread over all bits, by a published mixer's odd constants."""
+    x = x * _MIX[0]
+    x ^= x >> _MIX[2]
+    x *= _MIX[1]
+    x ^= x >> _MIX[3]
+    return x
+
+
+_MIX = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 32, 29], "u8")
+
+
 class Memo(dict):
     """What ``make`` returned for strings: the latest ``most`` // 2 of them, and as many that were the latest before."""
 

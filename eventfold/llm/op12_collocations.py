@@ -2,11 +2,14 @@
 
 1. Texts are lower-cased (A-Z) and split into pieces at sentence and line marks, a piece is its words joined by blanks.
    Equal pieces of a language are one row with a multiplicity, so a passage that many documents repeat is counted once.
-2. Tasks turn their pieces into n-grams of one to three words by arrays of word numbers, add up equal ones a slice at a
-   time, and send (lang, phrase, weight) to the hash bucket of the phrase. A word that fills a third of all texts is one
-   row for each slice there.
+2. One round for each length, from one word to three. Tasks turn their pieces into n-grams by arrays of word numbers, add
+   up equal ones a slice at a time, and send (lang, phrase, weight) to the hash bucket of the phrase. A word that fills
+   a third of all texts is one row for each slice there.
 3. A bucket's task streams its rows through duckdb, which adds them up under ``MEMORY`` and spills beyond it. Phrases
-   that occur ``LEAST`` times or more are written: every part of a candidate occurs at least as often as it does.
+   that occur ``LEAST`` times or more are written: every part of a candidate occurs at least as often as it does. So
+   the next round sends only n-grams whose two parts of one word less are, by a bit map of their hashes, among those
+   phrases. The bit map has ``BITS`` bits whatever their number; bits that others set let n-grams through that
+   the count then drops, so it saves rows and never decides.
 4. Candidates request the counts of their parts: requests are shuffled to where the parts are; a part that is asked for
    by more than one request in 1024 is broadcast instead, of which there are at most that many.
 5. Longer candidates send their counts to the phrases inside them, which takes the dominated ones out.
@@ -28,18 +31,22 @@ from collections.abc import Iterator
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import Written, join_groups, table
+from eventfold.llm.common import Written, join_groups, mixed, table
 
 LEAST, LONGEST, TOP, COVERED = 10, 3, 2000, 50
 #: Memory of one bucket's duckdb, and n-grams in a bucket, about.
 MEMORY, BUCKET_GRAMS = "256MB", 1 << 21
 #: Words of a slice that are numbered together.
 SLICE_WORDS = 1 << 20
+#: Bits of the map of frequent phrases (16 MB), and of a part of it that one task makes.
+BITS, PART_BITS = 1 << 27, 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,44 +67,80 @@ def _summed(code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order[first], np.add.reduceat(weight[order], first)
 
 
-def grams(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """lang, phrase and weight of the n-grams of some pieces (lang, piece, rows), equal ones added up."""
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), "u8", len(words))
+
+
+def _chained(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Places in the bit map of phrases, from the hashes of their languages and words."""
+    out = lang
+    for w in words:
+        out = mixed(out + w)
+    return (out % np.uint64(BITS)).astype("i8")
+
+
+def bit_map(counts: DataFrame, n: int) -> np.ndarray:
+    """The bit map of the phrases (lang, phrase) of ``n`` words. The driver gets ``BITS`` bits, put together in tasks."""
+
+    def places(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                words = _hashes(pc.split_pattern(b.column("phrase"), " ").flatten()).reshape(-1, n)
+                at = np.unique(_chained(_hashes(b.column("lang")), list(words.T)))
+                yield pa.RecordBatch.from_arrays([pa.array(at // PART_BITS), pa.array(at % PART_BITS)], ["part", "at"])
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(PART_BITS, bool)
+        bits[rows["at"].to_numpy()] = True
+        return pd.DataFrame({"part": rows["part"][:1], "bits": [np.packbits(bits).tobytes()]})
+
+    out = np.zeros(BITS // 8, "u1")
+    found = counts.select("lang", "phrase").mapInArrow(places, "part long, at long").distinct()
+    for r in found.groupBy("part").applyInPandas(packed, "part long, bits binary").toLocalIterator():
+        out[r["part"] * (PART_BITS // 8) :][: PART_BITS // 8] = np.frombuffer(r["bits"], "u1")
+    return out
+
+
+def grams(batch: pa.RecordBatch, n: int, known: np.ndarray | None) -> pa.RecordBatch | None:
+    """lang, phrase and weight of the n-grams of some pieces (lang, piece, rows), equal ones added up; if ``known``, the bit
+    map of shorter phrases, is given, of those whose parts are in it."""
     split = pc.split_pattern(batch.column("piece"), " ")
     sizes = pc.list_value_length(split).to_numpy().astype("i8")
     words, langs = split.flatten().dictionary_encode(), batch.column("lang").dictionary_encode()
-    number = words.indices.to_numpy().astype("i8")
+    number, names = words.indices.to_numpy().astype("i8"), words.dictionary
     lang = np.repeat(langs.indices.to_numpy().astype("i8"), sizes)
-    weight = np.repeat(batch.column("rows").to_numpy(), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(number))  # words from here to the piece's end
-    code = lang * len(words.dictionary) + number  # numbers the phrases of so many words that start here
-    names = words.dictionary
-    for n in range(1, LONGEST + 1):
-        at = np.flatnonzero(left >= n)
-        if not len(at):
-            return
-        if n > 1:
-            wide = code[at] * len(words.dictionary) + number[at + n - 1]
-            code = np.zeros(len(number), "i8")
-            code[at] = np.unique(wide, return_inverse=True)[1]
-        first, total = _summed(code[at], weight[at])
-        here = at[first]
-        parts = [names.take(pa.array(number[here + k])) for k in range(n)]
-        phrase = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " ")
-        yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[here])), phrase, pa.array(total)], ["lang", "phrase", "weight"])
-
-
-def partial_counts(found: DataFrame) -> DataFrame:
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    at = np.flatnonzero(ends - np.arange(len(number)) >= n)
+    if known is not None and len(at):
+        own = _hashes(names)[number]
+        place = _chained(_hashes(langs.dictionary)[lang[: len(own) - n + 2]], [own[k : len(own) - n + 2 + k] for k in range(n - 1)])
+        sound = (known[place >> 3] >> (7 - (place & 7)).astype("u1")) & 1 == 1
+        at = at[sound[at] & sound[at + 1]]
+    if not len(at):
+        return None
+    code = lang[at]
+    for k in range(n):
+        code = code * len(names) + number[at + k]
+        code = np.unique(code, return_inverse=True)[1] if 0 < k < n - 1 else code
+    first, total = _summed(code, np.repeat(batch.column("rows").to_numpy(), sizes)[at])
+    here = at[first]
+    parts = [names.take(pa.array(number[here + k])) for k in range(n)]
+    phrase = parts[0] if n == 1 else pc.binary_join_element_wise(*parts, " ")
+    return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[here])), phrase, pa.array(total)], ["lang", "phrase", "weight"])
+
+
+def partial_counts(found: DataFrame, n: int, known: np.ndarray | None) -> DataFrame:
     """lang, phrase, weight: n-grams added up within slices of the pieces."""
+    shared = None if known is None else found.sparkSession.sparkContext.broadcast(known)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             edges = np.cumsum(b.column("words").to_numpy()) // SLICE_WORDS
             cuts = [0, *(np.flatnonzero(np.diff(edges)) + 1).tolist(), b.num_rows]
             for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                if end > start:
-                    for made in grams(b.slice(start, end - start)):
-                        for k in range(0, made.num_rows, 1 << 16):
-                            yield made.slice(k, 1 << 16)
+                if end > start and (made := grams(b.slice(start, end - start), n, shared and shared.value)) is not None:
+                    for k in range(0, made.num_rows, 1 << 16):
+                        yield made.slice(k, 1 << 16)
 
     return found.mapInArrow(run, "lang string, phrase string, weight long")
 
@@ -151,10 +194,12 @@ def collocations(docs: DataFrame) -> DataFrame:
     written = Written(docs.sparkSession, "collocations")
     found = written.put(pieces(docs), "pieces")
     totals = written.put(found.groupBy("lang").agg(F.sum(F.col("rows") * F.col("words")).alias("n")), "totals")
-    words = found.agg(F.sum("words")).first()[0] or 0
-    counts = frequent(partial_counts(found), 1 + LONGEST * words // BUCKET_GRAMS)
-    n_words = F.size(F.split("phrase", " "))
-    counts = written.put(counts.withColumn("n_words", n_words), "counts")
+    buckets = 1 + (found.agg(F.sum("words")).first()[0] or 0) // BUCKET_GRAMS
+    counts, known = None, None
+    for n in range(1, LONGEST + 1):
+        own = written.put(frequent(partial_counts(found, n, known), buckets).withColumn("n_words", F.lit(n)), f"counts-{n}")
+        known = bit_map(own, n) if n < LONGEST else None
+        counts = own if counts is None else counts.union(own)
     written.drop("pieces")
     lower = scored(counts, written).join(covering(counts), ["lang", "phrase"], "left").where(f"longer IS NULL OR 100 * longer < {COVERED} * a")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import Written, join_groups, map_rows, slices, table
+from eventfold.llm.common import Written, join_groups, map_rows, mixed, slices, table
 from eventfold.llm.near import all_links, candidate_sets, components, digest, families, grouped, node_of, shingles
 
 WIDTH, PERCENT = 2, 80
@@ -43,21 +43,12 @@ ERRORS = CHUNKS * (WRONG + 1) - 1
 #: Smaller sets cannot link without being equal.
 LEAST = 4
 _SEEDS = np.arange(1, SLOTS + 1, dtype="u8") * np.uint64(0xD6E8FEB86659FD93)  # an odd constant: all seeds differ
-_ONE, _TWO = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # odd constants of a published mixer
 _KEPT = [[c * CHUNK + s for s in some] for c in range(CHUNKS) for some in combinations(range(CHUNK), CHUNK - WRONG)]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x * _ONE
-    x ^= x >> np.uint64(32)
-    x *= _TWO
-    x ^= x >> np.uint64(29)
-    return x
-
-
 def signature(own: np.ndarray) -> np.ndarray:
     """The low bits of the least hash, for each slot's hash."""
-    return np.array([_mixed(own ^ s).min() & np.uint64((1 << BITS) - 1) for s in _SEEDS], "u2")
+    return np.array([mixed(own ^ s).min() & np.uint64((1 << BITS) - 1) for s in _SEEDS], "u2")
 
 
 def keys_of(signatures: np.ndarray) -> np.ndarray:
@@ -66,7 +57,7 @@ def keys_of(signatures: np.ndarray) -> np.ndarray:
     for k, slots in enumerate(_KEPT):
         own = np.full(len(signatures), k + 1, "u8")
         for s in slots:
-            own = _mixed(own + signatures[:, s].astype("u8"))
+            own = mixed(own + signatures[:, s].astype("u8"))
         out[:, k] = own
     return out.view("i8")
 

@@ -9,22 +9,16 @@ link when 100 * |A and B| >= 75 * |A or B|; the result is each document's compon
    common order. The order is by frequency among the marks, so passages that many documents share come
    last. A mark of one node alone can lead nowhere and is dropped as soon as marks meet by hash. What is left
    are short lists of nodes with a common mark. Marks travel as packed arrays, a few rows per task.
-3. Families: a list's pivot is its node that is in most lists. All lists of one pivot are one family, its distinct
-   nodes, so that copies of a long text, which share hundreds of lists, meet once and not in each of them.
-4. Spanning round: every node is verified against the pivot it shares most lists with. The links found join copies
-   of one text into a component without looking at all pairs of a group.
-5. Completing round: a family that still holds several components is one task's, with its nodes' sets. Their count
-   vectors (shingles hashed into ``GROUPS`` groups, counted) are packed into an R-tree. A tree node keeps the
-   coordinates' maxima and the least set size; the sum of coordinate minima with a query bounds the overlap from
-   above, for tree nodes and for points. Pairs of different components that the bound cannot exclude are verified
-   there on their whole sets, the likeliest first, and a link joins its components at once. So no link between
-   components is lost, pairs inside one are never looked at, and a family gives fewer links than it has nodes. Nodes
-   of its largest component do not ask, as each of the others asks for them. Nodes of a family beyond ``BLOCK`` are
-   dealt to several tasks, one for each block of asking and block of asked nodes.
-6. Components of all links, by repeated minima of neighbours and pointer jumping over written tables.
-
-Sets, not samples of them, decide every link. Sets of candidate nodes are made again from their texts; the
-ids of those texts are broadcast up to ``BROADCAST_IDS``, beyond that they meet by a shuffle join.
+3. Families (``near``): all lists of one pivot, the node that is in most lists, are one family, its distinct nodes, so
+   that copies of a long text, which share hundreds of lists, meet once and not in each of them.
+4. Inside a family's tasks an R-tree proposes the partners. It is packed from the count vectors of the nodes' sets
+   (shingles hashed into ``GROUPS`` groups, counted). A tree node keeps the coordinates' maxima and the sizes' range; the
+   sum of coordinate minima with a query bounds the overlap from above, for tree nodes and for points. Every node asks
+   the tree; tree nodes that lie in the query's component throughout are passed over. What the bound cannot exclude
+   is verified on whole sets, the likeliest first, and a link joins its components at once.
+5. Components of all links, by repeated minima of neighbours and pointer jumping over written tables.
+
+Sets, not samples of them, decide every link.
 
 Cases: a null text or one without words has an empty set, links with nothing and is its own component.
 Fewer than five words are one shingle. Equal texts are one node; a null doc_id takes part, but names no
@@ -34,48 +28,35 @@ text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import Written, join_groups, map_rows, map_stream, table
+from eventfold.llm.common import Written, map_rows, map_stream, table
+from eventfold.llm.near import BROADCAST_IDS as BROADCAST_IDS
+from eventfold.llm.near import all_links, candidate_sets, components, digest, families, grouped, node_of
+from eventfold.llm.near import shingles as shingles_of
 
 WIDTH = 5
 PERCENT = 75
 #: Share of the hash range whose shingles are marks: over a quarter, so that nearly all prefixes lie within them.
 MARKED = 0.34
 GROUPS = 256
-LEAF = 64
-#: Nodes of a family in one block, and pairs verified at a time.
-BLOCK, AT_ONCE = 1024, 64
+#: Points in a leaf: few, so that a family of a dozen nodes has inner ones.
+LEAF = 8
 #: Nodes in one row of a list.
 ROW_NODES = 1 << 16
 #: Marks that one task takes, about.
 TASK_MARKS = 1 << 21
-BROADCAST_IDS = 4_000_000
 _LIMIT = np.uint64(int(MARKED * 2**64))
-_PRIME = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted hashes of the distinct shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, "u8")
-    if len(words) < WIDTH:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), len(words))], "u8")
-    w = np.fromiter(map(xxhash.xxh64_intdigest, words), "u8", len(words))
-    h = w[: len(w) - WIDTH + 1].copy()
-    for k in range(1, WIDTH):
-        h *= _PRIME
-        h += w[k : len(w) - WIDTH + 1 + k]
-    h ^= h >> np.uint64(31)
-    h *= _PRIME
-    h ^= h >> np.uint64(29)
-    return np.unique(h)
+    return shingles_of(text, WIDTH)
 
 
 def prefix_length(n: int) -> int:
@@ -87,32 +68,6 @@ def marks_of(own: np.ndarray) -> np.ndarray:
     return own[: max(int(np.searchsorted(own, _LIMIT)), prefix_length(len(own)))] if len(own) else own
 
 
-def digest(own: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(own.tobytes())
-
-
-def node_of(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little", signed=True)
-
-
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
-        return False
-    both = int(np.isin(a, b, assume_unique=True).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
-
-
-def linked_ones(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Which of some sets, none empty, link with a set."""
-    if not others:
-        return np.zeros(0, bool)
-    sizes = np.array([len(x) for x in others])
-    flat = np.concatenate(others)
-    hit = a[np.minimum(np.searchsorted(a, flat), len(a) - 1)] == flat
-    both = np.add.reduceat(hit.astype("i8"), np.cumsum(sizes) - sizes)
-    return 100 * both >= PERCENT * (len(a) + sizes - both)
-
-
 def counts_of(own: np.ndarray) -> np.ndarray:
     """The set's point: how many of its shingles fall into each group."""
     return np.bincount((own >> np.uint64(8)).astype("u8") % np.uint64(GROUPS), minlength=GROUPS)
@@ -142,21 +97,38 @@ class CountTree:
             half = len(order) // 2
             self.parts = [CountTree(points, sizes, self.rows[x]) for x in (order[:half], order[half:])]
 
-    def partners(self, q: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Rows whose overlap with the query may be enough, and its bound."""
+    def partners(self, q: np.ndarray, n: int, label: int, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of other labels whose overlap with the query may be enough, and its bound."""
         if self.most_size * 100 < PERCENT * n or self.least_size * PERCENT > 100 * n:
             return
         if np.minimum(q, self.most).sum() < needed(n, max(self.least_size, PERCENT * n / 100)):
             return
         if self.parts:
-            for part in self.parts:
-                yield from part.partners(q, n)
+            if (labels[self.rows] != label).any():
+                for part in self.parts:
+                    yield from part.partners(q, n, label, labels)
         else:
             bound = np.minimum(q, self.own) @ np.ones(len(q), q.dtype)
-            enough = bound >= needed(n, self.sizes[self.rows])
+            enough = (bound >= needed(n, self.sizes[self.rows])) & (labels[self.rows] != label)
             yield self.rows[enough], bound[enough]
 
 
+def tree_index(own: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Partners of a set by the R-tree over the sets in ``rows``, the likeliest first."""
+    exact = "f4" if sizes.max() < 1 << 24 else "f8"  # sums of coordinates are integers that these hold
+    points = np.array([counts_of(x) for x in own], exact)
+    tree = CountTree(points, sizes, rows)
+
+    def partners(k: int, labels: np.ndarray) -> np.ndarray:
+        found = list(tree.partners(points[k], int(sizes[k]), int(labels[k]), labels))
+        if not found:
+            return np.zeros(0, "i8")
+        near, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+        return near[np.argsort(-bound / (sizes[near] + sizes[k]), kind="stable")]
+
+    return partners
+
+
 def _packed(values: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple]:
     """Rows (bucket, arrays' bytes ...) of columns dealt by a value."""
     bucket = (values % np.uint64(parts)).astype("i4")
@@ -286,136 +258,6 @@ def common_lists(described: DataFrame) -> DataFrame:
     return map_stream(cut_.repartition(tasks, "bucket"), "list long, nodes array<long>", lists, rows=500).distinct()
 
 
-def candidate_sets(docs: DataFrame, ids: DataFrame, members: DataFrame) -> DataFrame:
-    """node, key, n and the whole set of every node in a family, made again from one text of each."""
-    nodes = members.select("node").distinct()
-    chosen = ids.join(nodes, "node", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id")).select("id").distinct()
-    few = members.count() <= BROADCAST_IDS
-    chosen = F.broadcast(chosen) if few else chosen
-    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-
-    def start():
-        def run(batch: dict) -> Iterator[tuple]:
-            for text in batch["text"]:
-                if len(own := shingles(text)):
-                    key = digest(own)
-                    yield node_of(key), key, len(own), own.tobytes()
-
-        return run
-
-    return map_rows(texts, "node long, key binary, n long, own binary", start).dropDuplicates(["key"])
-
-
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (key_a, key_b) among pairs of nodes (a, b)."""
-    one = lambda s: sets.select(F.col("node").alias(s), F.col("key").alias(f"key_{s}"), F.col("own").alias(f"own_{s}"))
-
-    def start():
-        def run(batch: dict) -> Iterator[tuple]:
-            for a, b, x, y in zip(*(batch[c] for c in ("key_a", "key_b", "own_a", "own_b")), strict=True):
-                if linked(np.frombuffer(x, "u8"), np.frombuffer(y, "u8")):
-                    yield a, b
-
-        return run
-
-    both = pairs.join(one("a"), "a").join(one("b"), "b").select("key_a", "key_b", "own_a", "own_b")
-    return map_rows(both, "key_a binary, key_b binary", start)
-
-
-def families(lists: DataFrame) -> DataFrame:
-    """Nodes (family, node, n) with the number of lists that they share with the pivot by which the family is named.
-
-    The pivot is the list's node that is in most lists: of a text and its edited copies that is the text, as each copy
-    has lost some of its shingles."""
-    members = lists.select("list", F.explode("nodes").alias("node")).distinct()
-    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
-    pivots = members.join(degree, "node").groupBy("list").agg(F.max_by("node", F.struct("degree", "node")).alias("family"))
-    return members.join(pivots, "list").groupBy("family", "node").agg(F.count("*").alias("n"))
-
-
-def partners(members: DataFrame) -> DataFrame:
-    """(a, b): for each node b the pivot a that it shares most lists with."""
-    others = members.where("family <> node").groupBy("node").agg(F.max_by("family", F.struct("n", "family")).alias("a"))
-    return others.select("a", F.col("node").alias("b"))
-
-
-def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (family, node, key, label, asks, n_asks, size) of the families with several components. Nodes outside the
-    component that most of a family's nodes have ask. ``labels``: node, key, label."""
-    named = members.select("family", "node").join(labels, "node")
-    per = named.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family")
-    per = per.agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("parts"))
-    per = per.where("parts > 1").select("family", "top", "size", (F.col("size") - F.col("most")).alias("n_asks"))
-    return named.join(per, "family").withColumn("asks", F.col("label") != F.col("top")).drop("top")
-
-
-def components(links: DataFrame, written: Written, name: str) -> DataFrame:
-    """key, label: the smallest key reachable. Every step is a written table; the one before is dropped."""
-    edges = written.put(links.union(links.select("key_b", "key_a")).distinct().toDF("key", "other"), f"{name}-edges")
-    labels = written.put(edges.groupBy("key").agg(F.least("key", F.min("other")).alias("label")), f"{name}-0")
-    step, changed = 0, 1
-    while changed:
-        near = edges.join(labels.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "key").select("key", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("key").alias("label"), F.col("label").alias("further"))
-        after = lower.join(jump, "label", "left").select("key", F.least("label", F.coalesce("further", "label")).alias("label"), "was")
-        after = written.put(after, f"{name}-{step + 1}")
-        changed = after.where("label <> was").limit(1).count()
-        written.drop(f"{name}-{step}")
-        labels, step = after.select("key", "label"), step + 1
-    written.drop(f"{name}-edges")
-    return labels
-
-
-def completing_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (key_a, key_b) that join the components of each family as far as its nodes link; ``members`` as from ``mixed``."""
-    here = "struct({} AS i, {} AS j, {} AS asking, {} AS asked)"
-    deal = f"""CASE WHEN size < {BLOCK} THEN array({here.format("0L", "0L", "asks", "true")})
-      ELSE concat(transform(sequence(0L, size div {BLOCK}), k -> {here.format("own_i", "k", "true", "false")}), transform(sequence(0L, n_asks div {BLOCK}), k -> {here.format("k", "own_j", "false", "true")})) END"""
-    own = {"own_i": F.expr(f"pmod(xxhash64(node), n_asks div {BLOCK} + 1)"), "own_j": F.expr(f"pmod(xxhash64(node), size div {BLOCK} + 1)")}
-    dealt = members.withColumns(own).select("family", "node", "key", "label", "asks", F.explode(F.expr(deal)).alias("d"))
-    dealt = dealt.select("family", "d.*", "node", "label", "asks", "key").where("asked OR asks")
-    rows = dealt.join(sets.select("key", "own"), "key").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node", "key", "asking")
-
-    def links(stream: Iterator[tuple]) -> Iterator[tuple]:
-        held: list[tuple] = []
-        for row in stream:
-            if held and row[:3] != held[0][:3]:
-                yield from block_links([r[3:] for r in held])
-                held = []
-            held.append(row)
-        if held:
-            yield from block_links([r[3:] for r in held])
-
-    return map_stream(rows.select("family", "i", "j", "node", "label", "asks", "asking", "asked", "key", "own"), "key_a binary, key_b binary", links).distinct()
-
-
-def block_links(held: list[tuple]) -> Iterator[tuple]:
-    """Links of rows (node, label, asks, asking, asked, key, own), each joining two components.
-
-    Two nodes that both ask meet where the smaller one asks."""
-    node, label, asks, asking, asked, key, own = zip(*held, strict=True)
-    own = [np.frombuffer(x, "u8") for x in own]
-    sizes, node, asks, asked = np.array([len(x) for x in own]), np.array(node), np.array(asks), np.array(asked)
-    if not asked.any() or not any(asking):
-        return
-    labels = np.unique(label, return_inverse=True)[1]
-    exact = "f4" if sizes.max() < 1 << 24 else "f8"  # sums of coordinates are integers that these hold
-    points = np.array([counts_of(x) for x in own], exact)
-    tree = CountTree(points, sizes, np.flatnonzero(asked))
-    for k in np.flatnonzero(asking):
-        for rows, bound in tree.partners(points[k], sizes[k]):
-            open_ = ~asks[rows] | (node[rows] > node[k])
-            rows = rows[open_][np.argsort(-bound[open_] / (sizes[rows[open_]] + sizes[k]), kind="stable")]
-            for at in range(0, len(rows), AT_ONCE):
-                some = rows[at : at + AT_ONCE]
-                some = some[labels[some] != labels[k]]
-                for j in some[linked_ones(own[k], [own[j] for j in some])]:
-                    if labels[j] != labels[k]:
-                        labels[labels == labels[j]] = labels[k]
-                        yield key[k], key[j]
-
-
 def join_copies(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     written = Written(docs.sparkSession, "jaccard")
@@ -423,21 +265,13 @@ def join_copies(docs: DataFrame) -> DataFrame:
     lists = written.put(common_lists(described), "lists")
     ids = written.put(described.drop("marks"), "ids")
     written.drop("described")
-    members = written.put(families(lists), "families")
+    members = written.put(families(lists.select("list", F.explode("nodes").alias("node")).distinct()), "families")
     written.drop("lists")
-    sets = written.put(candidate_sets(docs, ids, members), "sets")
-    first = written.put(verify(partners(members), sets), "first")
-    labels = components(first, written, "spanning")
-    labels = sets.select("key", "node").join(labels, "key", "left").select("node", "key", F.coalesce("label", "key").alias("label"))
-    more = written.put(completing_links(mixed(members, labels), sets), "more")
-    labels = components(first.union(more), written, "all")
-    keys = ids.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).join(labels, "key", "left")
-    lows = keys.where("label IS NOT NULL").groupBy("label").agg(F.min("low").alias("component"))
-    groups = keys.join(lows, "label", "left").select("key", "rows", F.coalesce("component", "low").alias("component"))
-    groups = written.put(groups, "groups")
+    sets = written.put(candidate_sets(docs, ids, members, WIDTH), "sets")
+    labels = components(all_links(members, sets, tree_index, PERCENT, written), written, "all")
+    out = grouped(ids, labels, written)
     written.drop("families", "sets", "first", "more")
-    out = join_groups(ids.select("doc_id", "n", "key"), groups, "key")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return out
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

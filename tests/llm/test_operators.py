@@ -1,4 +1,4 @@
-"""The ten operators on small inputs: against brute force, the libraries, SQL, and in odd cases."""
+"""The operators on small inputs: against brute force, the libraries, SQL, and in odd cases."""
 
 import base64
 import hashlib
@@ -21,9 +21,12 @@ from eventfold.llm import op5_pii as o5
 from eventfold.llm import op6_media_columns as o6
 from eventfold.llm import op7_url_filters as o7
 from eventfold.llm import op8_best_fit_packing as o8
+from eventfold.llm import near, queries
 from eventfold.llm import op9_jaccard_join as o9
 from eventfold.llm import op10_toxicity as o10
-from eventfold.llm import queries
+from eventfold.llm import op11_vector_codes as o11
+from eventfold.llm import op12_collocations as o12
+from eventfold.llm import op13_minhash_dedup as o13
 
 public = pytest.importorskip("public_tokenizers")
 DATA = "/root/testdata/sf0.001"
@@ -51,14 +54,14 @@ def docs(spark, tmp_path_factory):
 
 
 def test_every_operator_has_one_query():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df, found = queries.QUERIES[name](spark, DATA), con.sql(queries.SQL[name])
     order = [df.columns.index(c) for c in found.columns]
@@ -497,10 +500,10 @@ def test_packing(docs):
 # 9
 
 
-def brute_components(rows):
+def brute_components(rows, width=5, percent=75):
     def own(t):
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
-        return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
+        return frozenset([tuple(w)] if 0 < len(w) < width else [tuple(w[k : k + width]) for k in range(len(w) - width + 1)])
 
     sets = [(d, own(t)) for d, t in rows]
     root = list(range(len(sets)))
@@ -513,7 +516,7 @@ def brute_components(rows):
     for a in range(len(sets)):
         for b in range(a):
             both = len(sets[a][1] & sets[b][1])
-            if both and 100 * both >= 75 * len(sets[a][1] | sets[b][1]):
+            if both and 100 * both >= percent * len(sets[a][1] | sets[b][1]):
                 root[max(top(a), top(b))] = min(top(a), top(b))
     low = {}
     for k, (d, _) in enumerate(sets):
@@ -539,7 +542,12 @@ def test_components_equal_brute_force(spark, docs):
     assert o9.join_copies(path.where("false")).count() == 0
 
 
-def test_blocks_and_inner_nodes_find_every_link():
+def linked(a, b, percent=75):
+    return bool(near.linked_ones(a, [b], percent)[0])
+
+
+@pytest.mark.parametrize(("index", "percent"), [(o9.tree_index, 75), (o13.hamming_index, 80)])
+def test_blocks_find_every_link(index, percent):
     r = np.random.default_rng(2)
     base = r.integers(0, 2**63, 60).astype("u8")
     sets = [np.unique(np.concatenate([r.choice(base, 60 - k % 30, replace=False), r.integers(0, 2**63, k % 30).astype("u8")])) for k in range(700)]
@@ -559,31 +567,49 @@ def test_blocks_and_inner_nodes_find_every_link():
             part[find(labels[a])] = find(labels[b])
         return [find(lab) for lab in labels]
 
-    brute = groups((a, b) for a in range(700) for b in range(a) if o9.linked(sets[a], sets[b]))
-    found = [(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in o9.block_links(rows)]
+    brute = groups((a, b) for a in range(700) for b in range(a) if linked(sets[a], sets[b], percent))
+    found = [(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in near.block_links(rows, index, percent)]
     own = groups(found)
-    assert all(o9.linked(sets[a], sets[b]) for a, b in found) and len(found) < 700
+    assert all(linked(sets[a], sets[b], percent) for a, b in found) and len(found) < 700
     assert len(set(zip(own, brute, strict=True))) == len(set(own)) == len(set(brute)) > 1
 
 
-def test_dealt_families_give_the_same_components(spark, monkeypatch):
+@pytest.mark.parametrize("join", [o9.join_copies, o13.dedup])
+def test_dealt_families_give_the_same_components(spark, monkeypatch, join):
     base = prose(77, 100).split()
     texts = [" ".join([*base[: 100 - k % 40], *prose(1000 + k, k % 40).split()]) for k in range(120)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = sorted(map(tuple, o9.join_copies(df).collect()))
-    monkeypatch.setattr(o9, "BLOCK", 10)
-    assert sorted(map(tuple, o9.join_copies(df).collect())) == want
+    want = sorted(map(tuple, join(df).collect()))
+    monkeypatch.setattr(near, "BLOCK", 10)
+    assert sorted(map(tuple, join(df).collect())) == want
 
 
-def test_count_tree_excludes_no_link():
+def test_count_tree_excludes_no_link_and_passes_over_its_own_component():
     r = np.random.default_rng(11)
     base = [np.unique(r.integers(0, 2**63, n).astype("u8")) for n in r.integers(3, 300, 40)]
     sets = [np.unique(np.concatenate([b[: max(1, int(len(b) * f))], r.integers(0, 2**63, int(len(b) * g)).astype("u8")])) for b in base for f, g in ((1, 0), (0.9, 0.05), (0.8, 0), (0.7, 0.4), (1, 0.3))]
     tree = o9.CountTree(np.array([o9.counts_of(s) for s in sets], "i4"), np.array([len(s) for s in sets]))
+    assert tree.parts and tree.parts[0].parts and tree.parts[0].parts[0].parts
+    own = np.arange(len(sets))
     for a, s in enumerate(sets):
-        found = {int(x) for rows, _ in tree.partners(o9.counts_of(s), len(s)) for x in rows}
-        assert {b for b, t in enumerate(sets) if o9.linked(s, t)} <= found
+        found = {int(x) for rows, _ in tree.partners(o9.counts_of(s), len(s), -1, own) for x in rows}
+        assert {b for b, t in enumerate(sets) if linked(s, t)} <= found
         assert len(found) < len(sets)
+        assert not list(tree.partners(o9.counts_of(s), len(s), 0, np.zeros(len(sets), "i8")))
+
+
+def test_the_tree_proposes_every_link_of_the_join(spark, tmp_path):
+    """All links that make the components of a small directory come out of the tree's blocks."""
+    texts = [prose(k // 4, 60) + f" own{k} word{k}" for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
+    described = o9.describe(df)
+    lists = o9.common_lists(described)
+    members = near.families(lists.select("list", F.explode("nodes").alias("node")).distinct())
+    sets = near.candidate_sets(df, described.drop("marks"), members, o9.WIDTH)
+    links = near.all_links(members, sets, o9.tree_index, o9.PERCENT, o9.Written(spark, "test")).collect()
+    assert len(links) == 30  # ten groups of four, each joined by three links
 
 
 # 10
@@ -659,3 +685,154 @@ def test_a_lattice_that_reaches_no_feature_is_the_only_one_left_out():
         assert has(every.spaced(row)) == has(some.spaced(row)), row
     assert some.decode("1d!0t") == every.decode("1d!0t") == "idiot"
     assert o10.Restorer(model, frozenset()).decode("1d!0t") == ""
+
+
+# 11
+
+
+def lloyd(rows):
+    """Codes and errors by brute force in Python integers."""
+    kept = [(v, [int(np.floor(float(x) * 4096)) for x in e], lab) for v, e, lab in rows if e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    width = len(kept[0][1]) // 8
+    cut = lambda e, p: e[p * width : (p + 1) * width]
+    first = sorted(kept, key=lambda x: (x[0] is None, x[0] or 0, x[1]))[:16]
+    books = [[cut(e, p) for _, e, _ in first] for p in range(8)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    nearest = lambda e, p: min(range(len(books[p])), key=lambda j: (far(cut(e, p), books[p][j]), j))
+    for _ in range(6):
+        parts = [[[] for _ in first] for _ in range(8)]
+        for _, e, _ in kept:
+            for p in range(8):
+                parts[p][nearest(e, p)].append(cut(e, p))
+        books = [[[sum(c) // len(own) for c in zip(*own, strict=True)] if own else old for own, old in zip(parts[p], books[p], strict=True)] for p in range(8)]
+    codes = [[nearest(e, p) for p in range(8)] for _, e, _ in kept]
+    errors = [sum(far(cut(e, p), books[p][c[p]]) for p in range(8)) for (_, e, _), c in zip(kept, codes, strict=True)]
+    total = defaultdict(int)
+    for (_, _, lab), x in zip(kept, errors, strict=True):
+        total[lab] += x
+    sha = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    return sorted(repr((v, bytes(c).hex(), x, total[lab], sha)) for (v, _, lab), c, x in zip(kept, codes, errors, strict=True))
+
+
+@pytest.mark.parametrize("spread", [0.2, 30.0, 2000.0])
+def test_vector_codes_equal_brute_force(spark, spread):
+    r = np.random.default_rng(5)
+    rows = [(k, (r.normal(0, 1, 24) * spread).round(2).tolist(), None if k % 5 == 0 else k % 3) for k in range(300)]
+    rows += [rows[7], rows[7], (None, rows[9][1], 1), (400, None, 1), (401, [None, *rows[3][1][1:]], 1), (402, [float("nan"), *rows[3][1][1:]], 1), (403, [float("-inf"), *rows[3][1][1:]], 1)]
+    rows += [(500 + k, [0.5 * (k % 2)] * 24, 2) for k in range(40)]  # ties
+    df = spark.createDataFrame([(*x, "clash") for x in rows], "vec_id long, embedding array<double>, label int, code string").repartition(5)
+    assert sorted(repr(tuple(x)) for x in o11.compress(df).collect()) == lloyd(rows)
+
+
+def test_vector_codes_of_few_odd_and_no_vectors(spark):
+    schema = "vec_id long, embedding array<float>, label string"
+    few = [(3, [1.0] * 8, "a"), (1, [2.0] * 8, None), (2, [1.5] * 8, "a"), (4, [1.0] * 7, "a"), (5, [1.0] * 16, "a"), (6, [], None)]
+    found = {x["vec_id"]: x for x in o11.compress(spark.createDataFrame(few, schema)).collect()}
+    assert set(found) == {1, 2, 3} and found[1]["code"] == "00" * 8 and found[3]["code"] == "02" * 8 and found[3]["label_error"] == 0
+    assert o11.compress(spark.createDataFrame([], schema)).count() == 0
+    assert o11.compress(spark.createDataFrame([(1, None, "a")], schema)).count() == 0
+    with pytest.raises(ValueError, match="64 bits"):
+        o11.compress(spark.createDataFrame([(1, [1e30] * 8, "a")], schema))
+
+
+def test_bounds_prune_and_never_decide():
+    """Entries that the bounds leave out are strictly further away, after any movement."""
+    r = np.random.default_rng(8)
+    x, entries = r.integers(-900, 900, (400, 6)), r.integers(-900, 900, (16, 6))
+    code, upper, lower = np.zeros(400, "u1"), np.full(400, np.inf), np.zeros((400, 16))
+    compared = []
+    for _ in range(5):
+        before = entries
+        code = o11.reassign(x, entries, code, upper, lower)
+        gaps = ((x[:, None] - entries) ** 2).sum(2)
+        assert (code == gaps.argmin(1)).all() and (upper**2 >= gaps.min(1)).all() and (lower**2 <= gaps).all()
+        compared.append(int((lower**2 > 0.999999 * gaps).sum()))
+        entries = entries + r.integers(-9, 9, entries.shape)
+        moved = np.sqrt(((entries - before) ** 2).sum(1)) * (1 + 1e-12)
+        upper += moved[code]
+        np.maximum(lower - moved, 0, out=lower)
+    assert compared[-1] < compared[0] / 3
+
+
+# 12
+
+
+def brute_collocations(rows, least, top):
+    f, n = defaultdict(int), defaultdict(int)
+    upper = str.maketrans(o12.UPPER, o12.LOWER)
+    for text, lang in rows:
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(upper)):
+            w = [x for x in re.split("[ \t]+", piece) if x]
+            n[lang or "und"] += len(w)
+            for k in (1, 2, 3):
+                for i in range(len(w) - k + 1):
+                    f[lang or "und", tuple(w[i : i + k])] += 1
+    out = []
+    for lang in n:
+        found = {p: a for (g, p), a in f.items() if g == lang and len(p) > 1 and a >= least}
+        some = []
+        for p, a in found.items():
+            if any(len(q) > len(p) and 100 * b >= 50 * a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, b in found.items()):
+                continue
+            score, _, x, y = min((1000000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k, f[lang, p[:k]], f[lang, p[k:]]) for k in range(1, len(p)))
+            some.append((-score, -a, " ".join(p).encode(), x, y))
+        out += [(lang, rank, p.decode(), -a, x, y, n[lang], -s) for rank, (s, a, p, x, y) in enumerate(sorted(some)[:top], 1)]
+    return sorted(map(repr, out))
+
+
+def test_collocations_equal_brute_force(spark, monkeypatch):
+    r = random.Random(4)
+    small = ["da", "de", "Di", "é", "x\u00a0y", "z|"]
+    texts = [" ".join(r.choice(small) + r.choice(["", "", "", ",", "\t", "\n", ". "]) for _ in range(r.randrange(60))) for _ in range(60)]
+    rows = [(t, r.choice(["en", "de", None, "und", "a b"])) for t in texts] + [(texts[0], "en")] * 30 + [(None, "en"), ("", None), (" .. ", "fr"), ("word " * 30000, "en"), ("a\nb", "fr"), (prose(9, 4000), "de")]
+    df = spark.createDataFrame([(*x, 1) for x in rows], "text string, lang string, rank int").repartition(5)
+    for slice_words in (o12.SLICE_WORDS, 50):
+        monkeypatch.setattr(o12, "SLICE_WORDS", slice_words)
+        assert sorted(repr(tuple(x)) for x in o12.collocations(df).collect()) == brute_collocations(rows, o12.LEAST, o12.TOP)
+    assert o12.collocations(df.where("false")).count() == 0
+
+
+def test_the_bit_map_lets_through_what_is_frequent(spark):
+    rows = [("en", f"w{k} v{k % 7}") for k in range(500)]
+    known = o12.bit_map(spark.createDataFrame(rows, "lang string, phrase string"), 2)
+    import pyarrow as pa
+
+    one = pa.RecordBatch.from_pydict({"lang": ["en", "en", "de"], "piece": ["w8 v1 w9 v2", "w1 v1 v1 w2", "w8 v1 v2"], "rows": [3, 1, 1], "words": [4, 4, 3]})
+    assert int(np.unpackbits(known).sum()) == 500 and o12.grams(one, 3, known) is None
+    two = pa.RecordBatch.from_pydict({"lang": ["en"], "piece": ["w8 v1"], "rows": [3], "words": [2]})
+    assert o12.grams(two, 2, None).to_pylist() == [{"lang": "en", "phrase": "w8 v1", "weight": 3}]
+
+
+# 13
+
+
+def test_near_dedup_equals_brute_force(spark, docs):
+    r = random.Random(14)
+    rows, k = [], 100
+    for t in [prose(700 + k, n) for k, n in enumerate([1, 2, 3, 4, 5, 7, 12, 40, 90, 200, 600])]:
+        for _ in range(9):
+            w = t.split()
+            for _ in range(r.choice([0, 1, 1, 2, 3, 5, 9])):
+                w[r.randrange(len(w))] = r.choice(WORDS)
+            rows.append((k, " ".join(w)))
+            k += 1
+    path = o9.Written(spark, "test").put(docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")), "docs")
+    every = [(x["doc_id"], x["text"]) for x in path.collect()]
+    want = sorted(repr((*ast_row, ast_row[0] == ast_row[2])) for ast_row in map(eval, brute_components(every, 2, 80)))
+    assert sorted(repr(tuple(x)) for x in o13.dedup(path).collect()) == want
+    assert o13.dedup(path.where("false")).count() == 0
+
+
+def test_signatures_under_the_threshold_share_a_key():
+    r = np.random.default_rng(3)
+    one = r.integers(0, 2**16, (400, o13.SLOTS)).astype("u2")
+    other = one.copy()
+    for k, row in enumerate(other):
+        at = r.choice(o13.SLOTS, o13.ERRORS - k % 3, replace=False)
+        row[at] ^= np.uint16(1 + k)
+    assert all(set(a) & set(b) for a, b in zip(o13.keys_of(one), o13.keys_of(other), strict=True))
+    assert len(o13.keys_of(one)[0]) == 75 and len(np.unique(o13.keys_of(one))) == 400 * 75
+    sets = [np.unique(np.concatenate([s[:80], r.integers(0, 2**63, n).astype("u8")])) for s in [r.integers(0, 2**63, 90).astype("u8") for _ in range(300)] for n in (10, 10)]
+    signed = np.array([o13.signature(s) for s in sets])
+    apart = (signed[::2] != signed[1::2]).sum(1)  # of sets with Jaccard 0.8
+    assert (apart <= o13.ERRORS).mean() > 0.99 and 5 < apart.mean() < 7

@@ -43,19 +43,23 @@ class Group:
     def __init__(self) -> None:
         self.inbox: dict[str, list] = {}  # event_id: [state, hash]
         self.items: dict[str, list] = {}  # aggregate key: [quantity, version] or for a hop [version, event_id]
-        self.waiting: dict[str, dict[int, list[Record]]] = {}  # aggregate key: version: records in order of arrival
-        self.edges: set[tuple] = set()
+        self.waiting: dict[tuple, list[Record]] = {}  # (aggregate key, version): records in order of arrival
+        self.edges: dict[tuple, bool] = {}
 
     def load(self, r: Record, disposition: str) -> None:
         """State that is there before any delivery: an inbox row with its record, or an aggregate's ``projection``."""
         key = f"{r.tenant_id}/{r.aggregate_type}/{r.aggregate_id}"
         if disposition == "projection":
             self.items[key] = [r.after, r.version] if r.aggregate_type == "inventory_item" else [r.version, r.event_id]
-            self.edges |= self._edges(r)
+            self._take(r)
             return
         self.inbox[r.event_id] = [disposition, r.content_hash]
         if disposition == "quarantined_gap" and r.aggregate_type == "inventory_item":
-            self.waiting.setdefault(key, {}).setdefault(r.version, []).append(r)
+            self.waiting[key, r.version] = [*(self.waiting.get((key, r.version)) or []), r]
+
+    def _take(self, r: Record) -> None:
+        for edge in self._edges(r):
+            self.edges[edge] = True
 
     def deliver(self, r: Record) -> Iterator[tuple]:
         """What a record changes: rows of ``CHANGES``, the last state of an event or aggregate winning. The first is the
@@ -67,12 +71,11 @@ class Group:
             return
         seen = self.inbox.get(r.event_id)
         if seen and seen[1] != r.content_hash:
-            seen[0] = "quarantined_conflict"
-            self._forget(key, r)
+            self.inbox[r.event_id] = ["quarantined_conflict", seen[1]]  # terminal: if it waits, it is not taken up again
             yield self._change(r, "quarantined_conflict")
             return
         if seen and seen[0] in ("applied", "duplicate_noop"):
-            seen[0] = "duplicate_noop"
+            self.inbox[r.event_id] = ["duplicate_noop", seen[1]]
             yield self._change(r, "duplicate_noop")
             yield from self._drain(key, r)
         elif seen and seen[0] in TERMINAL:
@@ -90,9 +93,9 @@ class Group:
         now = self.items.get(key)
         expected = now[1] + 1 if now else 1
         if r.version > expected:
-            held = self.waiting.setdefault(key, {}).setdefault(r.version, [])
+            held = self.waiting.get((key, r.version)) or []
             if all(w.event_id != r.event_id for w in held):
-                held.append(r)
+                self.waiting[key, r.version] = [*held, r]
             return self._change(r, "quarantined_gap", expected)
         if r.version < expected:
             return self._change(r, "quarantined_stale", expected)
@@ -110,10 +113,9 @@ class Group:
             return self._change(r, "quarantined_invalid")
         if r.version != 1:
             return self._change(r, "quarantined_gap", now[0] + 1 if now else 1)
-        edges = self._edges(r)
-        if edges & self.edges:
+        if any(self.edges.get(edge) for edge in self._edges(r)):
             return self._change(r, "quarantined_invalid")
-        self.edges |= edges
+        self._take(r)
         self.items[key] = [1, r.event_id]
         return self._change(r, "applied")
 
@@ -124,25 +126,23 @@ class Group:
     def _drain(self, key: str, after: Record) -> Iterator[tuple]:
         """Waiting versions that have become next, lowest first. Of several records of a version the first to arrive is
         tried; the others keep waiting, for the next record that is applied or a duplicate."""
-        waiting = self.waiting.get(key, {})
-        while key in self.items and after.aggregate_type == "inventory_item" and (held := waiting.get(self.items[key][1] + 1)):
-            r = held.pop(0)
-            if not held:
-                del waiting[r.version]
+        if after.aggregate_type != "inventory_item":
+            return
+        while (now := self.items.get(key)) and (held := self.waiting.get(at := (key, now[1] + 1))):
+            r, *rest = held
+            if rest:
+                self.waiting[at] = rest
+            else:
+                del self.waiting[at]
+            state = self.inbox.get(r.event_id)
+            if state[0] != "quarantined_gap":
+                continue
             change = self._apply(key, r)
-            self.inbox[r.event_id][0] = change[3]
+            self.inbox[r.event_id] = [change[3], state[1]]
             yield change[0], after.seq, *change[2:-1], False
             if change[3] != "applied":
                 return
 
-    def _forget(self, key: str, r: Record) -> None:
-        """A conflict on an open gap is terminal: its version is not taken up again."""
-        waiting = self.waiting.get(key, {})
-        for version, held in list(waiting.items()):
-            waiting[version] = [w for w in held if w.event_id != r.event_id]
-            if not waiting[version]:
-                del waiting[version]
-
     def _change(self, r: Record, disposition: str, expected: int | None = None, quantity: int | None = None) -> tuple:
         return r.group, r.seq, r.event_id, disposition, r.tenant_id, r.aggregate_type, r.aggregate_id, quantity, r.version, r.parent_id, r.order_id, expected, r.version if expected is not None else None, True
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from eventfold.functions import canon
 from eventfold.operators import fold as R
+from eventfold.sources.tables import written
 
 POSITION = ("topic", "partition", "offset")
 POISON_ATTEMPTS = 5
@@ -25,39 +26,35 @@ def records(parsed: DataFrame, seq: Column) -> DataFrame:
     return R.columns(R.with_groups(out))
 
 
-def recovered(value: Column) -> dict[str, Column]:
-    """What can be told of the identity in a value that was rejected: empty is null, and so is a version below one."""
-    text = value.cast("string")
-    member = lambda name: F.nullif(F.trim(F.get_json_object(text, f"$.{name}")), F.lit(""))
-    version = member("aggregate_version").try_cast("long")
-    return {"event_id": member("event_id"), "tenant_id": member("tenant_id"), "aggregate_type": member("aggregate_type"), "aggregate_id": member("aggregate_id"), "version": F.when(version > 0, version)}
+#: Columns of a failure that tell of its event.
+IDENTITY = ("event_id", "tenant_id", "event_type", "schema_version", "aggregate_type", "aggregate_id", "version")
 
 
 def parse_failures(parsed: DataFrame, attempt: Column) -> DataFrame:
-    """Attempts to process rejected values, with what is recovered of their identity."""
+    """Attempts to process rejected values, with what the parser recovered of their identity."""
     return parsed.where("category IS NOT NULL").select(
-        *POSITION, attempt.alias("attempt"), F.col("category").alias("failure_category"), F.col("rule").alias("diagnostic_code"), "received_hash",
-        *(c.alias(n) for n, c in recovered(F.col("value")).items()), F.lit("quarantined").alias("status"),
-    )
+        *POSITION, attempt.alias("attempt"), F.col("category").alias("failure_category"), F.col("rule").alias("diagnostic_code"), "received_hash", *IDENTITY, F.lit("quarantined").alias("status")
+    )
 
 
 def failure_rows(attempts: DataFrame, poison: int = POISON_ATTEMPTS) -> DataFrame:
     """One row for each position from its attempts (``attempt`` orders them; status quarantined, or retrying for a handler's
     poison): the identity and the failure's id are the first attempt's, code and category the last one's. Poison is
     quarantined from its fifth attempt on, and acknowledged then."""
-    first = F.min_by(F.struct("event_id", "tenant_id", "aggregate_type", "aggregate_id", "version", "received_hash", "status"), "attempt")
+    first = F.min_by(F.struct(*IDENTITY, "received_hash", "status"), "attempt")
     last = F.max_by(F.struct("failure_category", "diagnostic_code"), "attempt")
     rows = attempts.groupBy(*POSITION).agg(first.alias("f"), last.alias("l"), F.count("*").alias("attempt_count"))
     status = F.when((F.col("f.status") == "quarantined") | (F.col("attempt_count") >= poison), "quarantined").otherwise("retrying")
     return rows.select(
         *POSITION, F.sha2(F.concat_ws("/", *(F.col(c).cast("string") for c in POSITION)), 256).alias("failure_id"), "attempt_count", "l.failure_category", "l.diagnostic_code",
-        "f.event_id", "f.tenant_id", "f.aggregate_type", "f.aggregate_id", "f.version", "f.received_hash", status.alias("quarantine_status"), (status == "quarantined").alias("acknowledged"),
+        *(f"f.{c}" for c in IDENTITY), "f.received_hash", status.alias("quarantine_status"), (status == "quarantined").alias("acknowledged"),
     )
 
 
 def process(log: DataFrame, seq: Column) -> tuple[DataFrame, DataFrame]:
-    """(failures, changes) of a log: its failure rows, and the change-log of all records that parse."""
-    parsed = canon.parse_log(log)
+    """(failures, changes) of a log: its failure rows, and the change-log of all records that parse. The log is parsed once,
+    into a written table that both are read from."""
+    parsed = written(canon.parse_log(log).drop("value", "canonical"), "parsed")
     return failure_rows(parse_failures(parsed, seq)), R.fold(records(parsed, seq))
 
 

@@ -19,3 +19,10 @@ def scratch(spark: SparkSession, what: str) -> str:
     if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{found or os.path.join(tempfile.gettempdir(), 'eventfold-shared')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to a new path in the shared folder and read from there: made once, and safe from lost executors."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -53,7 +53,10 @@ hole AS (SELECT item_id, min(version) AS h FROM k WHERE event_id % 101 = 0 OR ki
 raw AS (SELECT k.*, hole.h, '00000000-0000-4000-8000-' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS id FROM k LEFT JOIN hole USING (item_id) WHERE event_id % 101 <> 0)"""
 
 
-@query("q53_raw_log_dispositions", RAW_SQL + """ SELECT id AS event_id, CASE WHEN kind = 'key' THEN 'quarantined_mismatch' WHEN version > h THEN 'quarantined_gap' WHEN event_id % 20 = 0 THEN 'duplicate_noop' ELSE 'applied' END AS disposition FROM raw WHERE kind IN ('ok', 'key')""")
+RAW_DISPOSITIONS = RAW_SQL + """ SELECT id AS event_id, CASE WHEN kind = 'key' THEN 'quarantined_mismatch' WHEN version > h THEN 'quarantined_gap' WHEN event_id % 20 = 0 THEN 'duplicate_noop' ELSE 'applied' END AS disposition FROM raw WHERE kind IN ('ok', 'key')"""
+
+
+@query("q53_raw_log_dispositions", RAW_DISPOSITIONS)
 def q53(spark, d):
     _, changes = N.process(raw_log(spark, d), F.col("arrival"))
     return R.inbox(changes).select("event_id", "disposition")
@@ -65,8 +68,11 @@ def q53b(spark, d):
     return R.inventory(changes).select(F.expr("cast(substring(item_id, 6) AS BIGINT)").alias("item_no"), "quantity_on_hand", "aggregate_version")
 
 
-@query("q54_failure_rows", RAW_SQL + """ SELECT event_id AS position, CASE WHEN kind = 'family' THEN 'unsupported' ELSE 'malformed' END AS failure_category, CASE kind WHEN 'broken' THEN 'not JSON' WHEN 'unknown' THEN 'envelope: unknown extra' ELSE 'event type or schema version' END AS diagnostic_code,
-  CAST(CASE WHEN event_id % 20 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempt_count, CASE WHEN kind <> 'broken' THEN id END AS event_id, CASE WHEN kind <> 'broken' THEN version END AS version, 'quarantined' AS quarantine_status FROM raw WHERE kind IN ('broken', 'unknown', 'family')""")
+RAW_FAILURES = RAW_SQL + """ SELECT event_id AS position, CASE WHEN kind = 'family' THEN 'unsupported' ELSE 'malformed' END AS failure_category, CASE kind WHEN 'broken' THEN 'not JSON' WHEN 'unknown' THEN 'envelope: unknown extra' ELSE 'event type or schema version' END AS diagnostic_code,
+  CAST(CASE WHEN event_id % 20 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempt_count, CASE WHEN kind <> 'broken' THEN id END AS event_id, CASE WHEN kind <> 'broken' THEN version END AS version, 'quarantined' AS quarantine_status FROM raw WHERE kind IN ('broken', 'unknown', 'family')"""
+
+
+@query("q54_failure_rows", RAW_FAILURES)
 def q54(spark, d):
     parsed = canon.parse_log(raw_log(spark, d))
     rows = N.failure_rows(N.parse_failures(parsed, F.col("arrival")))
@@ -145,7 +151,8 @@ REPLAY_SQL = LOG + """, b AS (SELECT item_id, min(version) AS b FROM j WHERE eve
 r AS (SELECT j.tenant_no, j.event_id, CASE WHEN event_id % 33 = 0 AND event_id % 101 <> 0 THEN 'quarantined_conflict' WHEN version > b THEN 'quarantined_gap' WHEN event_id % 101 = 0 THEN 'applied' ELSE 'duplicate_noop' END AS disposition FROM j LEFT JOIN b USING (item_id))"""
 
 
-def _replayed_onto(spark, d) -> DataFrame:
+def replay_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """What is stored, inbox rows and projections, and the retained history that is replayed onto it."""
     rows = V.with_first_missing(V.log(spark, d))
     tenant, item = F.concat(F.lit("tenant-"), F.col("tenant_no").cast("string")), F.col("item_id").cast("string")
     no = F.lit(None).cast("string")
@@ -158,7 +165,11 @@ def _replayed_onto(spark, d) -> DataFrame:
     inbox = record(V.dispositions(rows), F.when(conflict, "quarantined_conflict").otherwise(F.col("disposition")).alias("disposition"))
     applied = rows.where("m IS NULL OR version < m").withColumn("_last", F.max("version").over(Window.partitionBy("item_id")))
     last = record(applied.where("version = _last"), F.lit("projection").alias("disposition"))
-    return S.replay_onto(inbox.unionByName(last), record(rows))
+    return inbox.unionByName(last), record(rows)
+
+
+def _replayed_onto(spark, d) -> DataFrame:
+    return S.replay_onto(*replay_inputs(spark, d))
 
 
 @query("q59_replay_without_reset", REPLAY_SQL + " SELECT CAST(event_id AS VARCHAR) AS event_id, disposition FROM r")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from eventfold.functions.text import line, sha256
 from eventfold.operators import fold as R
 from eventfold.operators import versioned as V
+from eventfold.plans.processing import RAW_DISPOSITIONS, RAW_FAILURES, RAW_SQL, REPLAY_SQL, raw_log, replay_inputs
 from eventfold.plans.projection import WITH
 from eventfold.plans.registry import query
-from eventfold.sources.tables import scratch
+from eventfold.sources.tables import scratch, written
+from eventfold.streaming import raw as W
 from eventfold.streaming.log import read_log, run_fold
 
 
@@ -44,9 +46,57 @@ def q01b(spark, d):
 
 @query("q49_stream_equals_batch_projection", PROJECTION)
 def q49(spark, d):
-    """The records written as a log of three batches, streamed through the stateful fold."""
-    top = scratch(spark, "stream")
+    """The records written as a log of three phases, streamed through the stateful fold some files at a time."""
+    top, rows = scratch(spark, "stream"), written(delivered(spark, d), "delivered")
     for phase in range(3):
-        delivered(spark, d).where(F.col("phase") == phase).drop("phase").coalesce(1).write.mode("append").parquet(f"{top}/log")
-    changes = run_fold(read_log(spark, f"{top}/log", R.RECORD), f"{top}/changes", f"{top}/checkpoint")
+        rows.where(F.col("phase") == phase).drop("phase").repartition(4, "group").write.mode("append").parquet(f"{top}/log")
+    changes = run_fold(read_log(spark, f"{top}/log", R.RECORD, files=4), f"{top}/changes", f"{top}/checkpoint")
     return R.inventory(changes)
+
+
+def streamed(spark, d: str, fails: str | None = None) -> DataFrame:
+    """The raw log through the stateful stream, in two runs: it stops after the first deliveries and is started again, from
+    its checkpoint, for the repeated ones. ``fails``: for which records a handler fails."""
+    W.with_rocksdb(spark)
+    top, rows = scratch(spark, "raw-stream"), written(raw_log(spark, d), "raw-log")
+    arrivals = F.when(F.expr(fails), F.lit("handler")) if fails else None
+    for phase, test in enumerate(("arrival < 1000000000000", "arrival >= 1000000000000")):
+        rows.where(test).repartition(4, "key").write.mode("append").parquet(f"{top}/log")
+        log = read_log(spark, f"{top}/log", rows.schema, files=2 + 2 * phase)
+        found = W.run(W.results(W.prepared(log, F.col("arrival"), arrivals)), W.RESULTS, f"{top}/results", f"{top}/checkpoint")
+    return found
+
+
+@query("q53c_raw_stream_dispositions", RAW_DISPOSITIONS)
+def q53c(spark, d):
+    return R.inbox(streamed(spark, d).where("disposition IS NOT NULL")).select("event_id", "disposition")
+
+
+@query("q54c_raw_stream_failures", RAW_FAILURES)
+def q54c(spark, d):
+    rows = W.failures(streamed(spark, d))
+    return rows.select(F.col("offset").alias("position"), "failure_category", "diagnostic_code", "attempt_count", "event_id", "version", "quarantine_status")
+
+
+@query("q02c_stream_commits", RAW_SQL + """ SELECT CAST(item_id % 8 AS INTEGER) AS partition, coalesce(min(event_id) FILTER (event_id % 61 = 0 AND kind IN ('ok', 'key')), max(event_id) + 1) AS committed,
+  count(*) FILTER (event_id % 61 = 0 AND kind IN ('ok', 'key')) AS open FROM raw GROUP BY ALL""")
+def q02c(spark, d):
+    """The commit frontier of the stream where a handler fails on every 61st record."""
+    top = scratch(spark, "commits")
+    found = streamed(spark, d, "offset % 61 = 0")
+    path = found.inputFiles()[0].rsplit("/", 1)[0]
+    told = W.run(W.commits(spark.readStream.schema(W.RESULTS).option("maxFilesPerTrigger", 8).parquet(path)), W.COMMITS, f"{top}/commits", f"{top}/checkpoint")
+    return W.committed(told).select("partition", "committed", "open")
+
+
+@query("q59c_replay_from_initial_state", REPLAY_SQL + " SELECT CAST(event_id AS VARCHAR) AS event_id, disposition FROM r")
+def q59c(spark, d):
+    """The retained history as a stream that starts from the stored inbox and projection."""
+    W.with_rocksdb(spark)
+    top, (state, history) = scratch(spark, "replay-stream"), replay_inputs(spark, d)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    places = {"topic": F.lit("history"), "partition": F.lit(1), "offset": F.col("seq")}
+    columns = [places[n].alias(n) if n in places else F.col(n) if n in history.columns else nothing(k).alias(n) for n, k in (c.split() for c in W.INPUT.split(", "))]
+    history.select(*columns).repartition(4, "group").write.parquet(f"{top}/log")
+    rows = W.results(read_log(spark, f"{top}/log", W.INPUT, files=4), state)
+    return W.run(rows, W.RESULTS, f"{top}/results", f"{top}/checkpoint").where("offset IS NOT NULL").select("event_id", "disposition")

@@ -27,6 +27,8 @@ from eventfold.llm.common import Written, join_groups, map_rows, map_stream
 #: Nodes of a family in one block, and pairs verified at a time.
 BLOCK, AT_ONCE = 1024, 64
 BROADCAST_IDS = 4_000_000
+#: Links that one task contracts, about.
+TASK_LINKS = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)  # 2^64 over the golden ratio
 
 #: From sets, their sizes and the rows to propose: a function from (row, label of each row) to rows of other labels.
@@ -172,9 +174,34 @@ def links_in_blocks(dealt: DataFrame, sets: DataFrame, index: Index, percent: in
     return map_stream(rows.select("family", "i", "j", "node", "label", "asks", "asking", "asked", "key", "own"), "key_a binary, key_b binary", links).distinct()
 
 
+def contracted(links: Iterator[tuple]) -> Iterator[tuple]:
+    """Pairs (key, smallest key that these links reach from it) by union-find, for all keys that are linked."""
+    root: dict[bytes, bytes] = {}
+
+    def top(k: bytes) -> bytes:
+        while (up := root.setdefault(k, k)) != k:
+            root[k] = k = root[up]
+        return k
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    for k in list(root):
+        yield k, top(k)
+
+
 def components(links: DataFrame, written: Written, name: str) -> DataFrame:
-    """key, label: the smallest key reachable. Every step is a written table; the one before is dropped."""
-    edges = written.put(links.union(links.select("key_b", "key_a")).distinct().toDF("key", "other"), f"{name}-edges")
+    """key, label: the smallest key reachable; ``links`` are written.
+
+    Tasks contract ``TASK_LINKS`` links each to pairs with the smallest key they reach. If there was one task that is
+    the result. Else labels are passed along these pairs, by repeated minima of neighbours and pointer jumping; every
+    step is a written table, the one before is dropped."""
+    tasks = 1 + links.count() // TASK_LINKS
+    pairs = written.put(map_stream(links.repartition(tasks), "key binary, label binary", contracted), f"{name}-pairs")
+    if tasks == 1:
+        return pairs
+    pairs = pairs.where("key <> label")
+    edges = written.put(pairs.union(pairs.select("label", "key")).distinct().toDF("key", "other"), f"{name}-edges")
     labels = written.put(edges.groupBy("key").agg(F.least("key", F.min("other")).alias("label")), f"{name}-0")
     step, changed = 0, 1
     while changed:
@@ -186,7 +213,7 @@ def components(links: DataFrame, written: Written, name: str) -> DataFrame:
         changed = after.where("label <> was").limit(1).count()
         written.drop(f"{name}-{step}")
         labels, step = after.select("key", "label"), step + 1
-    written.drop(f"{name}-edges")
+    written.drop(f"{name}-edges", f"{name}-pairs")
     return labels
 
 

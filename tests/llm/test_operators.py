@@ -581,9 +581,25 @@ def test_dealt_families_give_the_same_components(spark, monkeypatch, join):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = sorted(map(tuple, join(df).collect()))
     monkeypatch.setattr(near, "BLOCK", 10)
+    monkeypatch.setattr(near, "TASK_LINKS", 25)
     assert sorted(map(tuple, join(df).collect())) == want
 
 
+def test_components_of_contracted_links_and_of_many_tasks(spark, monkeypatch):
+    r = random.Random(6)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(230)] + [(400 + k, 401 + k) for k in range(40)]
+    root = {}
+    for a, b in links:
+        low, high = sorted((root.setdefault(a, a), root.setdefault(b, b)))
+        root = {k: low if v == high else v for k, v in root.items()}
+    df = spark.createDataFrame([(bytearray(a.to_bytes(2, "big")), bytearray(b.to_bytes(2, "big"))) for a, b in links], "key_a binary, key_b binary")
+    for most in (1 << 20, 50):
+        monkeypatch.setattr(near, "TASK_LINKS", most)
+        found = near.components(df, o9.Written(spark, "test"), f"c{most}").collect()
+        known = {int.from_bytes(x["key"], "big"): int.from_bytes(x["label"], "big") for x in found}
+        assert all(known.get(k, k) == v for k, v in root.items()) and len(known) == len(found)
+
+
 def test_count_tree_excludes_no_link_and_passes_over_its_own_component():
     r = np.random.default_rng(11)
     base = [np.unique(r.integers(0, 2**63, n).astype("u8")) for n in r.integers(3, 300, 40)]

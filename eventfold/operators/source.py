@@ -6,6 +6,7 @@ Inbox rows: event_id, tenant_id, item_id, version, content_hash, disposition.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -13,18 +14,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventfold.functions.ordered import numbered
 from eventfold.functions.stream import map_stream
+from eventfold.functions.text import line, ordered_hash
 from eventfold.operators import fold as R
+from eventfold.operators.replay import inventory_checksum
+from eventfold.sources.tables import written
 
 ACCEPTED = ("applied", "duplicate_noop")
 #: Inbox states after which an event is never released.
 TERMINAL = (*R.TERMINAL, "quarantined_gap")
 
 
-def history_offsets(outbox: DataFrame, *by: str) -> DataFrame:
-    """Retained rows with synthetic offsets 1, 2, ... of partition 1 within ``by``: by aggregate, version, time and id."""
-    order = Window.partitionBy(*by).orderBy("item_id", "version", "recorded_at", "event_id")
-    return outbox.withColumns({"partition": F.lit(1), "offset": F.row_number().over(order).cast("long")})
+def history_offsets(outbox: DataFrame) -> DataFrame:
+    """Retained rows with the synthetic offsets 1, 2, ... of partition 1 of their tenant: by aggregate, version, time and id."""
+    return numbered(outbox.withColumn("partition", F.lit(1)), ["tenant_id"], ["item_id", "version", "recorded_at", "event_id"], "offset")
 
 
 def until(outbox: DataFrame, cutoff: Column) -> DataFrame:
@@ -33,21 +37,33 @@ def until(outbox: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def classified(outbox: DataFrame, inbox: DataFrame) -> DataFrame:
-    """Outbox rows with the reason why each cannot be used, null for accepted ones. The first rule that fails is told."""
+    """Outbox rows with the reason why each cannot be used, null for accepted ones. The first rule that fails is told.
+
+    Of retained values that were parsed again (columns ``parsed_`` of event_id, tenant_id, item_id, version, content_hash,
+    recorded_at and malformed) the identity, hash and time have to be those of the row; without them, only the
+    arithmetic is checked. Of accepted rows with one event_id the first in scan order counts."""
     own = ("event_id", "tenant_id")
     seen = inbox.select(*own, *(F.col(c).alias(f"_{c}") for c in ("item_id", "version", "content_hash", "disposition")))
     rows = outbox.join(seen, list(own), "left")
     say = lambda text: F.concat(F.lit(text + " "), "event_id")
-    other = ~(F.col("_item_id").eqNullSafe(F.col("item_id")) & F.col("_version").eqNullSafe(F.col("version")))
+    differs = lambda a, names: ~F.lit(True) if not names else F.exists(F.array(*(~F.col(f"{a}{c}").eqNullSafe(F.col(c)) for c in names)), lambda x: x)
+    retained = "parsed_event_id" in outbox.columns
+    hash_ = F.lower("parsed_content_hash") != F.lower("content_hash") if retained else F.lit(False)
     reason = (
-        F.when(F.col("before") - F.col("dec") != F.col("after"), say("incomplete:malformed retained event"))
+        F.when(F.col("parsed_malformed") if retained else F.col("before") - F.col("dec") != F.col("after"), say("incomplete:malformed retained event"))
+        .when(differs("parsed_", ("event_id", "tenant_id", "item_id", "version") if retained else ()), say("incomplete:event identity or tenant mismatch"))
+        .when(F.coalesce(hash_, F.lit(True)), say("incomplete:outbox content hash mismatch"))
+        .when(differs("parsed_", ("recorded_at",) if retained else ()), say("incomplete:recorded_at mismatch"))
         .when(F.col("_disposition").isNull() & F.col("status").isin("pending", "publishing", "published"), say("stale:inventory event not applied"))
         .when(F.col("_disposition").isNull(), say("incomplete:inventory event has no platform disposition"))
-        .when(other, say("incomplete:inbox event identity mismatch"))
+        .when(differs("_", ("item_id", "version")), say("incomplete:inbox event identity mismatch"))
         .when(F.lower("_content_hash") != F.lower("content_hash"), say("incomplete:inbox content hash mismatch"))
         .when(~F.col("_disposition").isin(*ACCEPTED), F.concat(F.lit("incomplete:inventory event disposition "), "_disposition", F.lit(" "), "event_id"))
     )
-    return rows.select(*outbox.columns, reason.alias("reason"))
+    rows = rows.withColumn("reason", reason)
+    once = Window.partitionBy("tenant_id", "event_id", F.col("reason").isNull()).orderBy("item_id", "version", "recorded_at")
+    again = F.col("reason").isNull() & (F.row_number().over(once) > 1)
+    return rows.select(*outbox.columns, F.when(again, say("incomplete:duplicate retained event")).otherwise(F.col("reason")).alias("reason"))
 
 
 def inbox_reasons(outbox: DataFrame, inbox: DataFrame, accepted: DataFrame, cutoff: Column) -> DataFrame:
@@ -92,21 +108,77 @@ def observations(replay: DataFrame) -> DataFrame:
     return replay.where("reason IS NULL").groupBy("tenant_id", "item_id", day).agg(F.max_by("quantity", "version").alias("quantity_on_hand"))
 
 
-def source_reasons(outbox: DataFrame, inbox: DataFrame, cutoff: Column) -> DataFrame:
-    """All distinct (tenant_id, reason) of the source at a cutoff."""
-    rows = classified(until(outbox, cutoff), inbox)
-    accepted = rows.where("reason IS NULL")
-    parts = rows.select("tenant_id", "reason").unionByName(inbox_reasons(outbox, inbox, accepted, cutoff)).unionByName(replayed(accepted).select("tenant_id", "reason"))
-    return parts.where("reason IS NOT NULL").distinct()
+def projection_reasons(last: DataFrame, projection: DataFrame) -> DataFrame:
+    """(tenant_id, reason) of items in which a stored projection and the replay's last state differ; both columns may."""
+    key = ["tenant_id", "item_id"]
+    a = projection.select(*key, F.col("quantity_on_hand").alias("_q"), F.col("aggregate_version").alias("_v"))
+    b = last.select(*key, F.col("quantity_on_hand").alias("_rq"), F.col("aggregate_version").alias("_rv"))
+    both = a.join(b, key, "full_outer")
+    say = lambda test, text: F.when(test, F.concat(F.lit(f"incomplete:{text} "), "item_id"))
+    there, replayed_ = F.col("_v").isNotNull(), F.col("_rv").isNotNull()
+    found = F.array(
+        say(there & ~replayed_, "projection item missing retained history"), say(there & replayed_ & (F.col("_q") != F.col("_rq")), "projection quantity differs from replay"),
+        say(there & replayed_ & (F.col("_v") != F.col("_rv")), "projection version differs from replay"), say(~there & replayed_, "replayed item missing projection"),
+    )
+    return both.select("tenant_id", F.explode(F.array_compact(found)).alias("reason"))
+
+
+def last_states(replay: DataFrame) -> DataFrame:
+    """The last valid state of each item that has one."""
+    ok = replay.where("reason IS NULL").groupBy("tenant_id", "item_id")
+    return ok.agg(F.max_by("quantity", "version").alias("quantity_on_hand"), F.max("version").alias("aggregate_version"))
+
+
+def source_reasons(outbox: DataFrame, inbox: DataFrame, cutoff: Column, projection: DataFrame | None = None) -> DataFrame:
+    """All distinct (tenant_id, reason) of the source at a cutoff; with the stored projection, also where it differs."""
+    rows = written(classified(until(outbox, cutoff), inbox), "classified")
+    return _reasons(rows, outbox, inbox, written(replayed(rows.where("reason IS NULL")), "replayed"), cutoff, projection)
+
 
+def _reasons(rows, outbox, inbox, replay, cutoff, projection) -> DataFrame:
+    parts = rows.select("tenant_id", "reason").unionByName(inbox_reasons(outbox, inbox, rows.where("reason IS NULL"), cutoff)).unionByName(replay.select("tenant_id", "reason"))
+    if projection is not None:
+        parts = parts.unionByName(projection_reasons(last_states(replay), projection))
+    return parts.where("trim(reason) <> ''").distinct()
 
-def boundary(outbox: DataFrame, cutoff: Column) -> DataFrame:
-    """The greatest time of recording of each tenant up to the cutoff, and the first event in scan order that has it."""
-    order = F.struct(F.col("recorded_at"))
+
+def boundary(accepted: DataFrame) -> DataFrame:
+    """The greatest time of recording of each tenant's accepted events, and the first event in scan order that has it."""
+    most = F.max(F.struct("recorded_at"))["recorded_at"]
     first = F.min_by("event_id", F.struct("item_id", "version", "event_id"))
-    rows = until(outbox, cutoff)
-    most = rows.groupBy("tenant_id").agg(F.max(order)["recorded_at"].alias("recorded_at"))
-    return rows.join(most, ["tenant_id", "recorded_at"]).groupBy("tenant_id", "recorded_at").agg(first.alias("event_id"))
+    last = accepted.groupBy("tenant_id").agg(most.alias("recorded_at"))
+    return accepted.join(last, ["tenant_id", "recorded_at"]).groupBy("tenant_id", "recorded_at").agg(first.alias("event_id"))
+
+
+def history_checksum(accepted: DataFrame) -> DataFrame:
+    """One hash of each tenant's accepted events, in the order of item, version and id."""
+    at = F.date_format("recorded_at", "yyyy-MM-dd'T'HH:mm:ss'Z'") if "recorded_text" not in accepted.columns else F.col("recorded_text")
+    return ordered_hash(accepted, ["tenant_id"], line("tenant_id", "item_id", "version", "event_id", F.lower("content_hash"), at), "item_id", "version", "event_id", name="history_checksum")
+
+
+def forecast_source(outbox: DataFrame, inbox: DataFrame, projection: DataFrame, cutoff: Column) -> DataFrame:
+    """The source of each tenant at a cutoff, a row for each: status, sorted reasons, numbers of accepted and observed, the
+    boundary's time and date, and the checksums of history and projection.
+
+    complete without a reason; stale if all begin with ``stale:``; else incomplete. A tenant is one that has retained
+    rows, inbox rows or a projection. Each input is read once into a written table, and so is what was made of it."""
+    rows = written(classified(until(outbox, cutoff), inbox), "classified")
+    accepted = rows.where("reason IS NULL")
+    replay = written(replayed(accepted), "replayed")
+    told = _reasons(rows, outbox, inbox, replay, cutoff, projection)
+    told = told.groupBy("tenant_id").agg(F.array_sort(F.collect_set("reason")).alias("status_reasons"))
+    tenants = outbox.select("tenant_id").union(inbox.select("tenant_id")).union(projection.select("tenant_id")).distinct()
+    counts = accepted.groupBy("tenant_id").agg(F.count("*").alias("applied_event_count"), F.max("recorded_at").alias("max_recorded_at"))
+    seen = observations(replay).groupBy("tenant_id").agg(F.count("*").alias("n_observations"))
+    sums = inventory_checksum(projection, ("tenant_id",)).withColumnRenamed("checksum", "projection_checksum")
+    out = tenants.join(told, "tenant_id", "left").join(counts, "tenant_id", "left").join(seen, "tenant_id", "left").join(history_checksum(accepted), "tenant_id", "left").join(sums, "tenant_id", "left")
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    reasons = F.coalesce("status_reasons", F.array().cast("array<string>"))
+    status = F.when(F.size(reasons) == 0, "complete").when(F.forall(reasons, lambda r: r.startswith("stale:")), "stale").otherwise("incomplete")
+    return out.select(
+        "tenant_id", status.alias("status"), reasons.alias("status_reasons"), F.coalesce("applied_event_count", F.lit(0)).alias("applied_event_count"), F.coalesce("n_observations", F.lit(0)).alias("n_observations"),
+        "max_recorded_at", F.to_date("max_recorded_at").alias("source_cutoff_date"), F.coalesce("history_checksum", none).alias("history_checksum"), F.coalesce("projection_checksum", none).alias("projection_checksum"),
+    )
 
 
 STATE = R.RECORD + ", disposition string"

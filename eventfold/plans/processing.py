@@ -15,7 +15,7 @@ from eventfold.operators import validation as C
 from eventfold.operators import versioned as V
 from eventfold.plans.forecast import DATASET_SQL, PROTOCOL, SPLITS, daily, examples
 from eventfold.plans.registry import query
-from eventfold.sources.tables import table
+from eventfold.sources.tables import table, written
 
 LOG = "WITH " + V.LOG_SQL
 CUTOFF = "2024-01-20 00:00:00"
@@ -136,15 +136,42 @@ def q56(spark, d):
     return S.observations(S.replayed(accepted)).select("item_id", F.col("as_of_date").cast("string").alias("as_of_date"), "quantity_on_hand")
 
 
-@query("q57_source_boundary", LOG + f" SELECT 'tenant-' || tenant_no AS tenant_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS recorded_at, min_by(CAST(event_id AS VARCHAR), struct_pack(a := CAST(item_id AS VARCHAR), b := version, c := CAST(event_id AS VARCHAR))) AS event_id FROM log JOIN (SELECT tenant_no, max(ts) AS ts FROM log WHERE ts <= TIMESTAMP '{CUTOFF}' GROUP BY tenant_no) m USING (tenant_no, ts) GROUP BY ALL")
+@query("q57_source_boundary", SOURCE_SQL + """ SELECT 'tenant-' || tenant_no AS tenant_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS recorded_at, min_by(CAST(event_id AS VARCHAR), struct_pack(a := CAST(item_id AS VARCHAR), b := version, c := CAST(event_id AS VARCHAR))) AS event_id
+  FROM acc JOIN (SELECT tenant_no, max(ts) AS ts FROM acc GROUP BY tenant_no) m USING (tenant_no, ts) GROUP BY ALL""")
 def q57(spark, d):
-    rows = S.boundary(retained(spark, d)[0], F.lit(CUTOFF).cast("timestamp"))
+    """Over accepted events only: what is retained, but was not applied, does not move the boundary."""
+    outbox, inbox = retained(spark, d)
+    rows = S.boundary(S.classified(S.until(outbox, F.lit(CUTOFF).cast("timestamp")), inbox).where("reason IS NULL"))
     return rows.select("tenant_id", F.date_format("recorded_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("recorded_at"), "event_id")
 
 
-@query("q58_history_offsets", LOG + " SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(row_number() OVER (PARTITION BY tenant_no, item_id ORDER BY version, ts, CAST(event_id AS VARCHAR)) AS BIGINT) AS \"offset\" FROM log")
+@query("q57b_forecast_source", SOURCE_SQL + """, last AS (SELECT tenant_no, item_id, max_by(after_qty, version) AS q, max(version) AS v FROM acc WHERE version = rn GROUP BY ALL),
+pairs AS (SELECT coalesce(p.tenant_no, l.tenant_no) AS tenant_no, coalesce(p.item_id, l.item_id) AS item_id, p.quantity_on_hand AS pq, p.aggregate_version AS pv, l.q, l.v FROM proj p FULL JOIN last l ON p.tenant_no = l.tenant_no AND p.item_id = l.item_id),
+every AS (SELECT tenant_no, reason FROM reason UNION SELECT tenant_no, 'incomplete:projection item missing retained history ' || item_id FROM pairs WHERE v IS NULL
+  UNION SELECT tenant_no, 'incomplete:projection quantity differs from replay ' || item_id FROM pairs WHERE pv IS NOT NULL AND v IS NOT NULL AND pq <> q
+  UNION SELECT tenant_no, 'incomplete:projection version differs from replay ' || item_id FROM pairs WHERE pv IS NOT NULL AND v IS NOT NULL AND pv <> v UNION SELECT tenant_no, 'incomplete:replayed item missing projection ' || item_id FROM pairs WHERE pv IS NULL),
+days AS (SELECT tenant_no, count(*) AS n FROM (SELECT DISTINCT tenant_no, item_id, CAST(ts AS DATE) FROM acc WHERE version = rn) x GROUP BY tenant_no),
+hist AS (SELECT tenant_no, count(*) AS n, max(ts) AS ts, sha256(string_agg('tenant-' || tenant_no || chr(9) || item_id || chr(9) || version || chr(9) || event_id || chr(9) || sha256(item_id || chr(9) || version || chr(9) || dec || chr(10)) || chr(9) || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || chr(10), '' ORDER BY CAST(item_id AS VARCHAR), version, CAST(event_id AS VARCHAR))) AS h FROM acc GROUP BY tenant_no),
+sums AS (SELECT tenant_no, sha256(string_agg('tenant-' || tenant_no || chr(9) || item_id || chr(9) || quantity_on_hand || chr(9) || aggregate_version || chr(10), '' ORDER BY CAST(item_id AS VARCHAR))) AS p FROM proj GROUP BY tenant_no)
+SELECT 'tenant-' || t.tenant_no AS tenant_id, CASE WHEN n_reasons = 0 THEN 'complete' WHEN other = 0 THEN 'stale' ELSE 'incomplete' END AS status, reasons, coalesce(hist.n, 0) AS applied_event_count, coalesce(days.n, 0) AS n_observations, strftime(hist.ts, '%Y-%m-%d %H:%M:%S') AS max_recorded_at,
+  CAST(CAST(hist.ts AS DATE) AS VARCHAR) AS source_cutoff_date, hist.h AS history_checksum, sums.p AS projection_checksum
+FROM (SELECT DISTINCT tenant_no FROM log) t LEFT JOIN hist USING (tenant_no) LEFT JOIN days USING (tenant_no) LEFT JOIN sums USING (tenant_no)
+LEFT JOIN (SELECT tenant_no, count(*) AS n_reasons, count(*) FILTER (reason NOT LIKE 'stale:%') AS other, string_agg(reason, chr(10) ORDER BY reason) AS reasons FROM every GROUP BY tenant_no) r USING (tenant_no)""")
+def q57b(spark, d):
+    """Status, reasons, boundary and checksums of each tenant's source, the projection of all deliveries beside it."""
+    rows = V.projection(V.with_first_missing(V.log(spark, d)))
+    projection = rows.select(F.concat(F.lit("tenant-"), F.col("tenant_no").cast("string")).alias("tenant_id"), F.col("item_id").cast("string").alias("item_id"), "quantity_on_hand", "aggregate_version")
+    found = S.forecast_source(*(written(x, "retained") for x in retained(spark, d)), written(projection, "projection"), F.lit(CUTOFF).cast("timestamp"))
+    return found.select(
+        "tenant_id", "status", F.array_join("status_reasons", "\n").alias("reasons"), "applied_event_count", "n_observations", F.date_format("max_recorded_at", "yyyy-MM-dd HH:mm:ss").alias("max_recorded_at"),
+        F.col("source_cutoff_date").cast("string").alias("source_cutoff_date"), "history_checksum", "projection_checksum",
+    )
+
+
+@query("q58_history_offsets", LOG + " SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(row_number() OVER (PARTITION BY tenant_no ORDER BY CAST(item_id AS VARCHAR), version, ts, CAST(event_id AS VARCHAR)) AS BIGINT) AS \"offset\" FROM log")
 def q58(spark, d):
-    return S.history_offsets(retained(spark, d)[0], "tenant_id", "item_id").select("event_id", "offset")
+    """Offsets run over a whole tenant, not over each item."""
+    return S.history_offsets(retained(spark, d)[0]).select("event_id", "offset")
 
 
 REPLAY_SQL = LOG + """, b AS (SELECT item_id, min(version) AS b FROM j WHERE event_id % 33 = 0 AND event_id % 101 <> 0 AND version > m GROUP BY item_id),

@@ -1,11 +1,12 @@
 """The fold of delivered records into inbox states and the inventory and lineage projections.
 
 ``Group`` is the state of one group of aggregates and ``deliver`` its only transition. The batch fold gives each
-group its records in order of arrival; the streaming fold keeps the pickled group as state. Both run the same code,
-so a stream ends where a batch does.
+group its records in order of arrival; the streaming folds keep it as state (``streaming.raw`` by entries, ``fold_stream``
+pickled). All run the same code, so a stream ends where a batch does.
 
-A group is an aggregate for inventory, and a tenant's hops of one kind for lineage, because those have two unique
-keys. Records with one event_id under several groups are brought into one group first (``with_groups``).
+A group is an aggregate for inventory. Lineage hops have keys that are unique over a tenant; in a batch they need no
+group (``lineage``), as state they are one for a tenant and kind. Records with one event_id under several groups are
+brought into one group first (``with_groups``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventfold.operators.lineage import fold_hops
+from eventfold.sources.tables import written
+
 RECORD = "group string, seq long, log_key string, event_id string, tenant_id string, aggregate_type string, aggregate_id string, version long, before long, after long, parent_id string, order_id string, content_hash string"
 CHANGES = "group string, seq long, event_id string, disposition string, tenant_id string, aggregate_type string, aggregate_id string, quantity long, version long, parent_id string, order_id string, expected_version long, received_version long, own boolean"
 TERMINAL = ("quarantined_conflict", "quarantined_mismatch", "quarantined_stale", "quarantined_transition", "quarantined_invalid")
@@ -172,27 +176,39 @@ def with_groups(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("group", own)
     shared = rows.select("event_id", "group").distinct()
     many = shared.groupBy("event_id").count().where("count > 1").select("event_id")
-    shared = shared.join(many, "event_id", "left_semi").withColumn("to", F.col("group")).cache()
+    shared = written(shared.join(many, "event_id", "left_semi").withColumn("to", F.col("group")), "shared")
     changed = shared.limit(1).count()
     while changed:
         least = shared.groupBy("event_id").agg(F.min("to").alias("low"))
         by_group = shared.join(least, "event_id").groupBy("group").agg(F.min("low").alias("new"))
-        after = shared.join(by_group, "group").select("event_id", "group", F.col("to").alias("was"), F.col("new").alias("to")).cache()
-        changed = after.where("to <> was").count()
-        shared.unpersist()
-        shared = after
+        after = shared.join(by_group, "group").select("event_id", "group", F.col("to").alias("was"), F.col("new").alias("to"))
+        shared = written(after, "shared")
+        changed = shared.where("to <> was").limit(1).count()
     names = shared.select("group", "to").distinct()
     return rows.join(names, "group", "left").withColumn("group", F.coalesce("to", "group")).drop("to")
 
 
-def fold(rows: DataFrame) -> DataFrame:
-    """The change-log of records (columns of ``RECORD``), each group's in the order of ``seq``."""
-
+def _by_group(rows: DataFrame) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         state = Group()
         return _frame([c for r in _records(group) for c in state.deliver(r)])
 
-    return columns(rows).groupBy("group").applyInPandas(run, CHANGES)
+    return rows.groupBy("group").applyInPandas(run, CHANGES)
+
+
+def fold(rows: DataFrame) -> DataFrame:
+    """The change-log of records (columns of ``RECORD``), in the order of ``seq``: inventory by group, events whose first
+    delivery is a hop by their unique keys."""
+    rows = columns(rows)
+    hop = rows.where("aggregate_type <> 'inventory_item'")
+    if not hop.limit(1).count():
+        return _by_group(rows)
+    first = rows.join(hop.select("event_id").distinct(), "event_id", "left_semi").groupBy("event_id").agg(F.min_by("aggregate_type", "seq").alias("kind"))
+    ids = written(first.where("kind <> 'inventory_item'").select("event_id"), "hop-events")
+    folded = fold_hops(rows.join(ids, "event_id", "left_semi"))
+    nothing = F.lit(None).cast("long").alias("quantity")
+    changes = folded.select("group", "seq", "event_id", "disposition", "tenant_id", "aggregate_type", "aggregate_id", nothing, "version", "parent_id", "order_id", "expected_version", "received_version", F.lit(True).alias("own"))
+    return _by_group(columns(rows.join(ids, "event_id", "left_anti"))).unionByName(changes)
 
 
 def fold_stream(rows: DataFrame) -> DataFrame:

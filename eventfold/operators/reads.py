@@ -29,13 +29,14 @@ def predictions_in_order(rows: DataFrame, tenant_id: str) -> DataFrame:
 
 
 def assignments(texts: DataFrame, column: str = "value") -> DataFrame:
-    """(principal_id, tenant_id, role_id, problem) of lists ``principal|tenant|role, ...``; empty entries are skipped."""
-    entries = texts.select(F.explode(F.split(column, ",")).alias("entry")).select(F.trim("entry").alias("entry")).where("entry <> ''")
-    parts = F.transform(F.split("entry", r"\|"), lambda x: F.trim(x))
-    rows = entries.withColumn("p", parts)
-    wrong = (F.size("p") != 3) | F.exists("p", lambda x: x == "")
-    part = lambda k: F.when(~wrong, F.get("p", F.lit(k)))
-    return rows.select(part(0).alias("principal_id"), part(1).alias("tenant_id"), part(2).alias("role_id"), F.when(wrong, F.concat(F.lit("not an assignment: "), "entry")).alias("problem"))
+    """(principal_id, tenant_id, role_id, problem) of lists ``principal|tenant|role, ...``: all entries of a list whose entries
+    are sound; of any other one row with its first problem; of a blank list none."""
+    lists = texts.where(F.trim(column) != "").select(F.transform(F.split(column, ","), lambda e: F.transform(F.split(e, r"\|"), lambda x: F.trim(x))).alias("entries"))
+    wrong = lambda p: F.when(F.size(p) != 3, "assignment must be principal|tenant|role").when(F.exists(p, lambda x: x == ""), "assignment contains an empty field")
+    rows = lists.withColumn("problem", F.get(F.array_compact(F.transform("entries", wrong)), F.lit(0)))
+    entries = rows.select("problem", F.explode(F.when(F.col("problem").isNull(), F.col("entries")).otherwise(F.array(F.array().cast("array<string>")))).alias("p"))
+    part = lambda k: F.get("p", F.lit(k))
+    return entries.select(part(0).alias("principal_id"), part(1).alias("tenant_id"), part(2).alias("role_id"), "problem")
 
 
 def age_seconds(now: Column, then: Column) -> Column:
@@ -69,15 +70,6 @@ def effects_json(rows: DataFrame, by: str, effect: str) -> DataFrame:
     return counts.groupBy(by).agg(entries.alias("e")).select(by, F.to_json(F.map_from_entries("e")).alias("effects"))
 
 
-def strict_artifact(rows: DataFrame, schema: str, column: str = "value") -> DataFrame:
-    """JSON documents with exactly the members of ``schema``: the parsed columns, or a problem."""
-    parsed = F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"})
-    keys = F.array_sort(F.json_object_keys(column))
-    wanted = F.array_sort(F.array(*(F.lit(p.split()[0]) for p in schema.split(", "))))
-    problem = F.when(keys.isNull(), "not an object").when(keys != wanted, "other members").when(F.exists(F.array(*(parsed[p.split()[0]].isNull() for p in schema.split(", "))), lambda x: x), "type of a member")
-    return rows.withColumns({"_p": parsed, "problem": problem}).select(*rows.columns, *(F.when(F.col("problem").isNull(), F.col(f"_p.{p.split()[0]}")).alias(p.split()[0]) for p in schema.split(", ")), "problem")
-
-
 def write_keyed(rows: DataFrame, path: str, partitions: int) -> None:
     """A log of files: records of one aggregate key in one partition, in the order of their version."""
     key = F.concat_ws("/", "tenant_id", "aggregate_type", "aggregate_id")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from eventfold.functions import canon
 from eventfold.functions.text import line, sha256
+from eventfold.operators import artifacts as Z
 from eventfold.operators import fold as R
+from eventfold.operators import lineage as L
 from eventfold.operators import process as N
 from eventfold.operators import reads as D
 from eventfold.operators import source as S
@@ -319,12 +321,15 @@ def q69(spark, d):
     return D.effects_json(table(spark, d, "events").select((F.col("user_id") % 4).alias("tenant_no"), "event_type"), "tenant_no", "event_type")
 
 
-@query("q70_assignment_lists", """SELECT CASE WHEN c_custkey % 5 <> 0 THEN 'p' || c_custkey END AS principal_id, CASE WHEN c_custkey % 5 <> 0 THEN 'tenant-' || (c_custkey % 3) END AS tenant_id, CASE WHEN c_custkey % 5 <> 0 THEN 'ops_reader' END AS role_id,
-  CASE WHEN c_custkey % 5 = 0 THEN 'not an assignment: p' || c_custkey || '||ops_reader' END AS problem FROM customer""")
+@query("q70_assignment_lists", """SELECT 'p' || c_custkey || '-' || x AS principal_id, 'tenant-' || (c_custkey % 3) AS tenant_id, 'ops_reader' AS role_id, CAST(NULL AS VARCHAR) AS problem FROM customer, (SELECT unnest([1, 2]) AS x) WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0
+  UNION ALL SELECT NULL, NULL, NULL, CASE WHEN c_custkey % 5 = 0 THEN 'assignment contains an empty field' ELSE 'assignment must be principal|tenant|role' END FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 7 = 0""")
 def q70(spark, d):
+    """Lists of two entries each, of which the second is broken in some: then the list has none."""
     key = F.col("c_custkey")
-    entry = F.concat(F.lit(" p"), key.cast("string"), F.lit("|"), F.when(key % 5 != 0, F.concat(F.lit("tenant-"), (key % 3).cast("string"))).otherwise(""), F.lit("|ops_reader ,"))
-    return D.assignments(table(spark, d, "customer").select(entry.alias("value")))
+    tenant = F.concat(F.lit("|tenant-"), (key % 3).cast("string"), F.lit("| ops_reader"))
+    entry = lambda n, rest: F.concat(F.lit(" p"), key.cast("string"), F.lit(f"-{n} "), rest)
+    second = F.when(key % 5 == 0, F.lit("| |ops_reader ")).when(key % 7 == 0, F.lit("|tenant-1")).otherwise(tenant)
+    return D.assignments(table(spark, d, "customer").select(F.concat(entry(1, tenant), F.lit(","), entry(2, second)).alias("value")))
 
 
 @query("q71_session_freshness", """SELECT o_orderkey, o_orderkey % 9 <> 0 AND o_orderdate > TIMESTAMP '1997-01-01 00:00:00' AS fresh, greatest(0, CAST(epoch(TIMESTAMP '1997-01-01 00:00:00') - epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT)) AS age FROM orders""")
@@ -334,12 +339,39 @@ def q71(spark, d):
     return rows.select("o_orderkey", D.fresh_session(now).alias("fresh"), D.age_seconds(now, F.col("expires_at")).alias("age"))
 
 
-@query("q72_strict_artifacts", """SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'not an object' WHEN c_custkey % 7 = 0 THEN 'other members' WHEN c_custkey % 5 = 0 THEN 'type of a member' END AS problem, CASE WHEN c_custkey % 11 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 5 <> 0 THEN c_custkey END AS n FROM customer""")
+@query("q72_strict_artifacts", """SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR c_custkey % 17 = 0 OR c_custkey % 19 = 0 THEN 'not one JSON document' WHEN c_custkey % 7 = 0 THEN 'document: unknown member more' WHEN c_custkey % 3 = 0 THEN 'id: not a string' WHEN c_custkey % 5 = 0 THEN 'n: not an integer' END AS problem,
+  CASE WHEN c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 AND c_custkey % 17 <> 0 AND c_custkey % 19 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 THEN c_custkey END AS n FROM customer""")
 def q72(spark, d):
+    """Documents with text behind them, a second document, an early end of what they are wrapped in, and wrong kinds."""
     key = F.col("c_custkey")
-    text = F.concat(F.lit('{"id":"x","n":'), F.when(key % 5 == 0, '"a"').otherwise(key.cast("string")), F.when(key % 7 == 0, ',"more":1}').otherwise("}"))
-    rows = table(spark, d, "customer").select("c_custkey", F.when(key % 11 == 0, "[1").otherwise(text).alias("value"))
-    return D.strict_artifact(rows, "id string, n long").select("c_custkey", "problem", "n")
+    nth = lambda n: key % n == 0
+    id_ = F.when(nth(6), F.lit('{"a":1}')).when(nth(3), F.lit("5")).otherwise(F.lit('"x"'))
+    n = F.when(nth(10), F.concat(key.cast("string"), F.lit(".5"))).when(nth(5), F.lit('"a"')).otherwise(key.cast("string"))
+    text = F.concat(F.lit('{"id":'), id_, F.lit(',"n":'), n, F.when(nth(7), ',"more":1}').otherwise("}"))
+    text = F.when(nth(11), F.lit("[1")).when(nth(13), F.concat(text, F.lit(" tail"))).when(nth(17), F.concat(text, F.lit(' {"id":"y"}'))).when(nth(19), F.concat(text, F.lit("] ["))).otherwise(text)
+    return Z.strict(table(spark, d, "customer").select("c_custkey", text.alias("value")), {"id": "string", "n": "integer"}).select("c_custkey", "problem", "n")
+
+
+@query("q72b_candidate_artifacts", """WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN o_orderkey % 101 = 0 THEN 'document' WHEN o_orderkey % 103 = 0 THEN 'sample' WHEN o_orderkey % 107 = 0 THEN 'member' END AS fault FROM orders),
+a AS (SELECT o_custkey, CASE WHEN bool_or(fault = 'document') THEN 'not one JSON document' ELSE min_by(CASE fault WHEN 'sample' THEN 'predictions[].uncertainty.sample_count: not an integer' WHEN 'member' THEN 'predictions[].uncertainty: unknown member more' END, o_orderkey) FILTER (fault IS NOT NULL) END AS problem FROM o GROUP BY o_custkey)
+SELECT o.o_custkey AS model, a.problem, CASE WHEN a.problem IS NULL THEN CAST(o_orderkey AS VARCHAR) END AS row_id, CASE WHEN a.problem IS NULL AND o_orderkey % 4 <> 0 THEN (o_orderkey % 100) / 100.0 END AS score, CASE WHEN a.problem IS NULL THEN CASE WHEN o_orderkey % 4 = 0 THEN 'insufficient_support' ELSE '' END END AS abstention_reason
+FROM o JOIN a USING (o_custkey) WHERE a.problem IS NULL UNION ALL SELECT o_custkey, problem, NULL, NULL, NULL FROM a WHERE problem IS NOT NULL""")
+def q72b(spark, d):
+    """A customer's orders as the predictions of one artifact, with faults deep inside some."""
+    key = F.col("o_orderkey")
+    nth = lambda n: key % n == 0
+    score = F.format_string("%.2f", (key % 100) / 100)
+    more = F.concat(F.lit('"sample_count":'), F.when(nth(103), "1.5").otherwise("7"), F.when(nth(107) & ~nth(103), ',"more":null').otherwise(""))
+    bounds = F.concat(F.lit(',"stockout_risk":'), score, F.lit(',"uncertainty":{"method":"m","lower":0,"upper":1,'), more, F.lit("}"))
+    plain = F.concat(F.lit(',"abstention_reason":"insufficient_support","uncertainty":'), F.when(nth(103) | nth(107), F.concat(F.lit("{"), more, F.lit("}"))).otherwise("null"))
+    one = F.concat(F.lit('{"row_id":"'), key.cast("string"), F.lit('","status":"'), F.when(nth(4), "abstained").otherwise("predicted"), F.lit('"'), F.when(nth(4), plain).otherwise(bounds), F.lit("}"))
+    rows = table(spark, d, "orders").select("o_custkey", key.alias("k"), one.alias("p"), nth(101).alias("late"))
+    texts = rows.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]), ",").alias("all"), F.bool_or("late").alias("late"))
+    text = F.concat(F.lit('{"artifact_version":1,"model_version":"m","predictions":['), "all", F.lit("]}"), F.when(F.col("late"), ",1").otherwise(""))
+    found = written(Z.strict(texts.select(F.col("o_custkey").alias("model"), text.alias("value")), Z.ARTIFACT).select("model", "problem", "document"), "artifacts")
+    nothing = F.lit(None).cast("string")
+    wrong = found.where("problem IS NOT NULL").select("model", "problem", nothing.alias("row_id"), F.lit(None).cast("double").alias("score"), nothing.alias("abstention_reason"))
+    return Z.predictions(found, "model", "problem").select("model", "problem", "row_id", "score", "abstention_reason").unionByName(wrong)
 
 
 @query("q73_snapshot_at_cutoff", f"""WITH {DATASET_SQL.replace("), hist AS (", " WHERE g.d <= DATE '2024-01-20'), hist AS (", 1)} SELECT row_id, item_id, CAST(as_of_date AS VARCHAR) AS as_of_date, history_hash FROM ex""")
@@ -348,9 +380,39 @@ def q73(spark, d):
     return rows.select("row_id", "item_id", F.col("as_of_date").cast("string").alias("as_of_date"), "history_hash")
 
 
-@query("q74_lineage_chain_fold", "SELECT range AS chain, 'applied' AS disposition, CAST(4 AS BIGINT) AS n FROM range(1000)")
+CHAINS = "WITH s AS (SELECT 'supplier' AS kind, s_suppkey AS id, NULL AS parent FROM supplier UNION ALL SELECT 'ingredient_lot', p_partkey, p_partkey % (SELECT count(*) FROM supplier) + 1 FROM part UNION ALL SELECT 'production_batch', c_custkey, c_custkey % (SELECT count(*) FROM part) + 1 FROM customer)"
+
+
+@query("q74_lineage_chain_fold", CHAINS + """ SELECT kind AS aggregate_type, CASE WHEN parent IS NULL OR row_number() OVER (PARTITION BY kind, parent ORDER BY id) = 1 THEN 'applied' ELSE 'quarantined_invalid' END AS disposition, id FROM s""")
 def q74(spark, d):
-    """Generated chains, delivered in the order of their ids, all of which apply whatever their parents' order."""
-    rows = D.lineage_events(spark, 1000).withColumns({"seq": F.xxhash64("event_id"), "log_key": F.lit(None).cast("string"), "before": F.lit(None).cast("long"), "after": F.lit(None).cast("long")})
-    states = R.inbox(R.fold(R.with_groups(rows))).withColumn("chain", F.substring_index("event_id", "-", -1).cast("long"))
-    return states.groupBy("chain", "disposition").agg(F.count("*").alias("n"))
+    """Suppliers, parts as lots under them and customers as batches of lots: a parent is taken by the first that names it."""
+    n_suppliers, n_parts = (table(spark, d, t).agg(F.count("*").alias("n")) for t in ("supplier", "part"))
+    own = table(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.lit(None).cast("long").alias("parent"))
+    lots = table(spark, d, "part").join(F.broadcast(n_suppliers)).select(F.lit("ingredient_lot"), "p_partkey", F.col("p_partkey") % F.col("n") + 1)
+    batches = table(spark, d, "customer").join(F.broadcast(n_parts)).select(F.lit("production_batch"), "c_custkey", F.col("c_custkey") % F.col("n") + 1)
+    rows = own.union(lots).union(batches)
+    states = R.inbox(R.fold(R.with_groups(_hops(rows, F.col("id"))))).select("event_id", "disposition")
+    parts = F.split("event_id", "/")
+    return states.select(parts[0].alias("aggregate_type"), "disposition", parts[1].cast("long").alias("id"))
+
+
+def _hops(rows: DataFrame, seq, order=None) -> DataFrame:
+    """Rows (kind, id, parent) as first deliveries of hops, all of one tenant."""
+    nothing = F.lit(None)
+    text = lambda c: F.col(c).cast("string")
+    return rows.select(
+        seq.cast("long").alias("seq"), nothing.cast("string").alias("log_key"), F.concat_ws("/", "kind", text("id")).alias("event_id"), F.lit("tenant-1").alias("tenant_id"), F.col("kind").alias("aggregate_type"), text("id").alias("aggregate_id"),
+        F.lit(1).cast("long").alias("version"), nothing.cast("long").alias("before"), nothing.cast("long").alias("after"), text("parent").alias("parent_id"), (nothing.cast("string") if order is None else order).alias("order_id"), F.lit("x").alias("content_hash"),
+    )
+
+
+@query("q74b_lineage_two_unique_keys", """WITH RECURSIVE s AS (SELECT o_orderkey AS seq, o_orderkey * 7919 % (SELECT count(*) FROM part) AS p, o_custkey AS o FROM orders),
+g AS (SELECT 0 AS it, seq, p, o, 'open' AS st FROM s UNION ALL
+  SELECT it + 1, seq, p, o, CASE WHEN win THEN 'won' WHEN bool_or(win) OVER (PARTITION BY p) OR bool_or(win) OVER (PARTITION BY o) THEN 'lost' ELSE 'open' END
+  FROM (SELECT *, seq = min(seq) OVER (PARTITION BY p) AND seq = min(seq) OVER (PARTITION BY o) AS win FROM g WHERE st = 'open') x)
+SELECT seq, CASE st WHEN 'won' THEN 'applied' ELSE 'quarantined_invalid' END AS disposition FROM g WHERE st <> 'open'""")
+def q74b(spark, d):
+    """Orders as shipments of a part's batch to a customer: both may be taken once, in the order of arrival."""
+    n = F.broadcast(table(spark, d, "part").agg(F.count("*").alias("n")))
+    rows = table(spark, d, "orders").join(n).select(F.lit("shipment").alias("kind"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 7919 % F.col("n")).alias("parent"), F.col("o_custkey").cast("string").alias("o"))
+    return L.fold_hops(_hops(rows, F.col("id"), F.col("o"))).select("seq", "disposition")

@@ -5,8 +5,8 @@ sums are at most ``len(ALPHABET) ** 3`` rows whatever the input. Deobfuscation:
 or symbols among letters or at the ends, only look-alikes, a letter twice in a row) is a lattice in which a
 character may stand for itself or a look-alike, and a repetition or a separator may be nothing; Viterbi
 decoding finds the best path under the language model. Up to ``EDGE_SIGNS`` look-alikes at each end are read
-as letters and as marks. Neighbouring pieces of at most ``PIECE`` characters, with any white space and
-separators between them, are one lattice in which each letter may start a word. Scoring takes the worst of
+as letters and as marks. Neighbouring pieces of at most ``PIECE`` characters, with any marks around them and any white
+space and separators between them, are one lattice in which each letter may start a word. Scoring takes the worst of
 a token's raw and restored words; a lattice none of whose paths begins a word as a kept feature does has nothing
 to add to a score, and its best path is not looked for then.
 
@@ -15,7 +15,9 @@ different preceding words in toxic and in clean labelled documents are counted;
 for toxicity, the larger against, so that near copies of a document count once (their preceding words are
 the same), and so does a long document that repeats a word (its text is the same). A feature is
 kept if its share of toxic contexts is above chance by a binomial test corrected for the number of features
-and its Wilson lower bound is over a half; a document's score is the noisy-or of its words' bounds, or
+and its Wilson lower bound is over a half; a beginning, moreover, if no more words of clean documents begin so than of toxic ones,
+as many do with ``lose`` and none with ``loser``. It does not speak for words that by their own counts are rather clean.
+A document's score is the noisy-or of its words' bounds, or
 ``FLOOR`` where it has none. Labels of rows whose crc32(doc_id) mod 4 is 2 are held out. The fit takes
 about ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows at most, chosen by a hash of doc_id.
 
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,12 +43,14 @@ from eventfold.llm.common import Memo, add_columns, map_stream, table
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 LEAST_SUPPORT = 4
+#: Clean contexts or texts that make a word an ordinary one.
+LEAST_ORDINARY = 2
 SIGNIFICANCE = 0.01
 FLOOR = 0.02
 THRESHOLD = 0.3
 HELD_OUT, FOLDS = 2, 4
 EDGE_SIGNS, PIECE = 3, 3
-#: Characters of a token that can be a piece with marks around it.
+#: Characters of a token that can be a piece whatever its ends are.
 TOKEN = 5
 REMEMBERED = 150_000
 
@@ -68,8 +73,12 @@ _PLAIN = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _DOUBLE = re.compile(r"(.)\1")
 _WORD = re.compile(r"\w")
+_RUN = re.compile(r"(.)\1*")
+_LETTERS = re.compile(f"[{ALPHABET[1:]}]+")
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LOOKS) + "·«»„“”‘’…"
 _SIGNS = "!|+(¡"
+#: A token that ends any row of pieces.
+_END = "aaaaaaaa"
 _BARE_MARKS = ".,;:?\"'-)[]{}<>/\\·«»„“”‘’…"
 
 
@@ -122,6 +131,8 @@ class Restorer:
     def __init__(self, model: np.ndarray, wanted: frozenset[str] | None = None):
         self.model = model.ravel().tolist()
         self.starts = None if wanted is None else {f[:n] for f in wanted for n in (1, 2, 3)}
+        self.begins = None if wanted is None else self._begins(self.starts)
+        self.others = set() if wanted is None else {a + b for a in ALPHABET[1:] for b in ALPHABET[1:] if a != b and a + b not in self.starts}
         self.letters: dict[tuple[str, bool], tuple[str, bool]] = {}
         self.choices: dict[tuple[str, bool, bool], list] = {}
         self.decoded = Memo(lambda text: self.best_path(text, False), REMEMBERED)
@@ -139,6 +150,17 @@ class Restorer:
             out.append(([], COST["separator"]))
         return out + starts
 
+    @staticmethod
+    def _begins(starts: set[str]) -> re.Pattern:
+        """Of letters of which repeated ones may be one: that they spell a start of three letters somewhere."""
+        runs = lambda start: "".join(f"{re.escape(m[0][0])}{{{len(m[0])},}}" for m in _RUN.finditer(start))
+        return re.compile("|".join(sorted(runs(x) for x in starts if len(x) == 3)) or "(?!)")
+
+    def plain(self, token: str) -> bool:
+        """Whether a token is a word in letters that begins as no wanted feature can, by its first two letters."""
+        bare = token.strip(_BARE_MARKS)
+        return bare[:2].lower() in self.others and bare.isalpha()
+
     def spells(self, text: str, spaced: bool) -> bool:
         """Whether some path has a word, at the start or, if ``spaced``, anywhere, that begins as a wanted feature does."""
         begun, last = {""}, ""
@@ -236,6 +258,8 @@ class Restorer:
     def restored(self, group: str) -> tuple[str, ...]:
         """Words restored from neighbouring pieces, blanks between them, that are not pieces themselves."""
         pieces = group.split(" ")
+        if self.begins is not None and _LETTERS.fullmatch(joined := "".join(pieces)) and not self.begins.search(joined):
+            return ()
         lattices = {"".join(pieces)} if any(c.isalpha() for c in group) else set()
         singles = "".join(p if len(p) == 1 else " " for p in pieces).split(" ")
         found: dict[str, None] = {}
@@ -249,8 +273,9 @@ class Restorer:
         out: list[str] = []
         row: list[str] = []
         short = self.short
-        for token in [*text.lower().split(), "......"]:
-            piece = short[token] if len(token) <= TOKEN else None
+        for token in [*text.lower().split(), _END]:
+            # a longer one can only be a piece with marks or signs at an end
+            piece = None if len(token) > TOKEN and token[0].isalnum() and token[-1].isalnum() else short[token] if len(token) < 64 else self.piece(token)
             if piece:
                 row.append(piece)
             elif piece is None:
@@ -279,10 +304,21 @@ def features(word: str) -> tuple[str, ...]:
 
 
 class Toxicity(NamedTuple):
-    """What is learned: the language model, and a lower bound of toxicity for each kept feature."""
+    """What is learned: the language model, a lower bound of toxicity for each kept feature, and the words that begin as one
+    does, but are rather clean by their own counts."""
 
     model: np.ndarray
     bounds: dict[str, float]
+    ordinary: frozenset[str] = frozenset()
+
+    def of(self, word: str) -> float:
+        """The bound of a word: its own, or one of its beginnings' unless it is an ordinary word."""
+        if len(word) < 3:
+            return 0.0
+        get = self.bounds.get
+        own = get(word + "$", 0.0)
+        begins = max(get(word[:4], 0.0), get(word[:5], 0.0))
+        return own if begins <= own or word in self.ordinary else begins
 
 
 def wilson_low(part: int, whole: int, z: float = 1.96) -> float:
@@ -299,7 +335,8 @@ def log_tail(part: int, whole: int, chance: float) -> float:
 
 
 def _support(docs: DataFrame, sent, wanted) -> dict[str, tuple[int, int]]:
-    """Smaller and larger of the numbers of texts and of preceding words of each feature; of wanted ones only, if given."""
+    """Smaller and larger of the numbers of texts and of preceding words of each feature; of wanted ones, and words that begin
+    as one does, only, if given."""
 
     def pairs(rows: Iterator[tuple]) -> Iterator[tuple]:
         restorer = restorer_of(sent.value)
@@ -310,8 +347,10 @@ def _support(docs: DataFrame, sent, wanted) -> dict[str, tuple[int, int]]:
             for token in [*(text or "").split(), *restorer.spaced(text or "")]:
                 context, found = xxhash.xxh64_intdigest(before) >> 1, words[token]
                 for word in found:
-                    for f in features(word):
-                        if not only or f in only:
+                    own_features = features(word)
+                    begins = only and not only.isdisjoint(own_features)
+                    for f in own_features:
+                        if not only or f in only or begins and f[-1] == "$":
                             seen.add((f, context))
                 before = found[0] if found else ""
             for f, context in seen:
@@ -351,7 +390,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
         n = t + against.get(f, 0)
         if wilson_low(t, n) > 0.5 and log_tail(t, n, chance) < limit:
             bounds[f] = wilson_low(t, n)
-    return Toxicity(model, bounds)
+    words = lambda found: Counter(b for f in found if f[-1] == "$" for b in {f[:4], f[:5]} - {f})
+    ours, theirs = words(toxic), words(f for f in against if f not in bounds)
+    bounds = {f: b for f, b in bounds.items() if f[-1] == "$" or theirs[f] <= ours[f]}
+    begun = ((f[:-1], n) for f, n in against.items() if f[-1] == "$" and (f[:4] in bounds or f[:5] in bounds))
+    ordinary = frozenset(w for w, n in begun if n >= LEAST_ORDINARY and wilson_low((own := toxic.get(w + "$", (0, 0))[0]), own + n) <= 0.5)
+    return Toxicity(model, bounds, ordinary)
 
 
 def score(docs: DataFrame, learned: Toxicity) -> DataFrame:
@@ -360,16 +404,15 @@ def score(docs: DataFrame, learned: Toxicity) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(learned)
 
     def start():
-        bounds, get = sent.value.bounds, sent.value.bounds.get
-        restorer = restorer_of(sent.value.model, frozenset(bounds))
-        best = lambda word: max(get(word + "$", 0.0), get(word[:4], 0.0), get(word[:5], 0.0)) if len(word) > 2 else 0.0
+        restorer, best = restorer_of(sent.value.model, frozenset(sent.value.bounds)), sent.value.of
+        plain = restorer.plain
         tokens = Memo(lambda token: max(map(best, restorer.words(token)), default=0.0), REMEMBERED)
 
         def run(texts: list[str | None]) -> Iterator[tuple]:
             for text in texts:
                 text, clean = text or "", 1.0
                 for token in set(text.split()):
-                    if p := tokens[token]:
+                    if not plain(token) and (p := tokens[token]):
                         clean *= 1 - p
                 for word in restorer.spaced(text):
                     clean *= 1 - best(word)

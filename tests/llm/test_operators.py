@@ -852,3 +852,24 @@ def test_signatures_under_the_threshold_share_a_key():
     signed = np.array([o13.signature(s) for s in sets])
     apart = (signed[::2] != signed[1::2]).sum(1)  # of sets with Jaccard 0.8
     assert (apart <= o13.ERRORS).mean() > 0.99 and 5 < apart.mean() < 7
+
+
+def test_ordinary_words_marks_of_any_length_and_exact_rejections(spark):
+    """``lose`` is not ``loser``; marks around spelled letters may be many; what the two-letter and run tests pass over scores nothing."""
+    r, rows, labels = random.Random(15), [], []
+    for k in range(600):
+        w = prose(4000 + k, 50).split()
+        w[r.randrange(50)] = "loser" if k % 4 == 0 else r.choice(["lose", "losesan", "loset", "losekan", "loselo"])
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(k % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = o10.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert learned.of("loser") > 0.5 and learned.of("losers") > 0.5 and learned.of("lose") == learned.of("losexy") == 0
+    quick, slow = o10.Restorer(learned.model, frozenset(learned.bounds)), o10.Restorer(learned.model)
+    assert any(learned.of(w) for w in quick.spaced("l.. o........ s.. e. r......... kan"))
+    texts = ["l o s e r", "loooser L0ser lo.ser,", "a la de lo se ro lo", "kan lolos erer l0 se", "loo oser l oo sser"]
+    best = lambda words: max(map(learned.of, words), default=0)
+    for text in [*texts, *(t for _, t in rows[:60])]:
+        assert best(quick.spaced(text)) == best(slow.spaced(text))
+        for token in text.split():
+            assert (0 if quick.plain(token) else best(quick.words(token))) == best(slow.words(token))

@@ -873,3 +873,15 @@ def test_ordinary_words_marks_of_any_length_and_exact_rejections(spark):
         assert best(quick.spaced(text)) == best(slow.spaced(text))
         for token in text.split():
             assert (0 if quick.plain(token) else best(quick.words(token))) == best(slow.words(token))
+
+
+@pytest.mark.parametrize("at", [2, 17, 20, 39, 40])
+def test_a_stated_look_back_is_not_trusted(at):
+    """A template that puts a summary in front from some turn on, the last one too, is refused; ``locate`` finds the rewrite."""
+    turns = [("assistant" if k % 2 else "user", f"t{k}") for k in range(40)]
+    summing = lambda t: ("sum " if len(t) >= at else "") + o3.render(t)
+    with pytest.raises(ValueError, match="look|rewrites"):
+        list(o3.pieces(o3.Template(summing, 1), turns))
+    assert o3.locate(summing, turns).rewrites == 1
+    assert "".join(x[0] for x in o3.pieces(o3.Template(summing), turns)) == summing(turns)
+    assert len(list(o3.pieces(o3.INSTRUCT, turns))) == 40

@@ -60,23 +60,3 @@ def release(rows: DataFrame, chosen: Column) -> DataFrame:
     """Quarantined rows that are chosen become pending; attempts and last error stay."""
     free = chosen & (F.col("status") == "quarantined")
     return rows.withColumns({"lease_owner": F.when(~free, F.col("lease_owner")), "lease_expires_at": F.when(~free, F.col("lease_expires_at")), "status": F.when(free, "pending").otherwise(F.col("status"))})
-
-
-def accept_orders(stock: DataFrame, orders: DataFrame) -> DataFrame:
-    """Orders (tenant_id, item_id, order_id, quantity, seq) against stock (tenant_id, item_id, quantity_on_hand).
-
-    Orders of an item are taken in sequence; one that the stock left does not cover is rejected and takes
-    nothing. That is a fold, so it runs as one aggregate over the item's ordered orders.
-    """
-    asked = orders.groupBy("tenant_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("seq", "order_id", "quantity"))).alias("asked"))
-    rows = asked.join(stock, ["tenant_id", "item_id"], "left")
-    kind = "array<struct<order_id:string,quantity:bigint,before:bigint,accepted:boolean>>"
-    start = F.struct(F.coalesce("quantity_on_hand", F.lit(0)).cast("long").alias("left"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, o: Column) -> Column:
-        ok = (o["quantity"] > 0) & (o["quantity"] <= acc["left"])
-        said = F.struct(o["order_id"].cast("string").alias("order_id"), o["quantity"].cast("long").alias("quantity"), acc["left"].alias("before"), ok.alias("accepted"))
-        return F.struct((acc["left"] - F.when(ok, o["quantity"]).otherwise(0)).cast("long").alias("left"), F.concat(acc["out"], F.array(said)).alias("out"))
-
-    folded = rows.select("tenant_id", "item_id", F.explode(F.aggregate("asked", start, step)["out"]).alias("o"))
-    return folded.select("tenant_id", "item_id", "o.*")

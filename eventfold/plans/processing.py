@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventfold.functions import canon
 from eventfold.functions.text import line, sha256
 from eventfold.operators import artifacts as Z
+from eventfold.operators import commands as K
 from eventfold.operators import fold as R
 from eventfold.operators import lineage as L
 from eventfold.operators import process as N
@@ -416,3 +417,44 @@ def q74b(spark, d):
     n = F.broadcast(table(spark, d, "part").agg(F.count("*").alias("n")))
     rows = table(spark, d, "orders").join(n).select(F.lit("shipment").alias("kind"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 7919 % F.col("n")).alias("parent"), F.col("o_custkey").cast("string").alias("o"))
     return L.fold_hops(_hops(rows, F.col("id"), F.col("o"))).select("seq", "disposition")
+
+
+@query("q66b_commands_accepted", """WITH RECURSIVE np AS (SELECT count(*) AS np FROM part), ns AS (SELECT count(*) AS ns FROM supplier),
+lot AS (SELECT 1000000000 + p_partkey AS seq, p_partkey AS id, p_partkey % (ns + 3) AS parent, CASE WHEN p_partkey % (ns + 3) NOT IN (SELECT s_suppkey FROM supplier) THEN 'unknown lineage source' WHEN p_partkey % 7 = 6 THEN 'unknown inventory item' WHEN p_partkey % 11 = 0 THEN 'invalid transition' END AS problem FROM part, ns),
+lots AS (SELECT *, coalesce(problem, CASE WHEN row_number() OVER (PARTITION BY problem, parent ORDER BY seq) > 1 THEN 'duplicate source' ELSE 'accepted' END) AS outcome FROM lot),
+batch AS (SELECT CASE WHEN c_custkey % 17 = 0 THEN c_custkey - 1000000 ELSE 2000000000 + c_custkey END AS seq, c_custkey AS id, c_custkey % (np + 5) AS parent FROM customer, np),
+batches AS (SELECT *, coalesce(problem, CASE WHEN row_number() OVER (PARTITION BY problem, parent ORDER BY seq) > 1 THEN 'duplicate source' ELSE 'accepted' END) AS outcome FROM (SELECT batch.*, CASE WHEN l.seq IS NULL OR l.seq >= batch.seq THEN 'unknown lineage source' WHEN batch.id % 11 = 0 THEN 'invalid transition' END AS problem
+  FROM batch LEFT JOIN (SELECT * FROM lots WHERE outcome = 'accepted') l ON l.id = batch.parent) x),
+shipments AS (SELECT *, coalesce(problem, CASE WHEN row_number() OVER (PARTITION BY problem, parent ORDER BY seq) > 1 THEN 'duplicate source' ELSE 'accepted' END) AS outcome FROM (SELECT 3000000000 + o_orderkey AS seq, o_orderkey AS id, o_custkey AS parent, CASE WHEN b.id IS NULL THEN 'unknown lineage source' END AS problem
+  FROM orders LEFT JOIN (SELECT * FROM batches WHERE outcome = 'accepted') b ON b.id = o_custkey) x),
+o AS (SELECT 4000000000 + o_orderkey AS seq, o_custkey % 7 AS item, o_orderkey % 5 AS q, (s.outcome = 'accepted') = (o_orderkey % 2 = 0) AS sound FROM orders JOIN shipments s ON s.id = o_orderkey),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY item ORDER BY seq) AS rn FROM o WHERE sound AND q >= 1 AND item < 6),
+f AS (SELECT item, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS before, CAST(300 AS BIGINT) AS rest, CAST(0 AS BIGINT) AS version, false AS ok FROM (SELECT DISTINCT item FROM n) x
+  UNION ALL SELECT n.item, n.rn, n.seq, f.rest, CASE WHEN f.rest >= n.q THEN f.rest - n.q ELSE f.rest END, CASE WHEN f.rest >= n.q THEN f.version + 1 ELSE f.version END, f.rest >= n.q FROM f JOIN n ON n.item = f.item AND n.rn = f.rn + 1)
+SELECT s_suppkey AS seq, 'accepted' AS outcome, NULL AS quantity_before, NULL AS quantity_after, NULL AS aggregate_version FROM supplier UNION ALL SELECT seq, outcome, NULL, NULL, NULL FROM lots UNION ALL SELECT seq, outcome, NULL, NULL, NULL FROM batches
+UNION ALL SELECT seq, outcome, NULL, NULL, NULL FROM shipments UNION ALL SELECT o.seq, CASE WHEN q < 1 THEN 'invalid quantity' WHEN o.item = 6 THEN 'unknown inventory item' WHEN f.ok THEN 'accepted' ELSE 'invalid transition' END,
+  CASE WHEN f.ok THEN f.before END, CASE WHEN f.ok THEN f.rest END, CASE WHEN f.ok THEN f.version END FROM o LEFT JOIN f ON f.seq = o.seq""")
+def q66b(spark, d):
+    """Suppliers, parts as lots, customers as batches, orders as shipments and as orders of them, in one batch of commands."""
+    count = lambda name, n: F.broadcast(table(spark, d, name).agg(F.count("*").alias(n)))
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    nothing = F.lit(None).cast("string")
+
+    def made(rows, kind, seq, entity, parent, item, order, event, cause, quantity=None):
+        amount = (F.lit(None) if quantity is None else quantity).cast("long")
+        return rows.select(
+            seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), F.lit("t").alias("tenant_id"), entity.alias("entity_id"), parent.alias("parent_id"), item.alias("item_id"), order.alias("order_id"), amount.alias("quantity"), event.alias("event_id"), cause.alias("causation_id")
+        )
+
+    s, p, c, o, cust = (F.col(x) for x in ("s_suppkey", "p_partkey", "c_custkey", "o_orderkey", "o_custkey"))
+    supplier = made(table(spark, d, "supplier"), "supplier", s, text("s", s), nothing, nothing, nothing, text("e-s", s), nothing)
+    of, to = p % (F.col("ns") + 3), c % (F.col("np") + 5)
+    lots = made(table(spark, d, "part").join(count("supplier", "ns")), "ingredient_lot", p + 10**9, text("l", p), text("s", of), text("i", p % 7), nothing, text("e-l", p), F.when(p % 11 == 0, "x").otherwise(text("e-s", of)))
+    batches = made(table(spark, d, "customer").join(count("part", "np")), "production_batch", F.when(c % 17 == 0, c - 10**6).otherwise(c + 2 * 10**9), text("b", c), text("l", to), nothing, nothing, text("e-b", c), F.when(c % 11 == 0, "x").otherwise(text("e-l", to)))
+    orders = table(spark, d, "orders")
+    shipments = made(orders, "shipment", o + 3 * 10**9, text("h", o), text("b", cust), nothing, text("o", o), text("e-h", o), text("e-b", cust))
+    asked = made(orders, "order", o + 4 * 10**9, nothing, nothing, text("i", cust % 7), text("o", o), text("e-o", o), F.when(o % 2 == 0, text("e-h", o)), o % 5)
+    rows = written(supplier.union(lots).union(batches).union(shipments).union(asked), "commands")
+    stock = spark.range(6).select(F.lit("t").alias("tenant_id"), text("i", F.col("id")).alias("item_id"), F.lit(300).cast("long").alias("quantity_on_hand"), F.lit(0).cast("long").alias("aggregate_version"))
+    stored = rows.where("false").select("kind", "tenant_id", "entity_id", "parent_id", "order_id", "event_id")
+    return K.accept(rows, stored, stock)

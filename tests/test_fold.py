@@ -105,12 +105,6 @@ def test_queue(spark):
     assert seconds == [1, 1, 2, 4, 8, 16, 32, 60, 60]
 
 
-def test_orders_take_stock_in_sequence(spark):
-    stock = spark.createDataFrame([("t", "i", 5)], "tenant_id string, item_id string, quantity_on_hand long")
-    orders = spark.createDataFrame([("t", "i", "a", 3, 1), ("t", "i", "b", 4, 2), ("t", "i", "c", 2, 3), ("t", "none", "d", 1, 1)], "tenant_id string, item_id string, order_id string, quantity long, seq long")
-    assert {r["order_id"]: r["accepted"] for r in outbox.accept_orders(stock, orders).collect()} == {"a": True, "b": False, "c": True, "d": False}
-
-
 def test_access(spark):
     rows = spark.createDataFrame([("p", "tenant-1", "ops_reader"), ("q", "tenant-1", "ops_reader"), ("q", "", "ops_reader"), ("r", "tenant-2", "ops_reader"), ("s", "tenant-1", "")], "principal_id string, tenant_id string, role_id string")
     asked = spark.createDataFrame([(p, t, "audit" if p == "x" else "inventory_projection", "read") for p, t in (("p", "tenant-1"), ("q", "tenant-1"), ("r", "tenant-2"), ("s", "tenant-1"), ("x", "tenant-1"))], "principal_id string, tenant_id string, resource string, action string")

@@ -102,3 +102,16 @@ def lineage_events(spark: SparkSession, chains: int) -> DataFrame:
 def supported(family: Column) -> Column:
     """Whether an event type is one that the consumer applies."""
     return F.coalesce(family.isin(*canon.FAMILIES), F.lit(False))
+
+
+def checkpoint_probe(stores: dict[str, DataFrame]) -> DataFrame:
+    """Per event (tenant_id, event_id), which stores hold it and in what state: a column of each store, null where it has none.
+
+    ``stores``: name to rows (tenant_id, event_id, state). They are one tagged union with one aggregation, so an event that
+    any store lacks needs no outer join; of several rows of an event in a store the greatest state is told."""
+    rows = None
+    for name, store in stores.items():
+        own = store.select("tenant_id", "event_id", F.lit(name).alias("store"), "state")
+        rows = own if rows is None else rows.unionByName(own)
+    told = [F.max(F.when(F.col("store") == name, F.col("state"))).alias(name) for name in stores]
+    return rows.groupBy("tenant_id", "event_id").agg(*told, F.count_distinct("store").alias("n_stores"))

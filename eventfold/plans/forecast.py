@@ -14,7 +14,7 @@ from eventfold.operators import predictions as P
 from eventfold.operators import series as S
 from eventfold.operators.versioned import LOG_SQL, log
 from eventfold.plans.registry import query
-from eventfold.sources.tables import table
+from eventfold.sources.tables import table, written
 
 START, DAYS = "2024-01-01", 30
 SPLITS = (("train", 14), ("validation", 4), ("test", 5))
@@ -64,14 +64,14 @@ def examples(spark: SparkSession, d: str, hashed: bool = False) -> DataFrame:
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Scores of all three models on one pass over the examples."""
-    rows = examples(spark, d).withColumns({"moving_average": S.moving_average(), "seasonal_naive": S.seasonal_naive()})
+    rows = written(examples(spark, d), "examples").withColumns({"moving_average": S.moving_average(), "seasonal_naive": S.seasonal_naive()})
     rows = E.predict_rates(rows).withColumnRenamed("score", "bucket_rate")
     models = F.explode(F.create_map(*(x for m in ("bucket_rate", "moving_average", "seasonal_naive") for x in (F.lit(m), F.col(m)))))
     return rows.select("row_id", "split", "label", models.alias("model", "score"))
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:
-    return E.evaluate(scored(spark, d), ("model", "split"))
+    return E.evaluate(written(scored(spark, d), "scored"), ("model", "split"))
 
 
 def _date(c: str = "as_of_date"):

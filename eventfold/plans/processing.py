@@ -225,7 +225,7 @@ BAD_SQL = f"WITH {DATASET_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY
 
 def _numbered(spark, d) -> DataFrame:
     rows = examples(spark, d)
-    return rows.withColumns({"k": F.row_number().over(Window.partitionBy("item_id").orderBy("as_of_date")), "i": F.col("item_id").cast("long")})
+    return written(rows.withColumns({"k": F.row_number().over(Window.partitionBy("item_id").orderBy("as_of_date")), "i": F.col("item_id").cast("long")}), "numbered")
 
 
 @query("q61_baseline_input_problems", BAD_SQL + """ SELECT row_id, CASE WHEN (i + k) % 29 = 0 THEN 'split' WHEN (i + k) % 31 = 0 THEN 'label' WHEN (i + k) % 37 = 0 THEN 'source cutoff' WHEN (i + k) % 41 = 0 THEN 'quantity' END AS problem FROM n

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from eventfold.functions.text import line, sha256
 from eventfold.operators import fold as R
 from eventfold.operators import versioned as V
-from eventfold.plans.processing import RAW_DISPOSITIONS, RAW_FAILURES, RAW_SQL, REPLAY_SQL, raw_log, replay_inputs
+from eventfold.operators.reads import checkpoint_probe
+from eventfold.plans.processing import RAW_DISPOSITIONS, RAW_FAILURES, RAW_SQL, REPLAY_SQL, raw_log, replay_inputs, retained
 from eventfold.plans.projection import WITH
 from eventfold.plans.registry import query
-from eventfold.sources.tables import scratch, written
+from eventfold.sources.tables import scratch, table, written
 from eventfold.streaming import raw as W
 from eventfold.streaming.log import read_log, run_fold
+from eventfold.streaming.store import Feed, PredictionStore
 
 
 def delivered(spark, d: str) -> DataFrame:
@@ -100,3 +102,47 @@ def q59c(spark, d):
     history.select(*columns).repartition(4, "group").write.parquet(f"{top}/log")
     rows = W.results(read_log(spark, f"{top}/log", W.INPUT, files=4), state)
     return W.run(rows, W.RESULTS, f"{top}/results", f"{top}/checkpoint").where("offset IS NOT NULL").select("event_id", "disposition")
+
+
+BATCHED = "SELECT event_id % 2000 AS prediction_id, 'tenant-' || (event_id % 4) AS tenant_id, event_id % 7 AS content, (event_id // 2000) % 4 AS batch FROM events"
+
+
+@query("q41c_prediction_store", f"""WITH p AS ({BATCHED}), f AS (SELECT prediction_id, min(batch) AS batch FROM p GROUP BY prediction_id), s AS (SELECT prediction_id, batch, min(content) AS content FROM p JOIN f USING (prediction_id, batch) GROUP BY ALL),
+e AS (SELECT prediction_id, p.batch, min(p.content) AS least, count(DISTINCT p.content) AS n FROM p GROUP BY ALL)
+SELECT prediction_id, e.batch, CASE WHEN e.batch = s.batch THEN 'append' WHEN n = 1 AND least = s.content THEN 'keep' ELSE 'conflict' END AS effect, s.content AS stored FROM e JOIN (SELECT prediction_id, batch, content FROM s) s USING (prediction_id)""")
+def q41c(spark, d):
+    """Predictions in four batches, of which the second comes twice, also after the last: each id keeps its first content."""
+    event = F.col("event_id")
+    rows = table(spark, d, "events").select((event % 2000).alias("prediction_id"), F.concat(F.lit("tenant-"), (event % 4).cast("string")).alias("tenant_id"), (event % 7).alias("content"), F.floor(event / 2000).cast("long").alias("k"))
+    rows = written(rows, "predictions")
+    store = PredictionStore(spark, scratch(spark, "store"), "prediction_id long, tenant_id string, content long", buckets=8)
+    for batch in (0, 1, 1, 2, 3, 1):
+        store.insert(rows.where(F.col("k") % 4 == batch), batch)
+    stored = store.rows().select("prediction_id", F.col("content").alias("stored"))
+    return store.effects().join(stored, "prediction_id").select("prediction_id", "batch", "effect", "stored")
+
+
+@query("q16c_change_feed", "SELECT event_id, (event_id // 500) % 3 AS batch FROM events WHERE user_id % 4 = 1 AND (event_id // 500) % 3 > 0")
+def q16c(spark, d):
+    """A tenant's changes behind a cursor at the first batch; the second batch is delivered twice."""
+    event = F.col("event_id")
+    rows = table(spark, d, "events").select(F.concat(F.lit("tenant-"), (F.col("user_id") % 4).cast("string")).alias("tenant_id"), "event_id", (F.floor(event / 500) % 3).alias("k"))
+    rows = written(rows, "changes")
+    feed = Feed(spark, scratch(spark, "feed"), "event_id long")
+    for batch in (0, 1, 1, 2):
+        feed.publish("projection", rows.where(F.col("k") == batch).drop("k"), batch)
+    return feed.after("tenant-1", {"projection": 0}).select("event_id", "batch")
+
+
+@query("q55b_checkpoint_probe", WITH + """ SELECT 'tenant-' || log.tenant_no AS tenant_id, CAST(log.event_id AS VARCHAR) AS event_id, CASE WHEN log.event_id % 7 = 0 THEN 'quarantined' ELSE 'published' END AS outbox, disp.disposition AS inbox, CASE WHEN log.event_type = 'error' THEN 'quarantined' END AS failure,
+  CASE WHEN proj.item_id IS NOT NULL THEN 'last' END AS projection, CAST(1 + (disp.disposition IS NOT NULL)::INT + (log.event_type = 'error')::INT + (proj.item_id IS NOT NULL)::INT AS BIGINT) AS n_stores
+  FROM log LEFT JOIN disp USING (event_id) LEFT JOIN proj ON proj.item_id = log.item_id AND proj.aggregate_version = log.version""")
+def q55b(spark, d):
+    outbox, inbox = retained(spark, d)
+    rows = V.log(spark, d)
+    own = [F.concat(F.lit("tenant-"), F.col("tenant_no").cast("string")).alias("tenant_id"), F.col("event_id").cast("string").alias("event_id")]
+    last = V.projection(V.with_first_missing(rows)).select("item_id", F.col("aggregate_version").alias("version"))
+    return checkpoint_probe({
+        "outbox": outbox.select("tenant_id", "event_id", F.col("status").alias("state")), "inbox": inbox.select("tenant_id", "event_id", F.col("disposition").alias("state")),
+        "failure": rows.where("event_type = 'error'").select(*own, F.lit("quarantined").alias("state")), "projection": rows.join(last, ["item_id", "version"], "left_semi").select(*own, F.lit("last").alias("state")),
+    })

@@ -95,7 +95,7 @@ def q50b(spark, d):
     nothing = F.lit(None).cast("string")
     rows = table(spark, d, "events").where("event_type = 'error'").select(
         F.lit("events").alias("topic"), F.lit(0).alias("partition"), F.col("user_id").alias("offset"), F.struct("ts", F.col("event_id").alias("no")).alias("attempt"), F.lit("poison").alias("failure_category"),
-        F.concat(F.lit("code-"), (F.col("event_id") % 5).cast("string")).alias("diagnostic_code"), nothing.alias("received_hash"), F.col("event_id").cast("string").alias("event_id"), nothing.alias("tenant_id"), nothing.alias("aggregate_type"),
+        F.concat(F.lit("code-"), (F.col("event_id") % 5).cast("string")).alias("diagnostic_code"), nothing.alias("received_hash"), F.col("event_id").cast("string").alias("event_id"), nothing.alias("tenant_id"), nothing.alias("event_type"), F.lit(None).cast("long").alias("schema_version"), nothing.alias("aggregate_type"),
         nothing.alias("aggregate_id"), F.lit(None).cast("long").alias("version"), F.lit("retrying").alias("status"),
     )
     return N.failure_rows(rows).select(F.col("offset").alias("position"), "attempt_count", "quarantine_status", "acknowledged", "diagnostic_code")

@@ -54,7 +54,7 @@ def failure_rows(attempts: DataFrame, poison: int = POISON_ATTEMPTS) -> DataFram
 def process(log: DataFrame, seq: Column) -> tuple[DataFrame, DataFrame]:
     """(failures, changes) of a log: its failure rows, and the change-log of all records that parse. The log is parsed once,
     into a written table that both are read from."""
-    parsed = written(canon.parse_log(log).drop("value", "canonical"), "parsed")
+    parsed = written(canon.parse_log(log, without=("value", "canonical")), "parsed")
     return failure_rows(parse_failures(parsed, seq)), R.fold(records(parsed, seq))
 
 

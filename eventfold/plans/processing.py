@@ -47,8 +47,8 @@ def raw_log(spark: SparkSession, d: str) -> DataFrame:
     value = F.when(nth(BROKEN), "{").otherwise(text).cast("binary")
     key = F.concat_ws("/", tenant, F.lit("inventory_item"), F.when(nth(MISKEYED), "other").otherwise(item)).cast("binary")
     rows = rows.select(F.lit("events").alias("topic"), (F.col("item_id") % 8).cast("int").alias("partition"), F.col("event_id").alias("offset"), key.alias("key"), value.alias("value"), "version")
-    again = rows.where("offset % 20 = 0").withColumn("arrival", F.lit(10**12) + F.col("version"))
-    return rows.withColumn("arrival", F.col("version").cast("long")).unionByName(again.withColumn("arrival", F.col("arrival").cast("long"))).drop("version")
+    arrivals = F.array_compact(F.array(F.col("version"), F.when(F.col("offset") % 20 == 0, F.lit(10**12) + F.col("version"))))
+    return rows.withColumn("arrival", F.explode(arrivals)).drop("version")
 
 
 RAW_SQL = LOG + f""", k AS (SELECT *, CASE WHEN event_id % {BROKEN} = 0 THEN 'broken' WHEN event_id % {UNKNOWN} = 0 THEN 'unknown' WHEN event_id % {FAMILY} = 0 THEN 'family' WHEN event_id % {MISKEYED} = 0 THEN 'key' ELSE 'ok' END AS kind FROM log),
@@ -77,7 +77,7 @@ RAW_FAILURES = RAW_SQL + """ SELECT event_id AS position, CASE WHEN kind = 'fami
 
 @query("q54_failure_rows", RAW_FAILURES)
 def q54(spark, d):
-    parsed = canon.parse_log(raw_log(spark, d))
+    parsed = canon.parse_log(raw_log(spark, d), without=("value", "canonical"))
     rows = N.failure_rows(N.parse_failures(parsed, F.col("arrival")))
     return rows.select(F.col("offset").alias("position"), "failure_category", "diagnostic_code", "attempt_count", "event_id", "version", "quarantine_status")
 
@@ -85,7 +85,8 @@ def q54(spark, d):
 @query("q54b_contract_rules", RAW_SQL + """ SELECT coalesce(rule, 'valid') AS rule, count(*) AS n FROM (SELECT CASE kind WHEN 'broken' THEN 'not JSON' WHEN 'unknown' THEN 'envelope: unknown extra' WHEN 'family' THEN 'event type or schema version' END AS rule FROM raw UNION ALL
   SELECT CASE kind WHEN 'broken' THEN 'not JSON' WHEN 'unknown' THEN 'envelope: unknown extra' WHEN 'family' THEN 'event type or schema version' END FROM raw WHERE event_id % 20 = 0) x GROUP BY ALL""")
 def q54b(spark, d):
-    return canon.parse_log(raw_log(spark, d)).groupBy(F.coalesce("rule", F.lit("valid")).alias("rule")).agg(F.count("*").alias("n"))
+    parsed = canon.parse_log(raw_log(spark, d).select("value"), without=[c.split()[0] for c in ("value", *canon.PARSED.split(", ")) if c != "rule string"])
+    return parsed.groupBy(F.coalesce("rule", F.lit("valid")).alias("rule")).agg(F.count("*").alias("n"))
 
 
 @query("q50b_poison_failure_rows", """SELECT user_id AS position, CAST(count(*) AS BIGINT) AS attempt_count, CASE WHEN count(*) >= 5 THEN 'quarantined' ELSE 'retrying' END AS quarantine_status, count(*) >= 5 AS acknowledged,
@@ -183,7 +184,7 @@ r AS (SELECT j.tenant_no, j.event_id, CASE WHEN event_id % 33 = 0 AND event_id %
 
 def replay_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
     """What is stored, inbox rows and projections, and the retained history that is replayed onto it."""
-    rows = V.with_first_missing(V.log(spark, d))
+    rows = written(V.with_first_missing(V.log(spark, d)), "replay-log")
     tenant, item = F.concat(F.lit("tenant-"), F.col("tenant_no").cast("string")), F.col("item_id").cast("string")
     no = F.lit(None).cast("string")
 

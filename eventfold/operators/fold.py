@@ -1,8 +1,8 @@
 """The fold of delivered records into inbox states and the inventory and lineage projections.
 
 ``Group`` is the state of one group of aggregates and ``deliver`` its only transition. The batch fold gives each
-group its records in order of arrival; the streaming folds keep it as state (``streaming.raw`` by entries, ``fold_stream``
-pickled). All run the same code, so a stream ends where a batch does.
+group its records in order of arrival; the streaming fold keeps it as state (``streaming.raw``). Both run the same code, so a
+stream ends where a batch does.
 
 A group is an aggregate for inventory. Lineage hops have keys that are unique over a tenant; in a batch they need no
 group (``lineage``), as state they are one for a tenant and kind. Records with one event_id under several groups are
@@ -11,14 +11,14 @@ brought into one group first (``with_groups``).
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventfold.functions.stream import map_stream
 from eventfold.operators.lineage import fold_hops
 from eventfold.sources.tables import written
 
@@ -59,7 +59,7 @@ class Group:
             return
         self.inbox[r.event_id] = [disposition, r.content_hash]
         if disposition == "quarantined_gap" and r.aggregate_type == "inventory_item":
-            self.waiting[key, r.version] = [*(self.waiting.get((key, r.version)) or []), r]
+            self.waiting[key, r.version] = sorted([*(self.waiting.get((key, r.version)) or []), r], key=lambda held: held.seq)
 
     def _take(self, r: Record) -> None:
         for edge in self._edges(r):
@@ -151,17 +151,6 @@ class Group:
         return r.group, r.seq, r.event_id, disposition, r.tenant_id, r.aggregate_type, r.aggregate_id, quantity, r.version, r.parent_id, r.order_id, expected, r.version if expected is not None else None, True
 
 
-def _records(rows: pd.DataFrame) -> Iterator[Record]:
-    for row in rows.sort_values("seq", kind="stable").astype(object).where(rows.notna(), None).itertuples(index=False):
-        yield Record(*(int(x) if n in ("seq", "version", "before", "after") and x is not None else x for n, x in zip(Record._fields, row, strict=True)))
-
-
-def _frame(changes: list[tuple]) -> pd.DataFrame:
-    names = [c.split()[0] for c in CHANGES.split(", ")]
-    out = pd.DataFrame(changes, columns=names)
-    return out.astype(dict.fromkeys(("seq", "quantity", "version", "expected_version", "received_version"), "Int64"))
-
-
 def columns(rows: DataFrame) -> DataFrame:
     return rows.select(*(c.split()[0] for c in RECORD.split(", ")))
 
@@ -174,9 +163,9 @@ def with_groups(rows: DataFrame) -> DataFrame:
     hop = F.concat_ws("/", "tenant_id", "aggregate_type")
     own = F.when(F.col("aggregate_type") == "inventory_item", F.concat_ws("/", "tenant_id", "aggregate_type", "aggregate_id")).otherwise(hop)
     rows = rows.withColumn("group", own)
-    shared = rows.select("event_id", "group").distinct()
-    many = shared.groupBy("event_id").count().where("count > 1").select("event_id")
-    shared = written(shared.join(many, "event_id", "left_semi").withColumn("to", F.col("group")), "shared")
+    many = rows.groupBy("event_id").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("event_id")
+    many = written(many, "shared-ids")
+    shared = written(rows.select("event_id", "group").join(many, "event_id", "left_semi").distinct().withColumn("to", F.col("group")), "shared")
     changed = shared.limit(1).count()
     while changed:
         least = shared.groupBy("event_id").agg(F.min("to").alias("low"))
@@ -189,11 +178,15 @@ def with_groups(rows: DataFrame) -> DataFrame:
 
 
 def _by_group(rows: DataFrame) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        state = Group()
-        return _frame([c for r in _records(group) for c in state.deliver(r)])
+    """Each group's records as a stream in order of arrival: a task holds one group's state, and no frame of its records."""
+
+    def run(stream: Iterator[tuple]) -> Iterator[tuple]:
+        for _, own in groupby(stream, lambda r: r[0]):
+            group = Group()
+            for r in own:
+                yield from group.deliver(Record._make(r))
 
-    return rows.groupBy("group").applyInPandas(run, CHANGES)
+    return map_stream(columns(rows).repartition("group").sortWithinPartitions("group", "seq"), CHANGES, run)
 
 
 def fold(rows: DataFrame) -> DataFrame:
@@ -211,18 +204,6 @@ def fold(rows: DataFrame) -> DataFrame:
     return _by_group(columns(rows.join(ids, "event_id", "left_anti"))).unionByName(changes)
 
 
-def fold_stream(rows: DataFrame) -> DataFrame:
-    """The same for a stream: a group's state goes from batch to batch; it never expires, as gaps may close at any time."""
-
-    def run(key, frames, state):
-        group = pickle.loads(state.get[0]) if state.exists else Group()
-        changes = [c for r in _records(pd.concat(list(frames))) for c in group.deliver(r)]
-        state.update((pickle.dumps(group),))
-        yield _frame(changes)
-
-    return columns(rows).groupBy("group").applyInPandasWithState(run, CHANGES, "state binary", "append", "NoTimeout")
-
-
 def inbox(changes: DataFrame) -> DataFrame:
     """Each event's last state."""
     last = F.max_by(F.struct("disposition", "expected_version", "received_version"), F.struct("seq", F.when(F.col("disposition") == "quarantined_gap", 0).otherwise(1)))

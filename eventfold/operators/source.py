@@ -10,7 +10,6 @@ import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,16 +191,19 @@ def replay_onto(state: DataFrame, history: DataFrame) -> DataFrame:
     ``projection``, its quantity in ``after`` and its version.
     """
 
-    def run(kept: pd.DataFrame, records: pd.DataFrame) -> pd.DataFrame:
-        group = R.Group()
-        for r, disposition in zip(R._records(kept.drop(columns="disposition")), kept.sort_values("seq", kind="stable")["disposition"], strict=True):
-            group.load(r, disposition)
-        results = [(r.group, r.seq, r.event_id, next(iter(list(group.deliver(r))))[3]) for r in R._records(records)]
-        return pd.DataFrame(results, columns=["group", "seq", "event_id", "disposition"])
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for _, own in groupby(rows, lambda r: r[0]):
+            group = R.Group()
+            for *record, disposition, fresh in own:
+                r = R.Record._make(record)
+                if not fresh:
+                    group.load(r, disposition)
+                else:
+                    yield r.group, r.seq, r.event_id, list(group.deliver(r))[0][3]
 
     names = [c.split()[0] for c in STATE.split(", ")]
-    fresh = R.columns(history).select(*(F.col(c).alias(c) for c in R.Record._fields))  # both sides may come from one table
-    return state.select(*names).groupBy("group").cogroup(fresh.groupBy("group")).applyInPandas(run, RESULTS)
+    both = state.select(*names, F.lit(False).alias("_fresh")).unionByName(R.columns(history).select("*", F.lit(None).cast("string").alias("disposition"), F.lit(True).alias("_fresh")))
+    return map_stream(both.repartition("group").sortWithinPartitions("group", "_fresh", "seq"), RESULTS, run)
 
 
 def replay_counts(results: DataFrame, *by: str) -> DataFrame:

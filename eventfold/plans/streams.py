@@ -14,17 +14,16 @@ from eventfold.plans.projection import WITH
 from eventfold.plans.registry import query
 from eventfold.sources.tables import scratch, table, written
 from eventfold.streaming import raw as W
-from eventfold.streaming.log import read_log, run_fold
+from eventfold.streaming.log import read_log
 from eventfold.streaming.store import Feed, PredictionStore
 
 
 def delivered(spark, d: str) -> DataFrame:
     """The records in order of arrival: all base events, then the repeated ones, then those with other content."""
     rows = V.log(spark, d).where(f"NOT ({V.DROPPED})")
-    parts = []
-    for phase, test, off in ((0, "true", 0), (1, V.REPEATED, 0), (2, V.CONFLICT, 1)):
-        parts.append(rows.where(test).select(F.lit(phase).alias("phase"), "*", (F.col("after_qty") - off).alias("after"), (F.col("dec") + off).alias("asked")))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    phases = [F.when(F.expr(test), F.struct(F.lit(phase).alias("phase"), F.lit(off).alias("off"))) for phase, test, off in ((0, "true", 0), (1, V.REPEATED, 0), (2, V.CONFLICT, 1))]
+    rows = rows.select("*", F.explode(F.array_compact(F.array(*phases))).alias("x"))
+    rows = rows.select("*", "x.phase", (F.col("after_qty") - F.col("x.off")).alias("after"), (F.col("dec") + F.col("x.off")).alias("asked"))
     tenant, item = F.concat(F.lit("tenant-"), F.col("tenant_no").cast("string")), F.col("item_id").cast("string")
     return rows.select(
         F.concat_ws("/", tenant, F.lit("inventory_item"), item).alias("group"), (F.col("phase") * 10**12 + F.col("version")).cast("long").alias("seq"), F.lit(None).cast("string").alias("log_key"), F.col("event_id").cast("string").alias("event_id"),
@@ -49,11 +48,12 @@ def q01b(spark, d):
 @query("q49_stream_equals_batch_projection", PROJECTION)
 def q49(spark, d):
     """The records written as a log of three phases, streamed through the stateful fold some files at a time."""
+    W.with_rocksdb(spark)
     top, rows = scratch(spark, "stream"), written(delivered(spark, d), "delivered")
     for phase in range(3):
-        rows.where(F.col("phase") == phase).drop("phase").repartition(4, "group").write.mode("append").parquet(f"{top}/log")
-    changes = run_fold(read_log(spark, f"{top}/log", R.RECORD, files=4), f"{top}/changes", f"{top}/checkpoint")
-    return R.inventory(changes)
+        W.placed(rows.where(F.col("phase") == phase)).repartition(W.FILES, "group").write.mode("append").parquet(f"{top}/log")
+    log = read_log(spark, f"{top}/log", W.INPUT, files=W.FILES)
+    return R.inventory(W.run(W.results(log), W.RESULTS, f"{top}/changes", f"{top}/checkpoint"))
 
 
 def streamed(spark, d: str, fails: str | None = None) -> DataFrame:
@@ -63,8 +63,8 @@ def streamed(spark, d: str, fails: str | None = None) -> DataFrame:
     top, rows = scratch(spark, "raw-stream"), written(raw_log(spark, d), "raw-log")
     arrivals = F.when(F.expr(fails), F.lit("handler")) if fails else None
     for phase, test in enumerate(("arrival < 1000000000000", "arrival >= 1000000000000")):
-        rows.where(test).repartition(4, "key").write.mode("append").parquet(f"{top}/log")
-        log = read_log(spark, f"{top}/log", rows.schema, files=2 + 2 * phase)
+        rows.where(test).repartition(2 * W.FILES if phase == 0 else W.FILES, "key").write.mode("append").parquet(f"{top}/log")
+        log = read_log(spark, f"{top}/log", rows.schema, files=W.FILES)
         found = W.run(W.results(W.prepared(log, F.col("arrival"), arrivals)), W.RESULTS, f"{top}/results", f"{top}/checkpoint")
     return found
 
@@ -87,7 +87,7 @@ def q02c(spark, d):
     top = scratch(spark, "commits")
     found = streamed(spark, d, "offset % 61 = 0")
     path = found.inputFiles()[0].rsplit("/", 1)[0]
-    told = W.run(W.commits(spark.readStream.schema(W.RESULTS).option("maxFilesPerTrigger", 8).parquet(path)), W.COMMITS, f"{top}/commits", f"{top}/checkpoint")
+    told = W.run(W.commits(read_log(spark, path, W.RESULTS, files=8 * W.FILES)), W.COMMITS, f"{top}/commits", f"{top}/checkpoint")
     return W.committed(told).select("partition", "committed", "open")
 
 
@@ -96,11 +96,8 @@ def q59c(spark, d):
     """The retained history as a stream that starts from the stored inbox and projection."""
     W.with_rocksdb(spark)
     top, (state, history) = scratch(spark, "replay-stream"), replay_inputs(spark, d)
-    nothing = lambda kind: F.lit(None).cast(kind)
-    places = {"topic": F.lit("history"), "partition": F.lit(1), "offset": F.col("seq")}
-    columns = [places[n].alias(n) if n in places else F.col(n) if n in history.columns else nothing(k).alias(n) for n, k in (c.split() for c in W.INPUT.split(", "))]
-    history.select(*columns).repartition(4, "group").write.parquet(f"{top}/log")
-    rows = W.results(read_log(spark, f"{top}/log", W.INPUT, files=4), state)
+    W.placed(history).repartition(W.FILES, "group").write.parquet(f"{top}/log")
+    rows = W.results(read_log(spark, f"{top}/log", W.INPUT, files=W.FILES), state)
     return W.run(rows, W.RESULTS, f"{top}/results", f"{top}/checkpoint").where("offset IS NOT NULL").select("event_id", "disposition")
 
 

@@ -1,23 +1,10 @@
-"""The log as a stream: files in order, folded with state, to an append-only change-log."""
+"""The log as a stream: files in order."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventfold.operators.fold import CHANGES, fold_stream
-
 
 def read_log(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
     """A folder of log files as a stream, some files a batch; offsets advance when a batch has been committed."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
-
-
-def run_fold(rows: DataFrame, to: str, checkpoint: str) -> DataFrame:
-    """Folds all that the stream holds now into the change-log at ``to``, which the file sink writes exactly once per
-    batch, and returns it. Called again with the same checkpoint it goes on where it ended."""
-    started = fold_stream(rows).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(to)
-    try:
-        started.awaitTermination()
-    finally:
-        started.stop()
-    return rows.sparkSession.read.schema(CHANGES).parquet(to)

@@ -149,3 +149,76 @@ def test_forecast_source_of_odd_tenants(spark):
     assert found["w"]["status_reasons"] == ["incomplete:projection item missing retained history z"] and found["w"]["max_recorded_at"] is None
     told = reads.checkpoint_probe({"outbox": rows.select("tenant_id", "event_id", F.col("status").alias("state")), "inbox": inbox.select("tenant_id", "event_id", F.col("disposition").alias("state"))})
     assert {r["event_id"]: (r["outbox"], r["inbox"], r["n_stores"]) for r in told.collect()}["a"] == ("published", "applied", 2)
+
+
+class Held:
+    """A map of the state store, as its client gives it."""
+
+    def __init__(self):
+        self.held, self.trips = {}, 0
+
+    def getValue(self, key):  # noqa: N802
+        self.trips += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.trips += 1
+        self.held[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.held[key]
+
+    def keys(self):
+        return iter(list(self.held))
+
+
+def test_state_is_met_in_chunks_and_not_by_entries():
+    state, want = Held(), {}
+    for batch in range(40):
+        chunks = W.Chunks(state)
+        inbox = W.Entries(chunks, "inbox")
+        before, state.trips = state.trips, 0
+        for k in range(batch * 50, batch * 50 + 50):
+            want[f"e{k}"] = inbox[f"e{k}"] = ["applied", str(k)]
+        if batch:
+            del inbox[f"e{batch}"]
+            want.pop(f"e{batch}")
+        chunks.write_back()
+        assert batch > 0 or state.trips <= 2
+    chunks = W.Chunks(state)
+    assert {k: W.Entries(chunks, "inbox").get(k) for k in map("e{}".format, range(2000)) if W.Entries(chunks, "inbox").get(k)} == want
+    assert chunks.size == len(want) and chunks.parts == 32 and len(state.held) == 32
+    assert max(len(x[0]) for x in state.held.values()) < sum(len(x[0]) for x in state.held.values()) / 8
+
+
+def test_commits_take_a_batch_in_any_order():
+    class End:
+        def exists(self):
+            return False
+
+        def update(self, value):
+            self.value = value
+
+    own = W.CommitProcessor()
+    own.open, own.end = Held(), End()
+    rows = [{"offset": 4, "attempt_count": n, "acknowledged": n == 5} for n in (5, 3, 1, 4, 2)] + [{"offset": 6, "attempt_count": 1, "acknowledged": False}, {"offset": 9, "attempt_count": None, "acknowledged": True}]
+    (told,) = own.handleInputRows(("events", 0), iter(rows), None)
+    assert (told["committed"], told["open"], told["seen"]) == (6, 1, 9) and list(own.open.held) == [(6,)]
+
+
+@pytest.mark.parametrize("change", [
+    lambda t: t.replace('"trace_id":"t"', '"trace_id":"t","trace_id":"t"'), lambda t: t.replace('"trace_id":"t"', '"trace_id":"t","x":1'), lambda t: t.replace(':1,"occurred', ':-0,"occurred'), lambda t: t.replace(':1,"occurred', ':true,"occurred'), lambda t: t + " ", lambda t: t + "{}",
+    lambda t: t.replace('"trace_id":"t"', '"trace_id":"\\u0074"'), lambda t: t.replace('"trace_id":"t"', '"trace_id":"\\ud800"'), lambda t: t.replace(':1,"occurred', ':9007199254740992,"occurred'), lambda t: t.replace(':1,"occurred', ':1.0,"occurred'),
+])
+def test_the_short_way_accepts_only_what_the_strict_parser_does(change):
+    text = json.dumps(event(11, "flour", 1, 9), separators=(",", ":"))
+    assert canon._compact(text.encode()) == (json.loads(text), canon.canonical(json.loads(text)))
+    assert canon._compact(change(text).encode()) is None or canon.decode(change(text).encode())
+
+
+def test_groups_are_folded_as_streams(spark):
+    rows = spark.createDataFrame([(f"g{k}", 1, None, f"e{k}", "t", "inventory_item", f"i{k}", 1, 9, 8, None, None, "h") for k in range(3)], R.RECORD)
+    plan = lambda df: df._jdf.queryExecution().toString()
+    state = rows.selectExpr("*", "'applied' AS disposition")
+    assert "InPandas" not in plan(R.fold(rows)) + plan(S.replay_onto(state, rows))
+    assert sorted(r["disposition"] for r in S.replay_onto(state.where("group = 'g0'"), rows).collect()) == ["applied", "applied", "duplicate_noop"]

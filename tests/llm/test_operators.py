@@ -885,3 +885,28 @@ def test_a_stated_look_back_is_not_trusted(at):
     assert o3.locate(summing, turns).rewrites == 1
     assert "".join(x[0] for x in o3.pieces(o3.Template(summing), turns)) == summing(turns)
     assert len(list(o3.pieces(o3.INSTRUCT, turns))) == 40
+
+
+@pytest.mark.parametrize("at", [3, 5, 6, 7, 30])
+def test_every_prefix_is_looked_at(at):
+    """A template that differs at one length alone, which is no power of two and not the last, is refused."""
+    turns = [("assistant" if k % 2 else "user", f"t{k}") for k in range(40)]
+    once = lambda t: ("sum " if len(t) == at else "") + o3.render(t)
+    with pytest.raises(ValueError, match="look|rewrites"):
+        list(o3.pieces(o3.Template(once, 1), turns))
+
+
+def test_a_template_made_turn_by_turn():
+    said = o3.Turnwise(lambda before, turn: f"{before[-1][0] if before else 'start'}>{turn[0]}: {turn[1]};", 1)
+    turns = [("user", "a"), ("assistant", "b;"), ("user", "")]
+    found = list(o3.pieces(said, turns))
+    assert "".join(x[0] for x in found) == "start>user: a;user>assistant: b;;assistant>user: ;" and [t[a:b] for t, a, b in found] == [t for _, t in turns]
+    with pytest.raises(ValueError, match="template"):
+        list(o3.pieces(o3.Turnwise(lambda _, turn: turn[1] * 2), turns))
+
+
+def test_pieces_are_cut_in_arrow(spark):
+    rows = [("One\t two  , THREE\x0b\u00a0four \u00c9\tx", None), (None, "de"), (" \t.;", "de"), ("a\tb. a  b! A b", "de"), ("", "und"), ("one two", "und")]
+    found = o12.pieces(spark.createDataFrame(rows, "text string, lang string"))
+    assert sorted(map(tuple, found.collect())) == [("de", "a b", 3, 2), ("und", "one two", 2, 2), ("und", "three", 1, 1), ("und", "\u00a0four \u00c9 x", 1, 3)]
+    assert "regexp_replace" not in found._jdf.queryExecution().toString()

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventfold.llm.common import Written, join_groups, mixed, table
+from eventfold.llm.common import Written, join_groups, mixed, slices, table
 
 LEAST, LONGEST, TOP, COVERED = 10, 3, 2000, 50
 #: Memory of one bucket's duckdb, and n-grams in a bucket, about.
@@ -52,10 +52,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def pieces(docs: DataFrame) -> DataFrame:
     """lang, piece, rows and words: the distinct pieces with their multiplicities and numbers of words."""
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    every = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, r"[.,;:!?\n\x0B\f\r]")).alias("piece"))
-    words = F.trim(F.regexp_replace("piece", r"[ \t]+", " "))  # trims blanks alone
-    found = every.select("lang", words.alias("piece")).where("piece <> ''").groupBy("lang", "piece").agg(F.count("*").alias("rows"))
+
+    def cut(batches) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            split = pc.split_pattern_regex(pc.ascii_lower(b.column("text")), r"[.,;:!?\n\x0B\f\r]")
+            piece = pc.utf8_trim(pc.replace_substring_regex(split.flatten(), r"[ \t]+", " "), " ")
+            lang = b.column("lang").take(pc.list_parent_indices(split))
+            yield pa.RecordBatch.from_arrays([lang, piece], ["lang", "piece"]).filter(pc.not_equal(piece, ""))
+
+    every = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, "lang string, piece string")
+    found = every.groupBy("lang", "piece").agg(F.count("*").alias("rows"))
     return found.withColumn("words", F.length("piece") - F.length(F.replace("piece", F.lit(" "), F.lit(""))) + F.lit(1))
 
 

@@ -50,7 +50,7 @@ LEAF = 8
 #: Nodes in one row of a list.
 ROW_NODES = 1 << 16
 #: Marks that one task takes, about.
-TASK_MARKS = 1 << 21
+TASK_MARKS = 1 << 20
 _LIMIT = np.uint64(int(MARKED * 2**64))
 
 

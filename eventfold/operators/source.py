@@ -194,10 +194,10 @@ def replay_onto(state: DataFrame, history: DataFrame) -> DataFrame:
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for _, own in groupby(rows, lambda r: r[0]):
             group = R.Group()
-            for *record, disposition, fresh in own:
-                r = R.Record._make(record)
-                if not fresh:
-                    group.load(r, disposition)
+            for row in own:
+                r = R.Record._make(row[:-2])
+                if not row[-1]:
+                    group.load(r, row[-2])
                 else:
                     yield r.group, r.seq, r.event_id, list(group.deliver(r))[0][3]
 

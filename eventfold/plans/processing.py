@@ -184,7 +184,8 @@ r AS (SELECT j.tenant_no, j.event_id, CASE WHEN event_id % 33 = 0 AND event_id %
 
 def replay_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
     """What is stored, inbox rows and projections, and the retained history that is replayed onto it."""
-    rows = written(V.with_first_missing(V.log(spark, d)), "replay-log")
+    rows = V.with_first_missing(V.log(spark, d)).withColumn("_last", F.max(F.expr("CASE WHEN m IS NULL OR version < m THEN version END")).over(Window.partitionBy("item_id")))
+    rows = written(rows.drop("event_type", "ts"), "replay-log")
     tenant, item = F.concat(F.lit("tenant-"), F.col("tenant_no").cast("string")), F.col("item_id").cast("string")
     no = F.lit(None).cast("string")
 
@@ -194,8 +195,7 @@ def replay_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
 
     conflict = F.expr(V.CONFLICT)  # the inbox keeps the first content's hash, the retained record has it too
     inbox = record(V.dispositions(rows), F.when(conflict, "quarantined_conflict").otherwise(F.col("disposition")).alias("disposition"))
-    applied = rows.where("m IS NULL OR version < m").withColumn("_last", F.max("version").over(Window.partitionBy("item_id")))
-    last = record(applied.where("version = _last"), F.lit("projection").alias("disposition"))
+    last = record(rows.where("version = _last"), F.lit("projection").alias("disposition"))
     return inbox.unionByName(last), record(rows)
 
 

@@ -1,4 +1,4 @@
-"""Rows of streams as plain values."""
+"""Rows of streams as plain values, and the replay's stored state, which is read and not windowed again."""
 
 import datetime
 import math
@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventfold.functions.stream import map_stream, values_of
+from eventfold.plans.processing import replay_inputs
 
 COLUMNS = [
     pa.array(["a", None, "é\0", ""]), pa.array([b"a", None, b"\xff", b""]), pa.array([2**62 + 1, None, -(2**63), 0], "int64"), pa.array([1, 2, 3, 4], "int32"), pa.array([True, None, False, True]), pa.array([True, False, False, True]),
@@ -43,3 +44,11 @@ def _codes(code):
         if hasattr(c, "co_names"):
             yield c
             yield from _codes(c)
+
+
+def test_stored_state_is_read_without_a_window(spark):
+    state, history = replay_inputs(spark, "/root/testdata/sf0.001")
+    for rows in (state, history):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Exchange" not in plan
+    assert state.where("disposition = 'projection'").groupBy("group").count().where("count > 1").count() == 0

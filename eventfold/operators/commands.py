@@ -4,8 +4,8 @@ Five kinds: supplier, ingredient_lot, production_batch and shipment, each under
 taken in the order of ``seq``, those that are accepted change what later ones meet. That order is not a task's loop over
 all of them. Kinds depend on one another in one direction only, so they are done level by level: a level is a join with
 the level above, of which only what was accepted earlier counts, and then the greedy choice under unique keys
-(``lineage.winners``: a parent, an id and an order are taken once). Orders of an item take stock in a stream over (item, seq)
-that holds one number; as an order_id is taken once over all items, its streams are repeated until what was accepted
+(``lineage.won``: a parent, an id and an order are taken once). Orders that can't be accepted whatever came before are told
+apart by columns; the others of an item take stock in a stream over (item, seq) that holds one number; as an order_id is taken once over all items, its streams are repeated until what was accepted
 does not change, which the earliest difference bounds.
 
 Commands: seq (no two alike), kind, tenant_id, entity_id, parent_id, item_id, order_id, quantity, event_id, causation_id.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventfold.functions.stream import map_stream
-from eventfold.operators.lineage import winners
+from eventfold.operators.lineage import won
 from eventfold.sources.tables import written
 
 LEVELS = ("supplier", "ingredient_lot", "production_batch", "shipment")
@@ -34,8 +34,7 @@ LARGEST = 2**53 - 1
 
 def _named(rows: DataFrame, kind: str) -> DataFrame:
     """Rows of sources as the greedy choice takes them: a row is known by its place."""
-    own = ["tenant_id", F.lit(kind).alias("aggregate_type"), F.col("entity_id").alias("aggregate_id"), "parent_id", "order_id"]
-    return rows.select(*own, F.col("seq").cast("string").alias("event_id"), "seq")
+    return rows.select("tenant_id", F.lit(kind).alias("aggregate_type"), F.col("entity_id").alias("aggregate_id"), "parent_id", "order_id", "seq")
 
 
 def accept_sources(commands: DataFrame, stored: DataFrame, stock: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,8 +56,8 @@ def accept_sources(commands: DataFrame, stored: DataFrame, stock: DataFrame) ->
             problem = F.when(~there, UNKNOWN).when(no_item, NO_ITEM).when(~F.col("causation_id").eqNullSafe(F.col("_cause")), INVALID)
         rows = written(rows.withColumn("_problem", problem).select(*commands.columns, "_problem"), kind)
         sound = rows.where("_problem IS NULL")
-        won = winners(_named(sound, kind), _named(held, kind)).select("seq", F.lit(True).alias("_won"))
-        rows = written(rows.join(won, "seq", "left").withColumn("outcome", F.coalesce("_problem", F.when(F.col("_won"), ACCEPTED), F.lit(DUPLICATE))), f"{kind}-done")
+        first = won(_named(sound, kind), _named(held, kind)).withColumn("_won", F.lit(True))
+        rows = written(rows.join(first, "seq", "left").withColumn("outcome", F.coalesce("_problem", F.when(F.col("_won"), ACCEPTED), F.lit(DUPLICATE))), f"{kind}-done")
         outcomes.append(rows.select("seq", "outcome"))
         names = ["tenant_id", "entity_id", "parent_id", "order_id", "event_id", "seq"]
         above = held.select(*names).unionByName(rows.where(F.col("outcome") == ACCEPTED).select(*names))
@@ -81,34 +80,33 @@ def accept_orders(orders: DataFrame, shipments: DataFrame, stock: DataFrame, tak
         rows = rows.join(taken.select("order_id").distinct().withColumn("_taken", F.lit(True)), "order_id", "left")
     else:
         rows = rows.withColumn("_taken", F.lit(None).cast("boolean"))
-    names = ("tenant_id", "item_id", "seq", "order_id", "quantity", "quantity_on_hand", "aggregate_version", "_sound", "_taken")
-    rows = written(rows.select(*names), "orders")
-    won, found, changed = None, None, 1
+    names = ("tenant_id", "item_id", "seq", "order_id", "quantity", "quantity_on_hand", "aggregate_version", "_taken")
+    wrong = F.col("quantity").isNull() | ~F.col("quantity").between(1, LARGEST)
+    never = (F.col("quantity") > F.col("quantity_on_hand")) | (F.col("aggregate_version") >= LARGEST) | ~F.col("_sound")  # stock only falls
+    settled = F.when(wrong, QUANTITY).when(F.col("quantity_on_hand").isNull(), NO_ITEM).when(never, INVALID)
+    rows = written(rows.select(*names, settled.alias("outcome")), "orders")
+    ended, rows = rows.where("outcome IS NOT NULL").select("seq", "outcome"), rows.where("outcome IS NULL").select(*names)
+    first, found, changed = None, None, 1
     while changed:
-        said = rows.withColumn("_first", F.lit(None).cast("long")) if won is None else rows.join(won, "order_id", "left")
+        said = rows.withColumn("_first", F.lit(None).cast("long")) if first is None else rows.join(first, "order_id", "left")
         dealt = said.select(*names, "_first").repartition("tenant_id", "item_id").sortWithinPartitions("tenant_id", "item_id", "seq")
         found = written(map_stream(dealt, "seq long, order_id string, outcome string, quantity_before long, quantity_after long, aggregate_version long", _take), "orders-taken")
+        if first is None and not rows.groupBy("order_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+            break
         now = found.where(F.col("outcome") == ACCEPTED).groupBy("order_id").agg(F.min("seq").alias("_first"))
-        if won is None:
-            changed = rows.groupBy("order_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        else:
-            changed = now.join(won.withColumnRenamed("_first", "_was"), "order_id", "full_outer").where("NOT (_first <=> _was)").limit(1).count()
-        won = now
-    return found.drop("order_id")
+        changed = first is None or now.join(first.withColumnRenamed("_first", "_was"), "order_id", "full_outer").where("NOT (_first <=> _was)").limit(1).count()
+        first = now
+    return ended.unionByName(found.drop("order_id"), allowMissingColumns=True).select("seq", "outcome", "quantity_before", "quantity_after", "aggregate_version")
 
 
 def _take(rows: Iterator[tuple]) -> Iterator[tuple]:
     """An item's orders in sequence against its stock; one that is rejected takes nothing."""
     for _, own in groupby(rows, lambda r: r[:2]):
         left = version = None
-        for _, _, seq, order, quantity, on_hand, start, sound, taken, first in own:
+        for _, _, seq, order, quantity, on_hand, start, taken, first in own:
             if left is None:
                 left, version = on_hand, start
-            if quantity is None or not 1 <= quantity <= LARGEST:
-                outcome = QUANTITY
-            elif on_hand is None:
-                outcome = NO_ITEM
-            elif left < quantity or version >= LARGEST or not sound:
+            if left < quantity or version >= LARGEST:
                 outcome = INVALID
             elif taken or first is not None and first < seq:
                 outcome = DUPLICATE_ORDER

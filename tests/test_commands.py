@@ -88,3 +88,18 @@ def test_an_order_id_passes_to_the_next_command_if_the_first_is_rejected(spark):
     nothing = spark.createDataFrame([], "kind string, tenant_id string, entity_id string, parent_id string, order_id string, event_id string")
     found = {x["seq"]: x["outcome"] for x in C.accept(spark.createDataFrame(rows, COMMANDS), nothing, stock).collect()}
     assert found == {1: C.INVALID, 2: C.ACCEPTED, 3: C.INVALID, 4: C.ACCEPTED, 5: C.DUPLICATE_ORDER}
+
+
+def test_only_orders_that_stock_decides_are_taken_in_sequence(spark, monkeypatch):
+    """Wrong quantities, unknown items, wrong causes and more than the whole stock need no stream."""
+    streamed = []
+    through = C.map_stream
+    monkeypatch.setattr(C, "map_stream", lambda df, *more: streamed.append(sorted(r["seq"] for r in df.collect())) or through(df, *more))
+    order = lambda seq, item, quantity, cause=None: (seq, "order", "t", None, None, item, f"o{seq}", quantity, f"e{seq}", cause)
+    rows = [order(1, "a", 0), order(2, "a", None), order(3, "none", 1), order(4, "a", 1, "x"), order(5, "a", 4), order(6, "a", 2), order(7, "a", 2), order(8, "a", 1), order(9, "full", 1), order(10, "a", 2**53)]
+    stock = spark.createDataFrame([("t", "a", 3, 0), ("t", "full", 3, C.LARGEST)], "tenant_id string, item_id string, quantity_on_hand long, aggregate_version long")
+    nothing = spark.createDataFrame([], "kind string, tenant_id string, entity_id string, parent_id string, order_id string, event_id string")
+    found = {x["seq"]: (x["outcome"], x["quantity_before"], x["quantity_after"], x["aggregate_version"]) for x in C.accept(spark.createDataFrame(rows, COMMANDS), nothing, stock).collect()}
+    no = lambda outcome: (outcome, None, None, None)
+    want = {1: no(C.QUANTITY), 2: no(C.QUANTITY), 3: no(C.NO_ITEM), 4: no(C.INVALID), 5: no(C.INVALID), 6: (C.ACCEPTED, 3, 1, 1), 7: no(C.INVALID), 8: (C.ACCEPTED, 1, 0, 2), 9: no(C.INVALID), 10: no(C.QUANTITY)}
+    assert found == want and streamed == [[6, 7, 8]]

@@ -7,7 +7,7 @@ link when 100 * |A and B| >= 75 * |A or B|; the result is each document's compon
    whose hash lies in the lowest ``MARKED`` of the hash range.
 2. Prefix filter: sets of Jaccard 0.75 share one of their first |A| - ceil(0.75 |A|) + 1 shingles in any
    common order. The order is by frequency among the marks, so passages that many documents share come
-   last. A mark of one node alone can lead nowhere and is dropped as soon as marks meet by hash. What is left
+   last. A mark of one node alone can lead nowhere and is dropped as soon as marks meet by hash, before any are written. What is left
    are short lists of nodes with a common mark. Marks travel as packed arrays, a few rows per task.
 3. Families (``near``): all lists of one pivot, the node that is in most lists, are one family, its distinct nodes, so
    that copies of a long text, which share hundreds of lists, meet once and not in each of them.
@@ -51,6 +51,8 @@ LEAF = 8
 ROW_NODES = 1 << 16
 #: Marks that one task takes, about.
 TASK_MARKS = 1 << 20
+#: Bytes of text for a shingle, at least, as a rule: tasks are counted by it.
+WORD_BYTES = 5.5
 _LIMIT = np.uint64(int(MARKED * 2**64))
 
 
@@ -158,15 +160,30 @@ def describe(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "doc_id long, n long, key binary, node long, marks binary", start)
 
 
+MET = "kind int, bucket int, a binary, b binary, c binary, doc_id long, n long, key binary, node long"
+
+
+def tasks_for(docs: DataFrame) -> int:
+    """So many tasks that one takes about ``TASK_MARKS`` marks, by the texts' bytes."""
+    return 1 + int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * MARKED / WORD_BYTES) // TASK_MARKS
+
+
 def common_lists(described: DataFrame) -> DataFrame:
     """Lists (list, nodes) of nodes that share a mark of their prefixes, equal ones once. A long one has several rows; two
     of one name only add candidates."""
     total = described.agg(F.sum(F.octet_length("marks")) / 8).first()[0] or 0
     tasks = 1 + int(total) // TASK_MARKS
+    return met_lists(met_marks(described, tasks), tasks)
+
+
+def met_marks(described: DataFrame, tasks: int) -> DataFrame:
+    """Rows of ``MET``. Kind 0: packed marks that several nodes have, by node; kind 1: nodes' sizes; kind 2: a document's
+    doc_id, n, key and node, which come along so that the marks of all texts are never written, only shuffled."""
     parts = 4 * tasks
 
     def deal(rows: Iterator[tuple]) -> Iterator[tuple]:
         """Marks with their nodes, by hash; sizes, by node. A node's copies in a task are dealt once."""
+        none = (None, None, None, None)
         seen: set[int] = set()
         hashes, nodes, sizes, held = [], [], [], 0
         last = object()
@@ -176,14 +193,15 @@ def common_lists(described: DataFrame) -> DataFrame:
                 if hashes:
                     h, v = np.concatenate(hashes), np.repeat(np.array([s[0] for s in sizes], "i8"), [len(x) for x in hashes])
                     for k, *columns in _packed(h, parts, h, v):
-                        yield 0, k, *columns
+                        yield 0, k, *columns, *none
                     s = np.array(sizes, "i8")
                     for k, *columns in _packed(s[:, 0].astype("u8"), parts, s[:, 0].copy(), s[:, 1].copy(), s[:, 2].copy()):
-                        yield 1, k, columns[0], columns[1] + columns[2]
+                        yield 1, k, columns[0], columns[1] + columns[2], *none
                 hashes, sizes, held = [], [], 0
             if row is last:
                 return
-            n, node, marks = row
+            doc, n, key, node, marks = row
+            yield 2, hash((doc, node)) % parts, None, None, doc, n, key, node
             if n and node not in seen:
                 if len(seen) > TASK_MARKS:
                     seen.clear()
@@ -194,10 +212,10 @@ def common_lists(described: DataFrame) -> DataFrame:
 
     def meet(rows: Iterator[tuple]) -> Iterator[tuple]:
         """Marks of two nodes or more, with their number of nodes, dealt by node; sizes pass through."""
-        held = []
-        for kind, bucket, a, b in rows:
+        held, none = [], (None, None, None, None)
+        for kind, bucket, a, b, *doc in rows:
             if kind:
-                yield 1, bucket, a, b, b""
+                yield kind, bucket, a, b, b"" if kind == 1 else None, *doc
             else:
                 held.append((a, b))
         if not held:
@@ -212,7 +230,16 @@ def common_lists(described: DataFrame) -> DataFrame:
         keep = often > 1
         h, v, often = h[keep], v[keep], often[keep].astype("i8")
         for k, *columns in _packed(v.astype("u8"), parts, v, h, often):
-            yield 0, k, *columns
+            yield 0, k, *columns, *none
+
+    kinds = "kind int, bucket int, a binary, b binary, doc_id long, n long, key binary, node long"
+    dealt = map_stream(described.select("doc_id", "n", "key", "node", "marks"), kinds, deal, rows=64)
+    return map_stream(dealt.repartition(tasks, "bucket"), MET, meet, rows=64)
+
+
+def met_lists(met: DataFrame, tasks: int) -> DataFrame:
+    """The lists of ``met_marks``."""
+    parts = 4 * tasks
 
     def cut(rows: Iterator[tuple]) -> Iterator[tuple]:
         """Each node's marks that lie within its prefix, dealt by hash again."""
@@ -252,8 +279,7 @@ def common_lists(described: DataFrame) -> DataFrame:
                 for k in range(a, b, ROW_NODES):
                     yield name, v[k : min(k + ROW_NODES, b)].tolist()
 
-    dealt = map_stream(described.select("n", "node", "marks"), "kind int, bucket int, a binary, b binary", deal, rows=64)
-    met = map_stream(dealt.repartition(tasks, "bucket"), "kind int, bucket int, a binary, b binary, c binary", meet, rows=64)
+    met = met.where("kind < 2").select("kind", "bucket", "a", "b", "c")
     cut_ = map_stream(met.repartition(tasks, "bucket"), "bucket int, a binary, b binary", cut, rows=64)
     return map_stream(cut_.repartition(tasks, "bucket"), "list long, nodes array<long>", lists, rows=500).distinct()
 
@@ -261,10 +287,11 @@ def common_lists(described: DataFrame) -> DataFrame:
 def join_copies(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     written = Written(docs.sparkSession, "jaccard")
-    described = written.put(describe(docs), "described")
-    lists = written.put(common_lists(described), "lists")
-    ids = written.put(described.drop("marks"), "ids")
-    written.drop("described")
+    tasks = tasks_for(docs)
+    met = written.put(met_marks(describe(docs), tasks), "met")
+    ids = written.put(met.where("kind = 2").select("doc_id", "n", "key", "node"), "ids")
+    lists = written.put(met_lists(met, tasks), "lists")
+    written.drop("met")
     members = written.put(families(lists.select("list", F.explode("nodes").alias("node")).distinct()), "families")
     written.drop("lists")
     sets = written.put(candidate_sets(docs, ids, members, WIDTH), "sets")

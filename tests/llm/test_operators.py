@@ -910,3 +910,19 @@ def test_pieces_are_cut_in_arrow(spark):
     found = o12.pieces(spark.createDataFrame(rows, "text string, lang string"))
     assert sorted(map(tuple, found.collect())) == [("de", "a b", 3, 2), ("und", "one two", 2, 2), ("und", "three", 1, 1), ("und", "\u00a0four \u00c9 x", 1, 3)]
     assert "regexp_replace" not in found._jdf.queryExecution().toString()
+
+
+def test_jaccard_join_never_writes_the_marks_of_all_texts(spark, monkeypatch):
+    """Marks are shuffled from the texts; what is written has those that several nodes share, and a row a document."""
+    made, put = [], o9.Written.put
+    monkeypatch.setattr(o9.Written, "put", lambda self, df, name: made.append((name, put(self, df, name))) or made[-1][1])
+    monkeypatch.setattr(o9.Written, "drop", lambda self, *names: None)
+    word = lambda d: " ".join(f"w{d}x{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, word(1)), (2, word(1) + " more"), (3, word(3)), (None, word(3)), (5, None)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in o9.join_copies(docs).collect()}
+    assert found == {1: (56, 1), 2: (57, 1), 3: (56, 3), None: (56, 3), 5: (0, 5)}
+    tables = dict(made)
+    assert all("marks" not in t.columns for t in tables.values())
+    met = tables["met"]
+    assert met.where("kind = 2").count() == 5
+    assert met.where("kind = 0").selectExpr("sum(octet_length(a)) / 8").first()[0] <= 2 * 56

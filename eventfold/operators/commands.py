@@ -56,7 +56,7 @@ def accept_sources(commands: DataFrame, stored: DataFrame, stock: DataFrame) ->
             problem = F.when(~there, UNKNOWN).when(no_item, NO_ITEM).when(~F.col("causation_id").eqNullSafe(F.col("_cause")), INVALID)
         rows = written(rows.withColumn("_problem", problem).select(*commands.columns, "_problem"), kind)
         sound = rows.where("_problem IS NULL")
-        first = won(_named(sound, kind), _named(held, kind)).withColumn("_won", F.lit(True))
+        first = won(_named(sound, kind), _named(held, kind)).select("seq", F.lit(True).alias("_won"))
         rows = written(rows.join(first, "seq", "left").withColumn("outcome", F.coalesce("_problem", F.when(F.col("_won"), ACCEPTED), F.lit(DUPLICATE))), f"{kind}-done")
         outcomes.append(rows.select("seq", "outcome"))
         names = ["tenant_id", "entity_id", "parent_id", "order_id", "event_id", "seq"]

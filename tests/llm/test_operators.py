@@ -905,6 +905,32 @@ def test_a_template_made_turn_by_turn():
         list(o3.pieces(o3.Turnwise(lambda _, turn: turn[1] * 2), turns))
 
 
+def test_the_registered_template_is_rendered_by_every_prefix():
+    turns = [("assistant" if k % 2 else "user", f"t{k} </s>") for k in range(9)]
+    lengths = []
+    seen = o3.INSTRUCT._replace(render=lambda t: lengths.append(len(t)) or o3.render(t))
+    assert o3.digest(1, turns, seen) == o3.digest(1, turns) and set(lengths) == set(range(1, 10))
+    assert [t[0] for t in o3.pieces(o3.INSTRUCT, turns)] == [o3.render([turn]) for turn in turns]
+    every = [("user", "".join(map(chr, range(0xE000, 0xF900)))), ("assistant", "x")]
+    assert [t[a:b] for t, a, b in o3.pieces(o3.INSTRUCT, every)] == [text for _, text in every]
+
+
+def test_rewrites_are_counted_and_read_back(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(6)] + [(2, k, "assistant", "<s>") for k in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    summing = o3.Template(lambda t: "sum " * max(0, len(t) - 3) + o3.render(t))
+    role = lambda head: o3.unescape(head.rpartition("[INST] ")[2][: -len(" [/INST] ")])
+    assert o3.digest(1, [r[2:] for r in rows[:6]], summing, role)[-1] == 3
+    found = {r["conv_id"]: r for r in o3.digest_conversations(df, summing, role).collect()}
+    plain = {r["conv_id"]: r for r in o3.digest_conversations(df).collect()}
+    assert [found[c]["rewrites"] for c in (1, 2)] == [3, 0] and [plain[c]["rewrites"] for c in (1, 2)] == [0, 0]
+    for same in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256"):
+        assert [found[c][same] for c in (1, 2)] == [plain[c][same] for c in (1, 2)]
+    assert found[1]["formatted_chars"] == plain[1]["formatted_chars"] + 3 * len("sum ")
+    with pytest.raises(ValueError, match="history"):
+        o3.digest(1, [("user", "a"), ("assistant", "b")], o3.Template(lambda t: "".join(text for _, text in reversed(t))))
+
+
 def test_pieces_are_cut_in_arrow(spark):
     rows = [("One\t two  , THREE\x0b\u00a0four \u00c9\tx", None), (None, "de"), (" \t.;", "de"), ("a\tb. a  b! A b", "de"), ("", "und"), ("one two", "und")]
     found = o12.pieces(spark.createDataFrame(rows, "text string, lang string"))
